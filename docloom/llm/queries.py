@@ -23,7 +23,23 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, table(spark, sf_dir, "documents")).select("doc_id", "shard", "shard_depth", "shard_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_shard_documents)}
+def op2_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import secrets
+
+    spans = F.col("spans")
+    count = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.BASE)]
+    base = secrets.joined(F.filter(spans, lambda s: s["kind"] < len(secrets.BASE)))
+    out = secrets.scan(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *count, F.sha2(base, 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+def op5_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import pii
+
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_scan_secrets, op4_shard_documents, op5_find_pii)}
 
 ORACLES = {}
 
