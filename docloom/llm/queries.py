@@ -39,7 +39,35 @@ def op5_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_scan_secrets, op4_shard_documents, op5_find_pii)}
+def held_out(of: int, fold: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == fold, F.lit(False)).alias("held_out")
+
+
+def op3_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import mil_quality
+
+    docs = table(spark, sf_dir, "documents")
+    net = mil_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return mil_quality.classify(spark, docs, net).select("doc_id", held_out(4, 2), "score", "predicted")
+
+
+def op9_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(spark, docs, net).select("doc_id", held_out(4, 2), "score", "predicted", "flagged")
+
+
+def op10_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(spark, docs.select("doc_id", "text"), langid.fit(docs))
+    return out.select("doc_id", held_out(3, 1), "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_scan_secrets, op4_shard_documents, op5_find_pii, op3_score_quality, op9_score_toxicity, op10_identify_language)}
 
 ORACLES = {}
 
