@@ -54,7 +54,7 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages, and the text of each."""
     raw, at = buffers(texts)
     n = len(texts)
-    doc, (h,) = words(raw, at)
+    doc, (h,), _ = words(raw, at)
     counts = np.bincount(doc, minlength=n)
     first = np.cumsum(counts) - counts
     per = np.maximum(1, -(-counts // PASSAGE))

@@ -2,10 +2,10 @@
 
 Two documents link if the Jaccard similarity of their sets of k-word shingles reaches
 num/den. Exact copies are one class, known by a digest of the set. For the others a
-document's inverted lists are split as DivideSkip does: those of its rarest shingles,
-one more than a link can lack, are the short lists; any linked document stands in one
-of them. They are merged first, over all documents, and lead to families: documents
-that are connected through short lists. Within a family each document searches those
+document's inverted lists are split as DivideSkip does: the L lists that are likely to be
+longest are set aside, so that any linked document stands in T - L = ``least`` of the
+others, the short ones. Those are merged first, over all documents, and lead to
+families: documents that are connected through short lists. Within a family each document searches those
 before it: short lists are merged on a heap, the long ones are probed by bisection,
 and documents that reach the required overlap T are retained.
 
@@ -19,10 +19,12 @@ How it stays whole and bounded:
 
 * Frequencies: shingle hashes of all documents are shuffled as packed arrays by ranges of
   the hash and counted; those in more than ``common`` documents (raised by doubling
-  until ``most_common`` of them remain) are ordered last, by frequency. That order
-  only decides which lists are short; any order gives the same links.
-* Lists: a short list is reduced to edges to its smallest member, so it is linear in
-  its length; equal sets count once in each.
+  until ``most_common`` of them remain) are ordered last, by frequency, the others by
+  length, since long words are rarer. That order only decides which lists are short; any
+  order gives the same links.
+* Lists: one of up to ``star`` documents counts its pairs, of which those seen in
+  ``least`` lists stay; a longer one connects its members to its smallest at once, which
+  is linear in its length and loses none. Equal sets count once in each.
 * Families: where the shingles of one exceed ``family``, it is cut into parts by hash
   and each two parts are searched together, so that a task holds two parts at most.
 
@@ -122,9 +124,9 @@ def frequent(spark: SparkSession, docs: DataFrame, k: int, total: int, common: i
     return rows["name"].to_numpy(np.uint32), rows["n"].to_numpy(np.int64)
 
 
-def short_edges(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int, often: tuple[np.ndarray, np.ndarray], total: int, slice_size: int = 1_000_000) -> DataFrame:
-    """u, v: digests that share a short list, each with the smallest of it within its size range."""
-    slices = max(8, -(-total // 4 // slice_size))
+def short_edges(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int, often: tuple[np.ndarray, np.ndarray], total: int, least: int, star: int, slice_size: int = 500_000) -> DataFrame:
+    """u, v: digests that stand together in ``least`` short lists, or in one that is longer than ``star``."""
+    slices = max(8, -(-total // 5 // slice_size))
     model = spark.sparkContext.broadcast(often)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,46 +134,67 @@ def short_edges(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int
         known: set[int] = set()
         for batch in batches:
             for part in chunks(batch, 0):
-                tokens, owners = [], []
-                for s in shingle_sets(part.column(0), k):
-                    p = short_length(len(s), num, den) if len(s) else 0
-                    if p <= 0:
+                tokens, owners, sizes = [], [], []
+                for s, long in shingle_sets(part.column(0), k, sizes=True):
+                    if not len(s):
                         continue
-                    if len(names):
-                        own = (s >> np.uint64(32)).astype(np.uint32)
-                        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-                        rank = np.where(names[at] == own, counts[at], 0)
-                        s_short = s[:p] if not rank[:p].any() else s[np.argsort(rank, kind="stable")[:p]]
-                    else:
-                        s_short = s[:p]
                     d = digest(s)
                     if d in known:
                         continue
-                    if len(known) < 200_000:
+                    if len(known) < 200_000:  # equal sets that slip through are met by meet()
                         known.add(d)
-                    tokens.append(s_short)
-                    owners.append(np.full(len(s_short), d, np.int64))
+                    p = min(len(s), short_length(len(s), num, den) + least - 1)
+                    rank = np.zeros(len(s), np.int64)
+                    if len(names):
+                        own = (s >> np.uint64(32)).astype(np.uint32)
+                        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                        rank = np.where(names[at] == own, counts[at], 0)
+                    tokens.append(s[np.lexsort((s, -long, rank))[:p]])
+                    owners.append(np.full(p, d, np.int64))
+                    sizes.append(np.full(p, len(s), np.int32))
                 if not tokens:
                     continue
-                t, d = np.concatenate(tokens), np.concatenate(owners)
+                t, d, n = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
                 at = ((t >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
-                t, d = t[order], d[order]
+                t, d, n = t[order], d[order], n[order]
                 cuts = np.searchsorted(at[order], np.arange(slices + 1))
                 own = [x for x in range(slices) if cuts[x] < cuts[x + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([t[cuts[x] : cuts[x + 1]].tobytes() for x in own], pa.binary()), pa.array([d[cuts[x] : cuts[x + 1]].tobytes() for x in own], pa.binary())], ["slice", "t", "d"])
+                pack = lambda a, own=own, cuts=cuts: pa.array([a[cuts[x] : cuts[x + 1]].tobytes() for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pack(t), pack(d), pack(n)], ["slice", "t", "d", "n"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["t"]])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["d"]])
+        t, d, n = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]]) for c, kind in (("t", np.uint64), ("d", np.int64), ("n", np.int32)))
         order = np.lexsort((d, t))
-        t, d = t[order], d[order]
-        head = np.concatenate([[True], t[1:] != t[:-1]])
-        least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
-        pairs = np.unique(np.stack([d, least], 1)[d != least], axis=0) if len(d) else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    return docs.select("text").mapInArrow(spread, "slice long, t binary, d binary").groupBy("slice").applyInPandas(meet, "u long, v long")
+        t, d, n = t[order], d[order], n[order].astype(np.int64)
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
+        t, d, n = t[new], d[new], n[new]
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        length = np.diff(np.append(start, len(t)))
+        u, v, need = [], [], []
+        for m in np.unique(length[length > 1]):
+            at = start[length == m]
+            if m > star:
+                for i in at:
+                    u.append(d[i + 1 : i + m])
+                    v.append(np.full(m - 1, d[i]))
+                    need.append(np.zeros(m - 1, np.int64))
+                continue
+            i, j = np.triu_indices(m, 1)
+            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            fits = den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])
+            a, b = a[fits], b[fits]
+            u.append(d[b])
+            v.append(d[a])
+            need.append(np.minimum(least, -(-np.minimum(n[a], n[b]) * num // den)))
+        if not u:
+            return pd.DataFrame({"u": [], "v": [], "seen": [], "need": []}, dtype=np.int64)
+        out = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "need": np.concatenate(need)})
+        return out.groupby(["u", "v"], as_index=False).agg(seen=("need", "size"), need=("need", "min"))[["u", "v", "seen", "need"]]
+
+    lists = docs.select("text").mapInArrow(spread, "slice long, t binary, d binary, n binary")
+    met = lists.groupBy("slice").applyInPandas(meet, "u long, v long, seen long, need long")
+    return met.groupBy("u", "v").agg(F.sum("seen").alias("seen"), F.min("need").alias("need")).where("seen >= need").select("u", "v")
 
 
 class Index:
@@ -306,12 +329,12 @@ def search(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, num
     return dealt.groupBy("root", "a", "b").applyInPandas(meet, "u long, v long")
 
 
-def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, common: int = 32, most_common: int = 1 << 21, family: int = 4_000_000) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, common: int = 16, most_common: int = 1 << 21, least: int = 4, star: int = 32, family: int = 600_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), one row for each row of docs."""
     known = save(spark, sets_of(docs, k), "known")
     total = known.agg(F.sum("n")).first()[0] or 0
     often = frequent(spark, docs, k, total, common, most_common)
-    edges = save(spark, short_edges(spark, docs, k, num, den, often, total), "short")
+    edges = save(spark, short_edges(spark, docs, k, num, den, often, total, least, star), "short")
     families = save(spark, components(spark, edges), "families")
     classes = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     members = save(spark, classes.join(families, F.col("digest") == F.col("node")).select("doc_id", "digest", "root"), "members")

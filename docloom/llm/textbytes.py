@@ -65,9 +65,9 @@ def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-def words(raw: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Text of each word, and its hash followed by those of its first bytes as prefixes say."""
-    docs, hashes = [], [[] for _ in range(1 + len(prefixes))]
+def words(raw: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Text of each word; its hash followed by those of its first bytes as prefixes say; its bytes."""
+    docs, hashes, sizes = [], [[] for _ in range(1 + len(prefixes))], []
     begins = np.zeros(len(raw) + 1, bool)
     begins[at] = True
     i = 0
@@ -86,9 +86,11 @@ def words(raw: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACE, prefixes:
             up, down = powers(len(b))
             sums = np.concatenate([[np.uint64(0)], np.cumsum(CODES[b] * up)])
             docs.append(np.searchsorted(at, start + i, "right") - 1)
+            sizes.append((stop - start).astype(np.int32))
             for k, out in enumerate(hashes):
                 to = stop if k == 0 else np.minimum(stop, start + prefixes[k - 1])
                 out.append(mix((sums[to] - sums[start]) * down[start] + (to - start).astype(np.uint64)))
         i = j
     none = [np.zeros(0, np.uint64)]
-    return np.concatenate(docs) if docs else np.zeros(0, np.int64), [np.concatenate(x or none) for x in hashes]
+    whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return whole(docs, np.int64), [np.concatenate(x or none) for x in hashes], whole(sizes, np.int32)

@@ -93,7 +93,7 @@ class Net:
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, at = buffers(texts)
-    doc, hashes = words(raw, at, SIGN, PREFIXES)
+    doc, hashes, _ = words(raw, at, SIGN, PREFIXES)
     return rows_of(hashes), doc
 
 
