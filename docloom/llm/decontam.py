@@ -86,9 +86,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
     starts = save(spark, starts.distinct(), "starts")
 
     # Texts of documents with windows are read once more and cut.
-    own = starts.groupBy("doc_id", "t").agg(F.collect_set(F.struct("g", "n", "s")).alias("cuts")).withColumnsRenamed({"doc_id": "w_id", "t": "w_t"})
+    own = starts.groupBy("doc_id", "t").agg(F.collect_set(F.struct("g", "n", "s")).alias("cuts")).withColumnsRenamed({"doc_id": "docloom_w_id", "t": "w_t"})
     own = save(spark, own, "cuts")
-    texts = keyed.join(small(own), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("t") == F.col("w_t"))).dropDuplicates(["doc_id", "t"])
+    texts = keyed.join(small(own), F.col("doc_id").eqNullSafe(F.col("docloom_w_id")) & (F.col("t") == F.col("w_t"))).dropDuplicates(["doc_id", "t"])
     cut = texts.select("doc_id", "t", F.expr(WORDS).alias("words"), "cuts").select("doc_id", "t", "words", F.explode("cuts").alias("c"))
     cut = cut.select("doc_id", "t", "c.*", F.expr("slice(words, c.s + 1, c.n)").alias("win"))
     hashes = "CASE " + " ".join(f"WHEN g = {g} THEN {grams('win', g)}" for g in lengths) + " ELSE cast(array() AS array<bigint>) END"
@@ -120,5 +120,5 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """Rows of docs that hold no benchmark item."""
-    gone = save(spark, contaminated(spark, docs, benchmark, **how).select(F.col("doc_id").alias("g_id")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
+    gone = save(spark, contaminated(spark, docs, benchmark, **how).select(F.col("doc_id").alias("docloom_gone")).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("docloom_gone")), "left_anti")

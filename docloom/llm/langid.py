@@ -168,10 +168,11 @@ def fit(docs: DataFrame, per_lang: int = 800, passage: int = 600, fold: int = 1,
     return train(sample(docs, per_lang, passage, fold, of))
 
 
-def identify(spark: SparkSession, docs: DataFrame, net: Net | None) -> DataFrame:
-    """docs with lang_pred and lang_score, in one pass without a shuffle."""
+def identify(spark: SparkSession, docs: DataFrame, net: Net | None, added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs with the language and its score, in one pass without a shuffle; they replace columns of these names."""
     model = spark.sparkContext.broadcast(net)
-    names = [*docs.columns, "lang_pred", "lang_score"]
+    docs = docs.drop(*added)
+    names = [*docs.columns, *added]
     k = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +184,9 @@ def identify(spark: SparkSession, docs: DataFrame, net: Net | None) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return docs.mapInArrow(run, f"{schema}, `{added[0]}` string, `{added[1]}` double")
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """Rows of docs whose language is known; those without a letter go."""
-    return identify(spark, docs, fit(docs, **how)).where("lang_pred <> 'und'").select(*docs.columns)
+    return identify(spark, docs, fit(docs, **how), ("docloom_lang", "docloom_score")).where("docloom_lang <> 'und'").select(*docs.columns)

@@ -65,10 +65,10 @@ def quality_weight(text: Column) -> Column:
 
 
 def draw(docs: DataFrame, weight: Column | None, seed: int, buckets: int) -> DataFrame:
-    """docs and x_size, x_sn, x_sk, x_key, x_bucket."""
+    """docs and docloom_size, docloom_sn, docloom_sk, docloom_key, docloom_bucket."""
     key = -F.ln(uniform(F.col("doc_id"), seed)) / (quality_weight(F.col("text")) if weight is None else weight)
-    out = docs.withColumns({"x_size": words(F.col("text")), "x_sn": F.col("source").isNull(), "x_sk": F.coalesce("source", F.lit("")), "x_key": key})
-    return out.withColumn("x_bucket", F.least(F.floor((1 - F.exp(-F.col("x_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    out = docs.withColumns({"docloom_size": words(F.col("text")), "docloom_sn": F.col("source").isNull(), "docloom_sk": F.coalesce("source", F.lit("")), "docloom_key": key})
+    return out.withColumn("docloom_bucket", F.least(F.floor((1 - F.exp(-F.col("docloom_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
 
 
 def mix(
@@ -89,7 +89,7 @@ def mix(
     least half of it fits. epochs: how often the whole source is taken before the rest.
     """
     keyed = draw(docs.select("*"), weight, seed, buckets)
-    keyed = save(spark, keyed.select("doc_id", "source", F.col("x_size").alias("size"), F.col("x_sn").alias("sn"), F.col("x_sk").alias("sk"), F.col("x_key").alias("key"), F.col("x_bucket").alias("bucket")), "mix")
+    keyed = save(spark, keyed.select("doc_id", "source", F.col("docloom_size").alias("size"), F.col("docloom_sn").alias("sn"), F.col("docloom_sk").alias("sk"), F.col("docloom_key").alias("key"), F.col("docloom_bucket").alias("bucket")), "mix")
 
     sums = keyed.groupBy("sn", "sk", "bucket").agg(F.sum("size").alias("bucket_size"))
     start = F.sum("bucket_size").over(Window.partitionBy("sn", "sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -114,13 +114,13 @@ def apply_mix(spark: SparkSession, docs: DataFrame, weight: Column | None = None
     """
     order = F.struct("key", "doc_id", "size")
     taken = mix(spark, docs, weight, seed=seed, buckets=buckets, split=False, **how)
-    cut = taken.groupBy(F.col("source").isNull().alias("c_sn"), F.coalesce("source", F.lit("")).alias("c_sk")).agg(
-        F.max("epochs").alias("c_full"), F.max(F.when(F.col("taken") > F.col("size") * F.col("epochs"), order)).alias("c_last")
+    cut = taken.groupBy(F.col("source").isNull().alias("docloom_c_sn"), F.coalesce("source", F.lit("")).alias("docloom_c_sk")).agg(
+        F.max("epochs").alias("docloom_c_full"), F.max(F.when(F.col("taken") > F.col("size") * F.col("epochs"), order)).alias("docloom_c_last")
     )
     cut = save(spark, cut, "cuts")
     rows = draw(docs, weight, seed, buckets)
-    on = (F.col("x_sn") == F.col("c_sn")) & (F.col("x_sk") == F.col("c_sk"))
+    on = (F.col("docloom_sn") == F.col("docloom_c_sn")) & (F.col("docloom_sk") == F.col("docloom_c_sk"))
     rows = rows.join(F.broadcast(cut) if cut.count() <= BROADCAST_SOURCES else cut, on, "left")
-    within = F.coalesce(F.struct(F.col("x_key").alias("key"), "doc_id", F.col("x_size").alias("size")) <= F.col("c_last"), F.lit(False))
-    n = F.when(F.col("x_size") == 0, 1).otherwise(F.col("c_full") + within.cast("int")).cast("int")
-    return rows.withColumn("x_n", n).where("x_n > 0").withColumn("x_copy", F.explode(F.sequence(F.lit(1), F.col("x_n")))).select(*docs.columns)
+    within = F.coalesce(F.struct(F.col("docloom_key").alias("key"), "doc_id", F.col("docloom_size").alias("size")) <= F.col("docloom_c_last"), F.lit(False))
+    n = F.when(F.col("docloom_size") == 0, 1).otherwise(F.col("docloom_c_full") + within.cast("int")).cast("int")
+    return rows.withColumn("docloom_n", n).where("docloom_n > 0").withColumn("docloom_copy", F.explode(F.sequence(F.lit(1), F.col("docloom_n")))).select(*docs.columns)

@@ -303,8 +303,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 def search(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, num: int, den: int, family: int) -> DataFrame:
     """u, v: links of digests. members: doc_id, digest, root, one document of each class in a family."""
     small = members.count() <= BROADCAST_IDS
-    own = members.select(F.col("doc_id").alias("m_id"), "digest", "root")
-    rows = docs.select("doc_id", "text").join(F.broadcast(own) if small else own, F.col("doc_id") == F.col("m_id")).select("root", "digest", "text")
+    own = members.select(F.col("doc_id").alias("docloom_m_id"), "digest", "root")
+    rows = docs.select("doc_id", "text").join(F.broadcast(own) if small else own, F.col("doc_id") == F.col("docloom_m_id")).select("root", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,6 +355,6 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: i
 def keep_first(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """Rows of docs that are the smallest of their group; all rows of that id stay."""
     found = join(spark, docs, **how)
-    gone = save(spark, found.where("component_id <> doc_id").select("doc_id").distinct(), "gone").withColumnRenamed("doc_id", "g_id")
+    gone = save(spark, found.where("component_id <> doc_id").select("doc_id").distinct(), "gone").withColumnRenamed("doc_id", "docloom_gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("g_id"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("docloom_gone"), "left_anti")

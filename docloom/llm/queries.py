@@ -57,6 +57,12 @@ def op6_join_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(spark, table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op7_search_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import ann
+
+    return ann.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm import decontam
 
@@ -79,7 +85,7 @@ def op10_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_scan_secrets, op4_shard_documents, op5_find_pii, op3_score_quality, op6_join_ngrams, op8_decontaminate, op9_score_toxicity, op10_identify_language)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_scan_secrets, op4_shard_documents, op5_find_pii, op3_score_quality, op6_join_ngrams, op7_search_neighbours, op8_decontaminate, op9_score_toxicity, op10_identify_language)}
 
 ORACLES = {}
 

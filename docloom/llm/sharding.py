@@ -67,19 +67,19 @@ def shard(spark: SparkSession, docs: DataFrame, limit: int = 8 << 20) -> DataFra
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     rounds = directory(spark, save(spark, docs.select(h.alias("h"), size.alias("bytes")), "hashes"), limit)
-    out = docs.select(*cols, F.struct(h.alias("h"), size.alias("bytes"), digest.alias("digest")).alias("x_row"))
+    out = docs.select(*cols, F.struct(h.alias("h"), size.alias("bytes"), digest.alias("digest")).alias("docloom_row"))
     for k, (depth, leaves) in enumerate(rounds):
         small = leaves.count() <= BROADCAST_CELLS
-        leaves = leaves.select(F.col("cell").alias(f"x_cell{k}"), F.struct("shard", "shard_depth", "shard_bytes").alias(f"x_leaf{k}"))
-        out = out.join(F.broadcast(leaves) if small else leaves, F.shiftrightunsigned(F.col("x_row.h"), BITS - depth) == F.col(f"x_cell{k}"), "left").drop(f"x_cell{k}")
-    leaf = F.coalesce(*[F.col(f"x_leaf{k}") for k in range(len(rounds))])
-    out = out.withColumn("x_leaf", leaf)
-    placed = out.where("x_leaf is not null").select(*cols, "x_leaf.shard", "x_leaf.shard_depth", "x_leaf.shard_bytes")
+        leaves = leaves.select(F.col("cell").alias(f"docloom_cell{k}"), F.struct("shard", "shard_depth", "shard_bytes").alias(f"docloom_leaf{k}"))
+        out = out.join(F.broadcast(leaves) if small else leaves, F.shiftrightunsigned(F.col("docloom_row.h"), BITS - depth) == F.col(f"docloom_cell{k}"), "left").drop(f"docloom_cell{k}")
+    leaf = F.coalesce(*[F.col(f"docloom_leaf{k}") for k in range(len(rounds))])
+    out = out.withColumn("docloom_leaf", leaf)
+    placed = out.where("docloom_leaf is not null").select(*cols, "docloom_leaf.shard", "docloom_leaf.shard_depth", "docloom_leaf.shard_bytes")
     if rounds[-1][0] < BITS:
         return placed
-    fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("x_row.bytes"))).cast("long")
-    pages = out.where("x_leaf is null").groupBy(*cols, "x_row").agg(F.count("*").alias("x_n")).withColumn("x_fit", fit)
-    pages = pages.withColumn("x_page", F.explode(F.expr("sequence(0L, (x_n - 1) div x_fit)")))
-    pages = pages.withColumn("x_here", F.expr("least(x_fit, x_n - x_page * x_fit)")).withColumn("x_copy", F.explode(F.expr("sequence(1L, x_here)")))
-    bits = F.expr(f"concat(lpad(bin(x_row.h), {BITS}, '0'), '.', substring(x_row.digest, 16), '.', x_page)")
-    return placed.unionByName(pages.select(*cols, bits.alias("shard"), F.lit(BITS).alias("shard_depth"), F.expr("x_row.bytes * x_here").alias("shard_bytes")))
+    fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("docloom_row.bytes"))).cast("long")
+    pages = out.where("docloom_leaf is null").groupBy(*cols, "docloom_row").agg(F.count("*").alias("docloom_n")).withColumn("docloom_fit", fit)
+    pages = pages.withColumn("docloom_page", F.explode(F.expr("sequence(0L, (docloom_n - 1) div docloom_fit)")))
+    pages = pages.withColumn("docloom_here", F.expr("least(docloom_fit, docloom_n - docloom_page * docloom_fit)")).withColumn("docloom_copy", F.explode(F.expr("sequence(1L, docloom_here)")))
+    bits = F.expr(f"concat(lpad(bin(docloom_row.h), {BITS}, '0'), '.', substring(docloom_row.digest, 16), '.', docloom_page)")
+    return placed.unionByName(pages.select(*cols, bits.alias("shard"), F.lit(BITS).alias("shard_depth"), F.expr("docloom_row.bytes * docloom_here").alias("shard_bytes")))
