@@ -100,7 +100,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
     listed = listed.select("ikey", "i_n", "i_g", "fp", "x", F.explode(F.lit(near)).alias("flip")).select("ikey", "i_n", "i_g", "fp", "x.b", F.expr("x.v ^ flip").alias("v"))
     looked = windows.select("doc_id", "t", "g", "n", "s", "wf", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.expr(block("wf", b)).alias("v")) for b in range(BLOCKS)])).alias("y")).select("doc_id", "t", "g", "n", "s", "wf", F.col("y.b").alias("wb"), F.col("y.v").alias("wv"))
     alike = (F.col("wb") == F.col("b")) & (F.col("wv") == F.col("v")) & (F.col("g") == F.col("i_g"))
-    pairs = looked.join(listed, alike).withColumn("distance", F.bit_count(F.expr("wf ^ fp"))).where(F.col("distance") <= radius)
+    pairs = looked.join(listed.hint("merge"), alike).withColumn("distance", F.bit_count(F.expr("wf ^ fp"))).where(F.col("distance") <= radius)
     # Sizes beyond the threshold can't be similar enough.
     pairs = pairs.where(F.expr(f"least(n, i_n) - g + 1 >= {least} * (greatest(n, i_n) - g + 1)"))
     pairs = save(spark, pairs.select("doc_id", "t", "g", "n", "s", "ikey", "distance").distinct(), "pairs")
