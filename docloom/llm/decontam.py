@@ -72,13 +72,14 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
     items = items_of(spark, benchmark, k)
     lengths = sorted(r.g for r in items.select("g").distinct().collect())
     result = "doc_id, item_id, start, n_words, similarity, distance"
+    if not lengths:
+        ids = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
+        return spark.createDataFrame([], f"{ids}, start int, n_words int, similarity double, distance int")
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
     places = small(items.select("n", "g", F.posexplode("hs").alias("j", "h")).select("n", "g", "j", "h").distinct())
 
     worded = keyed.select("doc_id", "t", F.expr(WORDS).alias("words"))
     every = [worded.select("doc_id", "t", F.size("words").alias("size"), F.lit(g).alias("dg"), F.posexplode(F.expr(grams("words", g))).alias("i", "dh")) for g in lengths]
-    if not every:
-        every = [worded.select("doc_id", "t", F.lit(0).alias("size"), F.lit(0).alias("dg"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("dh")).limit(0)]
     seen = every[0]
     for other in every[1:]:
         seen = seen.unionByName(other)
