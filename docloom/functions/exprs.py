@@ -82,7 +82,7 @@ def clean_text(text: Column) -> Column:
 def page_range(pages: Column) -> Column:
     """Sorted pages as min-max if they are contiguous, else a list."""
     p = F.array_sort(F.array_distinct(pages))
-    lo, hi = F.element_at(p, 1), F.element_at(p, -1)
+    lo, hi = F.array_min(p), F.array_max(p)
     return F.when(F.size(p) == 1, lo.cast("string")).when(hi - lo + 1 == F.size(p), F.concat_ws("-", lo.cast("string"), hi.cast("string"))).otherwise(F.array_join(F.transform(p, lambda x: x.cast("string")), ", "))
 
 
