@@ -49,7 +49,7 @@ def directory(spark: SparkSession, rows: DataFrame, limit: int, spare: int = 8)
         steps = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(done + 1), F.lit(depth))).alias("d"))
         steps = steps.withColumn("p", F.expr(f"shiftrightunsigned(cell, int({depth} - d))"))
         sums = steps.groupBy("d", "p").agg(F.sum("bytes").alias("shard_bytes"))
-        fits = steps.select("cell", "d", "p").join(sums, ["d", "p"]).where(F.col("shard_bytes") <= limit)
+        fits = steps.select("cell", "d", "p").join(sums.hint("merge"), ["d", "p"]).where(F.col("shard_bytes") <= limit)
         leaf = fits.groupBy("cell").agg(F.min_by(F.struct("d", "p", "shard_bytes"), "d").alias("leaf"))
         bits = F.expr("if(leaf.d = 0, '', lpad(bin(leaf.p), leaf.d, '0'))")
         rounds.append((depth, save(spark, leaf.select("cell", bits.alias("shard"), F.col("leaf.d").alias("shard_depth"), F.col("leaf.shard_bytes").alias("shard_bytes")), "leaves")))
