@@ -110,9 +110,10 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], epochs:
     if not len(y):
         return None
     net, rng = Net(), np.random.default_rng(seed)
-    rows, doc = tokens(pa.array(texts, pa.string()))
-    cuts = np.searchsorted(doc, np.arange(len(y) + 1))
-    own = [rows[cuts[i] : cuts[i + 1]] for i in range(len(y))]
+    own: list[np.ndarray] = []
+    for k in range(0, len(y), 256):
+        part, doc = tokens(pa.array(texts[k : k + 256], pa.string()))
+        own += np.split(part, np.searchsorted(doc, np.arange(1, len(texts[k : k + 256]))))
     fitted = np.flatnonzero(np.arange(len(y)) % 5 != 4) if len(y) >= 50 else np.arange(len(y))
 
     counts = np.zeros((2, TABLE), np.float32)
@@ -121,7 +122,7 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], epochs:
     total = counts.sum(0)
     n = np.array([(y[fitted] == c).sum() for c in (0, 1)], np.float32)
     odds = np.log((counts[1] + 0.2) / (n[1] + 0.4)) - np.log((counts[0] + 0.2) / (n[0] + 0.4))
-    net.table[:, 0] = np.where(total > 0, odds * total / (total + 4) / rows.shape[1], 0)
+    net.table[:, 0] = np.where(total > 0, odds * total / (total + 4) / own[0].shape[1], 0)
     net.table[:, 1:] = np.where(total[:, None] > 0, rng.normal(0, 0.02, (TABLE, DIM - 1)), 0)
 
     squares = {"table": np.full(TABLE, 1e-2, np.float32), "out": 1e-2, "bias": 1e-2, "filters": [1e-2] * len(WIDTHS)}
