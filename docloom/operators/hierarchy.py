@@ -1,8 +1,8 @@
 """Trees as tables: paths, pre-order numbers, subtrees, subtree hiding and pruning.
 
-Trees are walked level by level with an equi-join; each level's rows are found once. A
-level is checkpointed in the session's checkpoint folder if there is one, so that plans
-of deep trees stay short.
+Trees are walked level by level with an equi-join; the table and each level are kept, so
+that each is found once. A level is checkpointed in the session's checkpoint folder if
+there is one, so that plans of deep trees stay short.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ def numbered(elem: DataFrame, hide_verified: bool = True, deepest: int = 200) ->
     rows = elem.where(~F.coalesce(exprs.is_verified(F.col("title")), F.lit(False))) if hide_verified else elem
     spark = elem.sparkSession
     cut = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    rows = rows.persist()
     level = rows.where("parent_id is null").withColumn("path", F.array("kid_ord"))
     found, depth = level, 0
     while True:
         up = level.select(F.col("doc_id").alias("u_doc"), F.col("elem_id").alias("u_id"), F.col("path").alias("u_path"))
         level = rows.join(up, (F.col("doc_id") == F.col("u_doc")) & (F.col("parent_id") == F.col("u_id"))).withColumn("path", F.concat("u_path", F.array("kid_ord"))).drop("u_doc", "u_id", "u_path")
-        level = level.checkpoint() if cut else level
+        level = level.checkpoint() if cut else level.persist()
         depth += 1
         if level.isEmpty():
             break
