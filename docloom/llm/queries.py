@@ -135,3 +135,23 @@ WITH hashed AS (
 )
 SELECT doc_id, CASE WHEN x.d = 0 THEN '' ELSE lpad(bin(x.p), x.d::INT, '0') END AS shard, x.d::INT AS shard_depth, x.b AS shard_bytes FROM leaf
 """
+
+ORACLES["op6_join_ngrams"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * x >= 85 * (a.n + b.n - x)
+), both_ways AS (
+  SELECT u, v FROM e UNION ALL SELECT v, u FROM e
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, t.v FROM reach r JOIN both_ways t ON t.u = r.b
+)
+SELECT a AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) LEFT JOIN n ON n.doc_id = a
+"""
