@@ -56,6 +56,7 @@ def wrap(elem: DataFrame, members: DataFrame) -> DataFrame:
     once at its first member's place; inner is made around each member. A member's ``at``, if
     there is such a column, gives its place in the run; ``title`` names the outermost element.
     """
+    members = settled(members)
     m = members.join(elem.select("doc_id", "elem_id", "parent_id", "kid_ord"), ["doc_id", "elem_id"])
     m = m.withColumn("at", F.coalesce(F.col("at") if "at" in members.columns else F.lit(None), F.col("kid_ord")).cast("double")).withColumn("title", F.col("title") if "title" in members.columns else F.lit(None).cast("string"))
     top = elem.groupBy("doc_id").agg(F.max("elem_id").alias("top"))
@@ -321,7 +322,7 @@ def cleared(elem: DataFrame, done: DataFrame, *tags: str) -> DataFrame:
     title = F.col("title")
     for t in tags:
         title = exprs.clear_notes(title, t)
-    return elem.join(done.select("doc_id", "elem_id", F.lit(True).alias("done")).distinct(), ["doc_id", "elem_id"], "left").withColumn("title", F.when(F.col("done"), title).otherwise(F.col("title"))).drop("done").select(*elem.columns)
+    return settled(elem.join(done.select("doc_id", "elem_id", F.lit(True).alias("done")).distinct(), ["doc_id", "elem_id"], "left").withColumn("title", F.when(F.col("done"), title).otherwise(F.col("title"))).drop("done").select(*elem.columns))
 
 
 def refused(elem: DataFrame) -> DataFrame:
@@ -355,6 +356,7 @@ def _ranges(said: pd.Series, n: pd.Series) -> pd.Series:
 def add_parents(elem: DataFrame) -> DataFrame:
     """``!ADD_PARENT chain``: the element within a chain of new ones."""
     hits = told(elem, "ADD_PARENTS?").where("said <> ''").withColumn("outer", _chain("said")).where("outer is not null and size(outer) > 0").select("doc_id", "elem_id", F.col("elem_id").alias("run"), "outer", roles().alias("inner"))
+    hits = settled(hits)
     return wrap(cleared(elem, hits, "!ADD_PARENT", "!ADD_PARENTS"), hits)
 
 
@@ -362,6 +364,7 @@ def add_children(elem: DataFrame) -> DataFrame:
     """``!ADD_CHILD wrappers``: ranges of children within new ones, or new empty ones behind them."""
     n = elem.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("elem_id")).agg(F.count("*").cast("int").alias("n"))
     hits = told(elem, "ADD_CHILD(?:REN)?").where("said <> ''").join(n, ["doc_id", "elem_id"], "left").fillna(0, ["n"]).withColumn("to", _ranges("said", "n")).where("size(to) > 0")
+    hits = settled(hits)
     each = hits.select("doc_id", F.col("elem_id").alias("parent_id"), F.posexplode("to").alias("i", "w")).select("doc_id", "parent_id", "i", "w.*")
     rank = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("kid_ord", "elem_id"))
     kids = elem.where("parent_id is not null").withColumn("at", rank).select("doc_id", "parent_id", "elem_id", "at")

@@ -102,7 +102,7 @@ def test_content_and_annotations(spark):
     assert shape(R.signposts(once, word)) == shape(once)
 
 
-def test_instructions(spark):
+def test_parents_and_children(spark):
     e = tables(spark, "Document[P,P[Span,Link,Span],H1]")["elem"]
     out = R.add_parents(told(e, _2="__!ADD_PARENT Sect[Div]", _7="__!ADD_PARENTS Note[P[], Span[]]"))
     assert shape(out) == ["Document[Sect[Div[P]],P[Span,Link,Span],H1]"]
@@ -110,14 +110,24 @@ def test_instructions(spark):
     out = R.add_children(told(e, _3="__!ADD_CHILDREN Lbl[1], LBody[2..]", _2="__!ADD_CHILD Span, Note", _7="__!ADD_CHILD Lbl[1]"))
     assert shape(out) == ["Document[P[Span,Note],P[Lbl[Span],LBody[Link,Span]],H1]"]
     assert [r.elem_id for r in R.refused(out).collect()] == [7]
+
+
+def test_reordering(spark):
+    e = tables(spark, "Document[P,P[Span,Link,Span],H1]")["elem"]
     out = R.reorder_kids(told(e, _3="__!REORDER_KIDS", _5="__!REORDER 1", _6="__!REORDER 0"))
     assert [(r.elem_id, r.title) for r in out.where("parent_id = 3").orderBy("kid_ord").collect()] == [(6, "__:MOVE 3 -> 1"), (5, None), (4, None)]
     assert R.refused(out).count() == 0
+
+
+def test_unlinking(spark):
     t = tables(spark, "Document[P[Span,Link[Span],Span],Link]", kid=[(1, 4, 2, "mcr_num", None, 7, 1, None), (1, 4, 3, "objr", None, None, 1, 9)], annot=[(1, 1, 9, "Link", *[None] * 11)])
     out, k, a = R.unlink(told(t["elem"], _4="__!UNLINK", _3="__!UNLINK"), t["kid"], t["annot"])
     assert shape(out) == ["Document[P[Span,Span,Span],Link]"] and a.count() == 0
     assert kids(k, 2) == [("elem", 3), ("elem", 5), ("mcr_num", 7), ("elem", 6)]
     assert [r.elem_id for r in R.refused(out).collect()] == [3]
+
+
+def test_unwrapping(spark):
     t = tables(spark, "Document[L[LI[LBody[P]],LI[LBody[H1,P]]],L[LI[Lbl,LBody[P]]],L[LI[LBody]]]", content=[(1, 15, 1, 1, "x", ["TEXT"], BOX)])
     lists = [r.elem_id for r in t["elem"].where("role_raw = 'L'").orderBy("elem_id").collect()]
     out = R.unwrap_lists(told(t["elem"], **{f"_{i}": "__!UNWRAP_LIST" for i in lists}), t["kid"])
