@@ -13,6 +13,8 @@ Cells are dealt to blocks by their codes; a cell of more than ``block`` rows is
 over several, so that no cell meets in one task. A query goes to the blocks of cells it
 visits, and only rows of visited cells are its candidates. They are reranked by the
 exact product in double precision, and the best of all blocks and tables are merged.
+Queries that found fewer than ``k`` rows though there are more, as outliers of clustered
+vectors and all of small tables do, are then answered exactly in blocks over all rows.
 
 Defined results: vectors that are null, zero, or have null or non-finite components take
 no part, nor do those of another length than the commonest; null ids neither. Rows that
@@ -98,6 +100,51 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
+def nearest(name: int, q: np.ndarray, row: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of a block for one query; row holds rounded products, -inf for what isn't a candidate."""
+    row[ids == name] = -np.inf
+    # A few more than k, so that rounding in the block product decides nothing.
+    at = best(row, ids, k + 12)
+    at = at[row[at] > -np.inf]
+    s = exact(q, x[at])
+    at, s = at[np.lexsort((ids[at], -s))[:k]], np.sort(-s)[:k] * -1
+    return pd.DataFrame({"query_id": np.full(len(at), name), "vec_id": ids[at], "score": s})
+
+
+def together(out: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+
+def ranked(met: DataFrame, k: int) -> DataFrame:
+    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def exhaustive(queries: DataFrame, some: int, rows: DataFrame, n: int, k: int, block: int, together_of: int = 1024) -> DataFrame:
+    """query_id, vec_id, score of the k best of each block of rows: every block of queries meets every block of rows."""
+    q_blocks, r_blocks = -(-some // together_of), -(-n // block)
+
+    def dealt(df: DataFrame, name: str, own: str, of: int, other: str, others: int) -> DataFrame:
+        spread = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        return df.select(F.col("vec_id").alias(name), "v", F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int").alias(own), spread)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            # As float32, so that products equal those of the probe.
+            q, x = (np.array(side["v"].tolist(), np.float32).astype(np.float64) for side in (left, right))
+            ids, names = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
+            for i in range(0, len(q), 64):
+                g = q[i : i + 64] @ x.T
+                out += [nearest(name, q[i + j], g[j], ids, x, k) for j, name in enumerate(names[i : i + 64])]
+        return together(out)
+
+    left = dealt(queries, "query_id", "qb", q_blocks, "rb", r_blocks).groupBy("qb", "rb")
+    right = dealt(rows, "vec_id", "rb", r_blocks, "qb", q_blocks).groupBy("qb", "rb")
+    return left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score double")
+
+
 def truth(spark: SparkSession, rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
     """Exact neighbours of few queries, in blocks over all rows."""
     sent = spark.sparkContext.broadcast((ids, q))
@@ -218,20 +265,18 @@ def search(
                 near = np.abs(np.floor(places[i : i + 64])[:, None] - codes[None]).max(axis=2) <= REACH
                 seen = ((far <= bound) & near)[:, cell]
                 g = np.where(seen, q[i : i + 64] @ x.T, -np.inf)
-                for j, name in enumerate(left["query_id"].to_numpy()[i : i + 64]):
-                    row = g[j]
-                    row[ids == name] = -np.inf
-                    # A few more than k, so that rounding in the block product decides nothing.
-                    at = best(row, ids, k + 12)
-                    at = at[row[at] > -np.inf]
-                    s = exact(q[i + j], x[at])
-                    at, s = at[np.lexsort((ids[at], -s))[:k]], np.sort(-s)[:k] * -1
-                    out.append(pd.DataFrame({"query_id": np.full(len(at), name), "vec_id": ids[at], "score": s}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                out += [nearest(name, q[i + j], g[j], ids, x, k) for j, name in enumerate(left["query_id"].to_numpy()[i : i + 64])]
+        return together(out)
 
     left = queries.mapInArrow(visits, "t int, b int, query_id long, x binary").groupBy("t", "b")
     right = coded.mapInArrow(dealt, "t int, b int, code binary, vec_id long, x binary").groupBy("t", "b")
     met = left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score double")
-    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    probed = save(spark, ranked(met, k), "probed")
+    # All rows but a query's own are its candidates; the index tells as much of them as k rows can show.
+    full = min(k, rows.count() - 1)
+    counts = probed.groupBy("query_id").count()
+    short = queries.join(counts, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("count", F.lit(0)) < full).select("vec_id", "v")
+    short = save(spark, short, "short")
+    if not (some := short.count()):
+        return probed
+    return ranked(probed.drop("rank").unionByName(exhaustive(short, some, index, n, k, block)), k)

@@ -417,6 +417,40 @@ def test_neighbours_edges(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"])] == [(1, 1, 1.0), (2, 2, -1.0)]
 
 
+def test_neighbours_of_small_and_clustered_tables_are_full(spark):
+    kind = "vec_id long, embedding array<float>"
+    rng = np.random.default_rng(71)
+
+    def check(x, **how):
+        out = ann.search(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], kind), **how).toPandas()
+        want = min(20, len(x) - 1)
+        asked = range(0, len(x), 20)
+        assert set(out["query_id"]) == set(asked)
+        for q in asked:
+            part = out[out["query_id"] == q].sort_values("rank")
+            assert part["rank"].tolist() == list(range(1, want + 1)), q
+            yield q, part
+
+    small = rng.normal(size=(12, 16)).astype(np.float32)
+    for q, part in check(small):
+        g = small.astype(np.float64) @ small[q].astype(np.float64)
+        g[q] = -np.inf
+        assert part["vec_id"].tolist() == np.lexsort((np.arange(12), -g))[:11].tolist()
+    # Tight clusters set the bound; some queries lie apart.
+    centres = rng.normal(size=(3, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = (centres[rng.integers(0, 3, 600)] + 0.001 * rng.normal(size=(600, 16))).astype(np.float32)
+    x[[40, 440]] = -centres[:2]
+    assert len(list(check(x))) == 30
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<float>")
+    out = ann.ranked(ann.exhaustive(df.where("vec_id % 40 = 0"), 15, df, 600, 20, 150, 4), 20).toPandas()
+    for q in range(0, 600, 40):
+        g = x.astype(np.float64) @ x[q].astype(np.float64)
+        g[q] = -np.inf
+        part = out[out["query_id"] == q].sort_values("rank")
+        assert np.allclose(part["score"], np.sort(g)[::-1][:20], atol=1e-12) and q not in part["vec_id"].tolist()
+
+
 # 8: decontamination
 
 
