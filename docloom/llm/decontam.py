@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame expressions only.
 
 Words are runs of letters and digits in lower case; shingles are k of them (a shorter
-item is one shingle of all its words). Wherever a document holds a shingle of an item,
-the window of that item's size in which the shingle stands at the item's own place is
-fingerprinted: a window as similar as asked shares shingles with its item, so no such
-window is passed over, and texts without benchmark shingles cost one look each. A
+item is one shingle of all its words). Shingles that a document shares with items tell
+regions: a window of an item's size that is as similar as asked holds a share of shingles
+of items of that size, in whatever order. Every window that holds so many is
+fingerprinted, and beside them each in which a shared shingle stands at the item's own
+place; texts without benchmark shingles cost one look each. A
 fingerprint's 64 bits are cut into ``BLOCKS`` blocks; fingerprints within ``radius``
 bits agree in some block up to radius / BLOCKS bits, so items are listed under all
 block values that near, and an equi-join finds every pair within the radius. Pairs
@@ -83,8 +84,15 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
     seen = every[0]
     for other in every[1:]:
         seen = seen.unionByName(other)
-    starts = seen.join(places, (F.col("dh") == F.col("h")) & (F.col("dg") == F.col("g"))).select("doc_id", "t", "g", "n", F.expr("greatest(0, least(i - j, size - n))").alias("s"))
-    starts = save(spark, starts.distinct(), "starts")
+    hits = seen.join(places, (F.col("dh") == F.col("h")) & (F.col("dg") == F.col("g"))).select("doc_id", "t", "size", "g", "n", "i", F.expr("greatest(0, least(i - j, size - n))").alias("s"))
+    hits = hits.groupBy("doc_id", "t", "size", "g", "n").agg(F.sort_array(F.collect_set("i")).alias("at"), F.collect_set("s").alias("own"))
+    # A window of w shingles and an item of n - g + 1 share least * (w + n - g + 1) / (1 + least) of them or more.
+    hits = hits.withColumn("w", F.expr("least(n, size) - g + 1")).withColumn("need", F.expr(f"greatest(1, cast(ceil({least}d / (1 + {least}d) * (w + n - g + 1) - 1e-9) AS int))"))
+    # Starts of windows whose first hit is the m-th and that hold as many as needed.
+    low = "greatest(0, get(at, m + need - 1) - w + 1, IF(m = 0, 0, get(at, m - 1) + 1))"
+    spans = f"transform(sequence(0, size(at) - need), m -> struct({low} AS lo, least(get(at, m), greatest(0, size - n)) AS hi))"
+    dense = f"CASE WHEN size(at) >= need THEN flatten(transform(filter({spans}, x -> x.lo <= x.hi), x -> sequence(x.lo, x.hi))) ELSE cast(array() AS array<int>) END"
+    starts = save(spark, hits.select("doc_id", "t", "g", "n", F.explode(F.array_union("own", F.expr(dense))).alias("s")), "starts")
 
     # Texts of documents with windows are read once more and cut.
     own = starts.groupBy("doc_id", "t").agg(F.collect_set(F.struct("g", "n", "s")).alias("cuts")).withColumnsRenamed({"doc_id": "docloom_w_id", "t": "w_t"})

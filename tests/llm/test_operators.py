@@ -473,6 +473,31 @@ def test_decontamination(spark, docs, none):
     assert decontam.keep_clean(spark, docs, bench).columns == docs.columns
 
 
+def test_decontamination_finds_reordered_items(spark):
+    rng = np.random.default_rng(81)
+    word = lambda n: [f"t{i}" for i in rng.integers(0, 10**6, n)]
+    items = [word(100), word(60), word(60)]
+    swapped = items[0][50:] + items[0][:50]
+    turned = items[1][40:] + items[1][20:40] + items[1][:20]
+    texts = [[*word(80), *swapped, *word(70)], [*swapped, *word(3)], [*word(200), *items[0][50:], *word(30), *items[0][:50]], [*word(30), *turned, *word(30)]]
+    texts += [[*word(40), *items[2][30:], *items[2][:30]], [*word(10), *items[1], *word(5), *items[2][25:], *items[2][:25], *word(9)], swapped[4:], [*items[0][60:], *items[0][:60], *swapped]]
+
+    def similarity(a, b):
+        a, b = (collections.Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (a, b))
+        return sum((a & b).values()) / sum((a | b).values())
+
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            best = max((similarity(text[s : s + len(item)], item), -s) for s in range(max(1, len(text) - len(item) + 1)))
+            if best[0] >= 0.8:
+                want[d, i] = (round(best[0], 9), -best[1])
+    assert {(0, 0), (1, 0), (4, 2), (6, 0)} <= set(want) and (2, 0) not in want
+    docs2, bench = (spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{name} long, text string") for rows, name in ((texts, "doc_id"), (items, "item_id")))
+    out = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in decontam.contaminated(spark, docs2, bench).collect()}
+    assert out == want
+
+
 def test_decontamination_is_native(spark):
     import inspect
 
