@@ -4,8 +4,8 @@ Plain forms are searched in the text as it stands. A transducer then rewrites th
 text symbol by symbol: homoglyphs and full-width forms become ASCII, runs of spelled
 digits become digits, and ``at``/``dot`` disguises become ``@`` and ``.``. It keeps,
 for each symbol of its output, the span of source characters that it came from, so
-that what is found in its output is reported in source offsets. Found spans that a
-plain span of the same kind covers or touches aren't added.
+that what is found in its output is reported in source offsets. Found spans that lie
+within a plain span of the same kind aren't added; plain spans always stay.
 
 Each search reads a text once: all quantified runs are taken whole, and no start is
 tried twice, so that long runs of digits or letters don't cost their square.
@@ -129,15 +129,19 @@ SPELLED = "|".join(sorted(DIGITS, key=len, reverse=True))
 #: A run of at least four spelled digits, or of a spelled sign among digits.
 RUN = re.compile(rf"(?<![^\W_])(?:{SPELLED})(?:(?:[\s,.-]{{1,3}}|\s*[()]\s*)(?:{SPELLED}|[0-9]+)){{3,}}(?![^\W_])", re.I)
 NUMBER = re.compile(rf"(?:{SPELLED}|[0-9])(?![^\W_0-9])", re.I)
-WORD = r"[A-Za-z0-9_%+-]+"
-#: A bracketed sign is enough; bare words at and dot must both stand between words of an address.
+WORD = r"[A-Za-z0-9_%+-]++"
+#: A bracketed sign is enough; bare words at and dot must stand between words of an address.
 AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I)
 DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*", re.I)
-SPOKEN = re.compile(rf"(?<![\w.@])(?:{WORD})(?:(?: dot |\.)(?:{WORD})){{0,4}} at (?:{WORD})(?:(?: dot )(?:{WORD})){{1,4}}(?![\w@])", re.I)
-BETWEEN = re.compile(r" (at|dot) ", re.I)
+SPOKEN = re.compile(rf"(?<![\w.@%+-]){WORD}(?:(?:\s+dot\s+|\.){WORD}){{0,4}}(?:\s+at\s+|@)(?P<domain>{WORD}(?:(?:\s+dot\s+|\.){WORD}){{1,4}})(?![\w@])", re.I)
+BETWEEN = re.compile(r"\s+(at|dot)\s+", re.I)
+#: After a bare at, a domain without a spoken dot must be one by its looks and no start of a URL.
+DOMAIN_ONLY = re.compile(r"(?!www\.)[A-Za-z0-9.-]*\.[A-Za-z]{2,}", re.I)
+#: What bare words need before SPOKEN can change a text.
+BARE = re.compile(r"\sdot\s|\sat\s+[a-z0-9_%+-]++\.[a-z0-9]")
 BRACKET = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
 #: Signs beyond Latin letters, among them all that fold() changes.
-FOREIGN = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-ɏ]")
+FOREIGN = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\xb1\xb4-\xb8\xba-\u0130\u0132-ɏ]")
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -164,7 +168,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and FOREIGN.search(text):
         return True
     low = text.lower()
-    return BRACKET.search(low) is not None or " dot " in low and " at " in low or spelled(low)
+    return BRACKET.search(low) is not None or BARE.search(low) is not None or spelled(low)
 
 
 def fold(text: str) -> tuple[str, list[int], list[int]]:
@@ -213,10 +217,24 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
     text, a, b = rewrite(text, a, b, edits)
     edits = [(m.start(), m.end(), "@") for m in AT.finditer(text)] + [(m.start(), m.end(), ".") for m in DOT.finditer(text)]
     for m in SPOKEN.finditer(text):
+        domain = m["domain"]
+        if "@" not in m.group() and not BETWEEN.search(domain) and (not DOMAIN_ONLY.fullmatch(domain) or text[m.end() : m.end() + 1] in ("/", ":")):
+            continue
         edits += [(n.start(), n.end(), "@" if n.group(1).lower() == "at" else ".") for n in BETWEEN.finditer(text, m.start(), m.end())]
     return rewrite(text, a, b, edits)
 
 
+def uncovered(more: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of more that lie within none of spans, which don't cross each other."""
+    out, at = [], 0
+    for i, j in more:
+        while at < len(spans) and spans[at][1] < j:
+            at += 1
+        if at == len(spans) or spans[at][0] > i:
+            out.append((i, j))
+    return out
+
+
 def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Plain spans by kind, and those with what only the normalised text shows."""
     if not text:
@@ -228,8 +246,7 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     every = {}
     for kind, spans in base.items():
         more = {(a[i], b[j - 1]) for i, j in SEARCH[kind](new)} - set(spans)
-        taken = sorted([s for k in KINDS for s in base[k]])
-        every[kind] = sorted(spans + [s for s in more if not any(s[0] < t[1] and t[0] < s[1] for t in taken)])
+        every[kind] = sorted(spans + uncovered(sorted(more), spans))
     return base, every
 
 

@@ -277,6 +277,24 @@ def test_pii_disguises_map_back(text, kind, part):
     assert part in [text[i:j] for i, j in every[kind]] and all(set(base[k]) <= set(every[k]) for k in pii.KINDS)
 
 
+@pytest.mark.parametrize(
+    "part",
+    ["jоhn@example.com", "john@example.cоm", "john@mail.example [dot] com", "john@host dot com", "john at example.com", "john  at  host \n dot  com", "john dot doe@example.com", "johnı@example.com", "john at mail.example dot org"],
+)
+def test_pii_disguised_parts_of_plain_spans(part):
+    text = f"é write {part}, please"
+    base, every = pii.find(text)
+    assert part in [text[i:j] for i, j in every["email"]] and base == pii.plain(text) and all(set(base[k]) <= set(every[k]) for k in pii.KINDS)
+
+
+def test_pii_gate_covers_what_fold_changes():
+    import sys
+
+    changed = [c for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and pii.fold(c)[0] != c]
+    assert changed and all(pii.disguised(c) for c in changed)
+    assert pii.joined(pii.find("see it at www.example.com or at example.com/path, grew at 3.5 now")[1]) == ""
+
+
 @pytest.mark.parametrize("text", ["we met at noon and one dot remained", "one two three of them", "un un un un", "a plain text, at rest.", "look at this (dot) here"])
 def test_pii_leaves_plain_texts(text):
     assert pii.joined(pii.find(text)[1]) == ""
