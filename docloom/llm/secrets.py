@@ -6,13 +6,16 @@ more). Weak parts are reported only beside complementary ones:
 
 * ``id``: an assigned user, client, account or access-key identifier;
 * ``key``: a bare token of 24 characters or more that holds a letter and a digit;
-* ``endpoint``: a URL with a host.
+* ``endpoint``: a URL of any scheme with a host, also behind ``jdbc:``, or a dotted host,
+  an address or localhost with a port;
+* ``short``: as ``assign``, with a value of less than 12 characters.
 
 A scope is the ``scope`` characters from a part's end on to another part's start. A
-``key`` is reported if an ``id`` or ``access`` is within scope; an ``id`` if a secret
-(``key``, ``assign`` or ``hex``) is; an ``endpoint`` if both an identifier and a secret
-are. A weak part that overlaps a certain one is that part seen again and isn't
-reported.
+``key`` is reported if an ``id`` or ``access`` is within scope; a ``short`` if one of
+these or an ``endpoint`` is; an ``id`` if a secret (``key``, ``short``, ``assign`` or
+``hex``) is; an ``endpoint`` if both an identifier and a secret are, be it in its own
+query. A weak part that overlaps a certain one is that part seen again and isn't
+reported, except that an endpoint may hold one.
 
 Everything is a DataFrame expression. Positions come from splitting a text at its
 matches: gaps and matches add up. Parts are linked by a band join: scopes are binned
@@ -37,10 +40,11 @@ PATTERNS = {
     "hex": r"[0-9a-f]{16,}",
     "id": r"""([Aa][Cc][Cc][Ee][Ss][Ss]_?[Kk][Ee][Yy]_?[Ii][Dd]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]_?[Ii][Dd]|[Uu][Ss][Ee][Rr]([Nn][Aa][Mm][Ee])?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""",
     "key": r"[A-Za-z0-9+/_=-]{24,}",
-    "endpoint": r"""https?://[A-Za-z0-9.-]+(:[0-9]+)?(/[^\x20\x09-\x0D"'<>]*)?""",
+    "endpoint": r"""(?<![A-Za-z0-9+.-])([Jj][Dd][Bb][Cc]:)?[A-Za-z0-9+.-]++://([^\x20\x09-\x0D"'<>/@]*+@)?[A-Za-z0-9.-]+(:[0-9]+)?([/;?][^\x20\x09-\x0D"'<>]*)?|(?<![A-Za-z0-9+.-])([Ll][Oo][Cc][Aa][Ll][Hh][Oo][Ss][Tt]|[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+):[0-9]{2,5}(?![0-9])""",
 }
 BASE = ("assign", "access", "hex")
-KINDS = tuple(PATTERNS)
+#: Names of kinds; the last has no pattern of its own.
+KINDS = (*PATTERNS, "short")
 
 
 def pieces(text: Column, kind: str) -> Column:
@@ -53,17 +57,18 @@ def pieces(text: Column, kind: str) -> Column:
 def parts(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, rid, size) of docs, and their parts: the same, kind, start, stop."""
     text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", F.xxhash64(text).alias("rid"), F.length(text).alias("size"), *[pieces(text, k).alias(k) for k in KINDS])
+    found = docs.select("doc_id", F.xxhash64(text).alias("rid"), F.length(text).alias("size"), *[pieces(text, k).alias(k) for k in PATTERNS])
     found = save(spark, found, "pieces")
-    some = found.where(" or ".join(f"`{k}` is not null" for k in KINDS)).dropDuplicates(["doc_id", "rid", "size"])
-    each = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("kind"), F.col(f"{k}.m").alias("m"), F.col(f"{k}.g").alias("g")) for k in KINDS])
+    some = found.where(" or ".join(f"`{k}` is not null" for k in PATTERNS)).dropDuplicates(["doc_id", "rid", "size"])
+    each = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("kind"), F.col(f"{k}.m").alias("m"), F.col(f"{k}.g").alias("g")) for k in PATTERNS])
     flat = some.select("doc_id", "rid", "size", F.explode(each).alias("x")).where("x.m is not null")
     flat = flat.select("doc_id", "rid", "size", "x.kind", F.posexplode(F.arrays_zip("x.m", F.slice("x.g", F.lit(1), F.size("x.m"))).alias("p")).alias("i", "p"))
     flat = flat.select("doc_id", "rid", "size", "kind", "i", F.col("p.m").alias("m"), F.col("p.1").alias("g")).withColumn("n", F.length("m"))
     w = Window.partitionBy("doc_id", "rid", "size", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     flat = flat.withColumn("stop", F.sum(F.col("g") + F.col("n")).over(w).cast("long")).withColumn("start", F.col("stop") - F.col("n"))
     value = F.length(F.regexp_extract("m", PATTERNS["assign"], 2))
-    holds = (F.col("kind") == 0) & (value >= 12) | (F.col("kind") == 4) & F.col("m").rlike("[0-9]") & F.col("m").rlike("[A-Za-z]") | F.col("kind").isin(1, 2, 3, 5)
+    flat = flat.withColumn("kind", F.when((F.col("kind") == 0) & (value < 12), KINDS.index("short")).otherwise(F.col("kind")))
+    holds = (F.col("kind") == 4) & F.col("m").rlike("[0-9]") & F.col("m").rlike("[A-Za-z]") | F.col("kind").isin(0, 1, 2, 3, 5, 6)
     return found.select("doc_id", "rid", "size"), flat.where(holds).select("doc_id", "rid", "size", "kind", "start", "stop")
 
 
@@ -79,12 +84,16 @@ def scan(spark: SparkSession, docs: DataFrame, scope: int = 200) -> DataFrame:
     on = [weak[c].eqNullSafe(other[c]) for c in own] + [weak["bin"] == other["bin"], F.col("o_start") <= F.col("stop") + scope, F.col("start") <= F.col("o_stop") + scope]
     near = weak.join(other.select(*[F.col(c) for c in other.columns]), on).select(*[weak[c] for c in own], "kind", "start", "stop", "o_kind", "o_start", "o_stop")
     cross = (F.col("o_start") < F.col("stop")) & (F.col("start") < F.col("o_stop"))
+    # What stands in an endpoint, such as its query, isn't the endpoint seen again.
+    inside = lambda a, b: (F.col(f"{a}kind") == 5) & (F.col(f"{a}start") <= F.col(f"{b}start")) & (F.col(f"{b}stop") <= F.col(f"{a}stop")) & (F.col(f"{b}kind") != 5)
+    apart = ~cross | inside("", "o_") | inside("o_", "")
     near = near.groupBy(*own, "kind", "start", "stop").agg(
-        F.max(cross & F.col("o_kind").isin(0, 1, 2)).alias("again"),
-        F.max(~cross & F.col("o_kind").isin(1, 3)).alias("by_id"),
-        F.max(~cross & F.col("o_kind").isin(0, 2, 4)).alias("by_key"),
+        F.max(~apart & F.col("o_kind").isin(0, 1, 2)).alias("again"),
+        F.max(apart & F.col("o_kind").isin(1, 3)).alias("by_id"),
+        F.max(apart & F.col("o_kind").isin(0, 2, 4, 6)).alias("by_key"),
+        F.max(apart & (F.col("o_kind") == 5)).alias("by_endpoint"),
     )
-    linked = near.where("not again and (kind = 3 and by_key or kind = 4 and by_id or kind = 5 and by_id and by_key)")
+    linked = near.where("not again and (kind = 3 and by_key or kind = 4 and by_id or kind = 5 and by_id and by_key or kind = 6 and (by_id or by_endpoint))")
     kept = found.where("kind < 3").unionByName(linked.select(*own, "kind", "start", "stop"))
     spans = kept.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans"))
     spans = spans.select(*[F.col(c).alias(f"s_{c}") for c in own], "spans")

@@ -148,6 +148,25 @@ def test_secrets(spark):
     assert secrets.scan(spark, docs.limit(0)).count() == 0
 
 
+def test_short_secrets_and_endpoints_of_other_schemes(spark):
+    texts = {
+        "user=admin password=hunter2 https://db.example.com": "id short endpoint",
+        "password=hunter2 at postgres://db.example.com:5432/x": "short",
+        "user=admin password=hunter2 jdbc:mysql://db/x": "id short endpoint",
+        "jdbc:postgresql://db.example.com/x?user=root&password=hunter2": "id short endpoint",
+        "username: admin, passwd: pw1, 10.0.0.7:6379": "id short endpoint",
+        "redis://cache:6379 user=admin password=abcdefghijkl": "endpoint id assign",
+        "password=hunter2 alone": "",
+        "password=hunter2" + " far" * 100 + " user=admin": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in secrets.scan(spark, docs).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert sorted(secrets.KINDS[s[1]] for s in out[i]) == sorted(want.split()), text
+        assert [tuple(s) for s in out[i] if s[1] < 3] == base_secrets(text)
+        assert all(text[s[0] : s[2]].startswith("pass") for s in out[i] if s[1] == 6)
+
+
 # 3, 9, 10: classifiers
 
 
