@@ -50,6 +50,10 @@ def simhash(hashes: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 63), 0L, (f, b) -> f | IF({bit}, shiftleft(1L, b), 0L))")
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -68,15 +72,13 @@ def block(fp: str, b: int) -> str:
     return f"shiftrightunsigned({fp}, {width * b}) & {(1 << width) - 1}L"
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = 16) -> DataFrame:
-    """doc_id, item_id, start (words before the window), n_words, similarity, distance."""
+def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = 16) -> DataFrame | None:
+    """doc_id, t (hash of the text), ikey, item_id, s, n, similarity, distance of windows; None without items."""
     items = items_of(spark, benchmark, k)
     lengths = sorted(r.g for r in items.select("g").distinct().collect())
-    result = "doc_id, item_id, start, n_words, similarity, distance"
     if not lengths:
-        ids = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
-        return spark.createDataFrame([], f"{ids}, start int, n_words int, similarity double, distance int")
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
+        return None
+    keyed = docs.select("doc_id", text_hash().alias("t"), "text")
     places = small(items.select("n", "g", F.posexplode("hs").alias("j", "h")).select("n", "g", "j", "h").distinct())
 
     worded = keyed.select("doc_id", "t", F.expr(WORDS).alias("words"))
@@ -123,11 +125,24 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
     inter = both.groupBy(*key, "ikey", "distance", "w_all").agg(F.sum(F.least("m", "c")).alias("inter"))
     about = items.select(F.col("ikey").alias("a_key"), "item_id", F.size("hs").alias("i_all"))
     found = inter.join(small(about), F.col("ikey") == F.col("a_key")).withColumn("similarity", F.expr("inter / double(w_all + i_all - inter)"))
-    found = found.where(F.col("similarity") >= least).groupBy("doc_id", "ikey").agg(F.max("item_id").alias("item_id"), F.max_by(F.struct(F.col("s").alias("start"), F.col("n").alias("n_words"), "similarity", "distance"), F.struct("similarity", -F.col("s"), "t")).alias("best"))
+    return found.where(F.col("similarity") >= least).select("doc_id", "t", "ikey", "item_id", "s", "n", "similarity", "distance")
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """doc_id, item_id, start (words before the window), n_words, similarity, distance."""
+    found = matches(spark, docs, benchmark, **how)
+    result = "doc_id, item_id, start, n_words, similarity, distance"
+    if found is None:
+        ids = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
+        return spark.createDataFrame([], f"{ids}, start int, n_words int, similarity double, distance int")
+    found = found.groupBy("doc_id", "ikey").agg(F.max("item_id").alias("item_id"), F.max_by(F.struct(F.col("s").alias("start"), F.col("n").alias("n_words"), "similarity", "distance"), F.struct("similarity", -F.col("s"), "t")).alias("best"))
     return found.select("doc_id", "item_id", "best.*").selectExpr(*result.split(", "))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """Rows of docs that hold no benchmark item."""
-    gone = save(spark, contaminated(spark, docs, benchmark, **how).select(F.col("doc_id").alias("docloom_gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("docloom_gone")), "left_anti")
+    """Rows of docs that hold no benchmark item; rows are told apart by id and text."""
+    found = matches(spark, docs, benchmark, **how)
+    if found is None:
+        return docs
+    gone = save(spark, found.select(F.col("doc_id").alias("docloom_gone"), F.col("t").alias("docloom_t")).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("docloom_gone")) & (text_hash() == F.col("docloom_t")), "left_anti")

@@ -353,8 +353,20 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: i
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """Rows of docs that are the smallest of their group; all rows of that id stay."""
-    found = join(spark, docs, **how)
-    gone = save(spark, found.where("component_id <> doc_id").select("doc_id").distinct(), "gone").withColumnRenamed("doc_id", "docloom_gone")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("docloom_gone"), "left_anti")
+    """One row of each group, that of the smallest id, null ids last; rows without shingles stay. Rows are known by id and text."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    found = join(spark, docs.select(key.alias("doc_id"), "text"), **how).where("n_shingles > 0").groupBy(F.col("doc_id").alias("row"), "component_id").agg(F.count("*").alias("n"))
+    ids = docs.select(key.alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", text.alias("t")).alias("place")).distinct()
+    found = save(spark, found.join(ids, "row"), "rows")
+    first = found.groupBy("component_id").agg(F.min("place").alias("first"))
+    told = found.join(first, "component_id").withColumn("kept", F.col("place").eqNullSafe(F.col("first")))
+    told = save(spark, told.where("not kept or n > 1").select(F.col("row").alias("docloom_row"), "kept"), "told")
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    # Kept rows that repeat id and text are read once more and told to one.
+    once = docs.join(sent(told), key == F.col("docloom_row"), "left_anti")
+    more = docs.join(sent(told.where("kept")), key == F.col("docloom_row"), "left_semi").withColumn("docloom_row", key).dropDuplicates(["docloom_row"])
+    return once.unionByName(more.drop("docloom_row"))

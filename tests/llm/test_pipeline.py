@@ -31,3 +31,16 @@ def test_queries_have_their_columns(spark):
     for start, cols in want.items():
         name = next(n for n in found if n.startswith(start))
         assert set(cols.split()) <= set(found[name](spark, sf).columns), name
+
+
+def test_stages_tell_rows_apart_by_id_and_text(spark):
+    from docloom.llm import decontam, ngram_join
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    out = decontam.keep_clean(spark, frame([(None, a), (None, b), (1, a), (1, c), (2, None), (None, None)]), spark.createDataFrame([(7, a)], "item_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, b), (1, c), (2, None), (None, None)], key=str)
+    rows = [(None, a), (None, a), (5, a), (3, a), (3, a), (3, b), (None, c), (None, c), (4, ""), (4, ""), (None, d), (None, d + " end")]
+    out = sorted(map(tuple, ngram_join.keep_first(spark, frame(rows)).collect()), key=str)
+    ends = [r for r in out if r[1].startswith("d0")]
+    assert len(ends) == 1 and [r for r in out if r not in ends] == sorted([(3, a), (3, b), (None, c), (4, ""), (4, "")], key=str)
