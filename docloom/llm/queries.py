@@ -109,7 +109,7 @@ WITH sized AS (
 ), held AS (
   SELECT arg_min(level, (ratio, i)) AS level FROM levels WHERE ratio > level
 ), plan AS (
-  SELECT source, source_size, round(CASE WHEN h.level IS NULL THEN cap ELSE least(cap, w * h.level) END, 3)::DOUBLE AS target
+  SELECT source, source_size, (CASE WHEN h.level IS NULL THEN cap ELSE least(cap, w * h.level) END)::DOUBLE AS target
   FROM levels LEFT JOIN held h ON true
 ), placed AS (
   SELECT k.doc_id, k.source, k.size, p.source_size, p.target,
