@@ -2,7 +2,8 @@
 
 Edges are rewired towards smaller neighbours until each vertex points at the smallest
 of its component. A step is a minimum per vertex (combined before the shuffle) and an
-equi-join with it, so a vertex with very many neighbours is no group to be collected.
+equi-join with it. Vertices with many neighbours are looked up apart (look_up()), so that
+the edges of one never meet in a task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.lookup import look_up
 from docloom.llm.storage import drop, save
 
 
@@ -18,8 +20,8 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     now = save(spark, edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "edges")
     before = None
     for _ in range(rounds):
-        large = save(spark, _star(now, True), "large")
-        small = save(spark, _star(large, False), "small")
+        large = _star(spark, now, True)
+        small = _star(spark, large, False)
         drop(spark, large)
         drop(spark, now)
         now = small
@@ -33,13 +35,15 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(spark: SparkSession, edges: DataFrame, large: bool) -> DataFrame:
     """edges: u > v. Large: larger neighbours of a node go to its smallest one; small: smaller ones do."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "at")
-    out = both.join(least, F.col("u") == F.col("at"))
+    least = save(spark, both.groupBy(F.col("u").alias("at")).agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+    out = look_up(both, least.withColumnRenamed("at", "own"), "u", "own", "n", "v")
     if large:
         moved = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = out.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("at").alias("u"), F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    done = save(spark, moved.where("u <> v").distinct(), "star")
+    drop(spark, least)
+    return done

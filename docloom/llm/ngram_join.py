@@ -26,7 +26,8 @@ How it stays whole and bounded:
   ``least`` lists stay; a longer one connects its members to its smallest at once, which
   is linear in its length and loses none. Equal sets count once in each.
 * Families: where the shingles of one exceed ``family``, it is cut into parts by hash
-  and each two parts are searched together, so that a task holds two parts at most.
+  and each two parts are searched together, so that a task holds two parts at most; parts
+  are dealt apart, by family and pair.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 rows that repeat an id have one component, that of their texts' links and of the id;
@@ -48,8 +49,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.graph import components
+from docloom.llm.lookup import look_up
 from docloom.llm.shingles import shingle_sets
-from docloom.llm.storage import save
+from docloom.llm.storage import Scope, save, scope
 from docloom.llm.textbytes import chunks
 
 #: Ids up to this many are sent to all executors to pick their documents; more are joined by a shuffle.
@@ -315,11 +317,15 @@ def search(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, num
                 yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["root", "digest", "n", "s"])
 
     packed = save(spark, rows.mapInArrow(run, "root long, digest long, n long, s binary"), "sets")
-    sizes = packed.groupBy("root").agg(F.sum("n").alias("all")).withColumn("parts", F.ceil(F.col("all") / family).cast("int")).withColumnRenamed("root", "r")
+    sizes = packed.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") > family)
+    cut = save(spark, sizes.select(F.col("root").alias("r"), F.ceil(F.col("all") / family).cast("int").alias("parts"), "all"), "cut")
+    # Only families of several parts are looked up; there is one at most in so many shingles.
+    dealt = look_up(packed, cut, "root", "r", "all", "digest")
     # Part p of c meets each other one: pairs (a, b) with a < b that p is one of; a family of one part is the pair (0, 0).
-    dealt = packed.join(sizes, F.col("root") == F.col("r")).withColumn("p", F.pmod(F.xxhash64("digest", F.lit(6)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("digest", F.lit(6)), F.col("parts")).cast("int"))
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("p"))))
     dealt = dealt.select("root", "digest", "s", "p", other.alias("o")).select("root", F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b"), "digest", "s")
+    dealt = dealt.repartition("root", "a", "b")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("digest")
@@ -329,14 +335,19 @@ def search(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, num
     return dealt.groupBy("root", "a", "b").applyInPandas(meet, "u long, v long")
 
 
-def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, common: int = 16, most_common: int = 1 << 21, least: int = 4, star: int = 32, family: int = 600_000) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, common: int = 16, most_common: int = 1 << 21, least: int = 4, star: int = 32, family: int = 200_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), one row for each row of docs."""
-    known = save(spark, sets_of(docs, k), "known")
+    with scope(spark) as own:
+        return _joined(spark, docs, k, num, den, common, most_common, least, star, family, own)
+
+
+def _joined(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int, common: int, most_common: int, least: int, star: int, family: int, own: Scope) -> DataFrame:
+    known = own.keep(save(spark, sets_of(docs, k), "known"))
     total = known.agg(F.sum("n")).first()[0] or 0
     often = frequent(spark, docs, k, total, common, most_common)
     edges = save(spark, short_edges(spark, docs, k, num, den, often, total, least, star), "short")
     families = save(spark, components(spark, edges), "families")
-    classes = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    classes = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
     members = save(spark, classes.join(families, F.col("digest") == F.col("node")).select("doc_id", "digest", "root"), "members")
     links = save(spark, search(spark, docs, members, k, num, den, family), "links")
 
@@ -344,11 +355,12 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: i
     ids = known.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("v"), F.max("digest").alias("m"))
     twice = known.where("digest is not null").join(ids.where("v <> m").select("doc_id", "v"), "doc_id").select(F.col("digest").alias("u"), "v")
     roots = components(spark, links.unionByName(twice))
-    rooted = classes.join(roots, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("root", "digest").alias("root"), "doc_id")
+    rooted = classes.join(roots, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("root", "digest").alias("root"), "doc_id", "rows")
     rooted = save(spark, rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = rooted.join(least, "root").select(F.col("digest").alias("c_digest"), "least")
-    out = known.join(named, F.col("digest") == F.col("c_digest"), "left")
+    first = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Only classes of several rows or with a link are looked up; any other row is its own component.
+    named = rooted.join(first, "root").where("rows > 1 or doc_id <> least").select(F.col("digest").alias("c_digest"), "least", "rows")
+    out = look_up(known, own.keep(save(spark, named, "named")), "digest", "c_digest", "rows", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
@@ -356,12 +368,14 @@ def keep_first(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """One row of each group, that of the smallest id, null ids last; rows without shingles stay. Rows are known by id and text."""
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-    found = join(spark, docs.select(key.alias("doc_id"), "text"), **how).where("n_shingles > 0").groupBy(F.col("doc_id").alias("row"), "component_id").agg(F.count("*").alias("n"))
-    ids = docs.select(key.alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", text.alias("t")).alias("place")).distinct()
-    found = save(spark, found.join(ids, "row"), "rows")
-    first = found.groupBy("component_id").agg(F.min("place").alias("first"))
-    told = found.join(first, "component_id").withColumn("kept", F.col("place").eqNullSafe(F.col("first")))
-    told = save(spark, told.where("not kept or n > 1").select(F.col("row").alias("docloom_row"), "kept"), "told")
+    with scope(spark) as own:
+        found = join(spark, docs.select(key.alias("doc_id"), "text"), **how).where("n_shingles > 0").groupBy(F.col("doc_id").alias("row"), "component_id").agg(F.count("*").alias("n"))
+        ids = docs.select(key.alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", text.alias("t")).alias("place")).distinct()
+        found = save(spark, found.join(ids, "row"), "rows")
+        # Rows alone in their component and in the table are kept as they are.
+        first = found.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("in_all")).where("in_all > 1").withColumnRenamed("component_id", "c")
+        told = look_up(found, save(spark, first, "first"), "component_id", "c", "in_all", "row").withColumn("kept", F.col("first").isNull() | F.col("place").eqNullSafe(F.col("first")))
+        told = own.keep(save(spark, told.where("not kept or n > 1").select(F.col("row").alias("docloom_row"), "kept"), "told"))
 
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
