@@ -18,20 +18,52 @@ EXCERPT = 30
 GROUPING = ("Part", "Sect", "Art", "Div")
 HEADINGS = ("P", "H1", "H2", "H3", "H4", "H5", "H6")
 ARTIFACT_ROLES = ("P", "Link", "Span", "Figure", "Lbl", "LBody")
+# Roles that are no members of a list.
+NO_LIST_MEMBERS = ("Art", "Part", "Sect", "Div", "Document", "L", "LI", "Lbl", "LBody", "Table", "TR", "TD", "TH", "THead", "TBody", "TFoot")
 TOC_CHILDREN = ("Caption", "TOC", "TOCI")
 
 # Children that each role allows.
-_HEADING = "Lbl Span Note Reference"
-_BLOCK = "BlockQuote Caption Div Figure H1 H2 H3 H4 H5 H6"
 ALLOWED = {
-    "Annot": "Span", "Art": f"{_BLOCK} L Note P Sect Table TOC", "BibEntry": "Span", "BlockQuote": "L Link P Reference Span", "Caption": "Lbl Span P", "Code": "",
-    "Div": f"{_BLOCK} L Link Note P Sect Table TOC", "Document": f"Art {_BLOCK} Index L Note P Part Sect Table TOC", "Figure": "Caption Lbl", "Form": "", "Formula": "Caption Lbl",
-    "H1": _HEADING, "H2": _HEADING, "H3": _HEADING, "H4": _HEADING, "H5": _HEADING, "H6": _HEADING, "Index": "L P", "L": "Caption LI", "Lbl": "Span Figure",
-    "LBody": "Code Figure Formula L Link Note Quote P Reference Span", "LI": "Lbl LBody", "Link": "Figure Lbl P Span", "Note": "L Lbl P Figure Caption",
-    "P": "Annot BibEntry Code Figure Form Formula Link Note Quote Reference Span", "Part": f"Art {_BLOCK} L Link Note P Sect Table TOC", "Quote": "Span", "Reference": "Lbl Link Span",
-    "Sect": f"Art {_BLOCK} L Note P Sect Table", "Span": "Link Reference Span", "Table": "Caption TR THead TBody TFoot", "TBody": "TR", "TD": "P Span", "TFoot": "TR", "TH": "P Span",
-    "THead": "TR", "TOC": "Caption TOC TOCI", "TOCI": "Lbl P Span", "TR": "TH TD",
-}
+    "Annot": "Span",
+    "Art": "BlockQuote Caption Div Figure H1 H2 H3 H4 H5 H6 L Note P Sect Table TOC",
+    "BibEntry": "Span",
+    "BlockQuote": "L Link P Reference Span",
+    "Caption": "Lbl Span P",
+    "Code": "",
+    "Div": "BlockQuote Caption Div Figure H1 H2 H3 H4 H5 H6 L Link Note P Sect Table TOC",
+    "Document": "Art BlockQuote Caption Div Figure H1 H2 H3 H4 H5 H6 Index L Note P Part Sect Table TOC",
+    "Figure": "Caption Lbl",
+    "Form": "",
+    "Formula": "Caption Lbl",
+    "H1": "Lbl Span Note Reference",
+    "H2": "Lbl Span Note Reference",
+    "H3": "Lbl Span Note Reference",
+    "H4": "Lbl Span Note Reference",
+    "H5": "Lbl Span Note Reference",
+    "H6": "Lbl Span Note Reference",
+    "Index": "L P",
+    "L": "Caption LI",
+    "Lbl": "Span Figure",
+    "LBody": "Code Figure Formula L Link Note Quote P Reference Span",
+    "LI": "Lbl LBody",
+    "Link": "Figure Lbl P Span",
+    "Note": "L Lbl P Figure Caption",
+    "P": "Annot BibEntry Code Figure Form Formula Link Note Quote Reference Span",
+    "Part": "Art BlockQuote Caption Div Figure H1 H2 H3 H4 H5 H6 L Link Note P Sect Table TOC",
+    "Quote": "Span",
+    "Reference": "Lbl Link Span",
+    "Sect": "Art BlockQuote Caption Div Figure H1 H2 H3 H4 H5 H6 L Note P Sect Table",
+    "Span": "Link Reference Span",
+    "Table": "Caption TR THead TBody TFoot",
+    "TBody": "TR",
+    "TD": "P Span",
+    "TFoot": "TR",
+    "TH": "P Span",
+    "THead": "TR",
+    "TOC": "Caption TOC TOCI",
+    "TOCI": "Lbl P Span",
+    "TR": "TH TD",
+}
 REQUIRED = {"L": ["LI"]}
 PATTERNS = {"LI": "Lbl? LBody"}
 
@@ -45,5 +77,55 @@ ARTIFACTS = {
 # Ligature code points and what they stand for.
 LIGATURES = {0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "ffl", 0xFB05: "st", 0xFB06: "st"}
 
+# Codes of fonts named Arial and what they stand for, where they are mapped to its first letter.
+ARIAL_CODES = {0x00BF: "fi", 0x1087: "ff", 0x108B: "st"}
+
 # Notes in titles.
 NOTE_PREFIX, TOOL_MARK, NOTE_SEPARATOR, VERIFIED = "__", ":", " // ", "OK"
+
+# Kinds of issues and what a group of them is called.
+LABELS = {
+    "IMAGE_ONLY_DOCUMENT": "image-only document with no text",
+    "FALSE_PDFUA_CONFORMANCE": "false PDF/UA conformance claim",
+    "LANGUAGE_NOT_SET": "language not set",
+    "NOT_TAGGED_PDF": "PDF not marked as tagged",
+    "NO_STRUCT_TREE": "structure tree missing",
+    "TAB_ORDER_NOT_SET": "tab order not set",
+    "LIGATURE_MAPPING_BROKEN": "fonts with broken ligature mappings",
+    "TAG_UNKNOWN_ROLE": "tags with unknown roles",
+    "TAG_WRONG_PARENT": "tags with wrong parent",
+    "TAG_WRONG_CHILD": "tags with wrong children",
+    "TAG_WRONG_CHILD_COUNT": "tags with wrong child count",
+    "TAG_WRONG_CHILD_PATTERN": "tags with wrong child pattern",
+    "FIGURE_WITH_TEXT": "Figure elements containing text",
+    "FIGURE_MISSING_ALT": "images missing alt text",
+    "EMPTY_LINK_TAG": "Link elements without description",
+    "INVALID_LINK_URI": "Link elements with invalid URIs",
+    "LINK_SPLIT_ACROSS_TAGS": "single links split across several Link tags",
+    "MISSING_DOCUMENT_ELEMENT": "no Document element under /StructTreeRoot",
+    "PAGE_PARTS_NOT_NORMALIZED": "elements not grouped into page-level Part elements",
+    "STRUCT_TREE_OUT_OF_ORDER": "structure tree siblings out of reading order",
+    "NEEDLESS_NESTING": "unnecessary Part/Sect/Art/Div grouping elements",
+    "MISTAGGED_ARTIFACT": "tagged content that should be artifacts",
+    "MISARTIFACTED_TEXT": "artifact blocks containing text that should be tagged",
+    "UNMARKED_LINK": "Link annotations not tagged",
+    "UNEXPECTED_WIDGET": "non-functional Widget annotations",
+    "ORPHANED_CONTENT": "orphaned MCRs",
+    "INCONSISTENT_PARENT_TREE": "marked content missing from the page ParentTree",
+    "EMPTY_ELEMENT": "empty structure elements",
+    "LIST_TAGGED_AS_PARAGRAPHS": "list tagged as a series of paragraphs",
+    "SUBLIST_TAGGED_AS_PARAGRAPHS": "sublist tagged as a series of paragraphs",
+    "LIST_SPLIT_BY_SUBLIST": "list split in two around a sublist",
+    "BULLET_ALIGNED_KIDS_IN_ELEMENT": "bullet-aligned content inside non-list element",
+    "PARAGRAPH_OF_LINKS": "paragraphs containing only links",
+    "ROLEMAP_PRESENT": "RoleMap present in structure tree root",
+    "SCRIBBLED_INSTRUCTION": "elements with structural-instruction scribbles",
+    "STALE_SCRIBBLE": "elements with stale workflow scribbles in /T",
+    "NAMED_DESTINATIONS_PRESENT": "named destinations in /Catalog /Names /Dests",
+    "WEB_CAPTURES_NOT_GROUPED": "Web Capture URLs not wrapped in Article elements",
+    "WEB_CAPTURES_BADLY_ORDERED": "Web Capture pages not in configured URL order",
+    "MISTAGGED_HEADING": "headings tagged as paragraphs",
+    "IMPROPERLY_NESTED_HEADING": "headings with skipped or out-of-order levels",
+    "IRREGULAR_TOC": "TOC contents not nested into a TOCI hierarchy",
+    "MIXED_FONT_MARKED_CONTENT": "marked content lumping differently-sized lines",
+}

@@ -110,3 +110,12 @@ def word_wrap(text: Column, width: int = 80) -> Column:
         return F.struct(F.when(fits, s["done"]).otherwise(F.concat(s["done"], s["line"], F.lit("\n"))).alias("done"), line.alias("line"))
 
     return F.aggregate(F.filter(F.split(text, r"\s+"), lambda w: w != ""), start, put, lambda s: F.concat(s["done"], s["line"]))
+
+
+def ligature(code: Column, mapped: Column, base_font: Column) -> Column:
+    """What a font's code should be mapped to; null where its mapping is right."""
+    known = F.create_map(*[F.lit(x) for p, t in K.LIGATURES.items() for x in (chr(p), t)])
+    arial = F.create_map(*[F.lit(x) for c, t in K.ARIAL_CODES.items() for x in (c, t)])
+    by_code = F.when(F.lower(base_font).contains("arial"), F.try_element_at(arial, code))
+    right = F.coalesce(F.try_element_at(known, mapped), F.when(F.substring(by_code, 1, 1) == mapped, by_code))
+    return F.when(F.length(mapped) == 1, right)

@@ -6,6 +6,7 @@ element's place in emission), fix_kind and fix_priority.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from docloom import constants as K
 from docloom.functions import exprs
 from docloom.operators import hierarchy, rules, runs
-from docloom.sources.tables import bounds
+from docloom.sources.tables import bounds, delete, scratch
 
 ISSUE = ["doc_id", "check", "check_ord", "type", "severity", "elem_id", "page", "detail", "ord", "fix_kind", "fix_priority"]
 
@@ -50,21 +51,42 @@ def check(type: str, severity: str = "WARNING", fix: str | None = None, needs: t
 
 @dataclass
 class Context:
-    """Tables, and what several checks derive from them; derived tables are kept once."""
+    """Tables, and what several checks derive from them; keep: what is read several times is written once."""
 
     spark: SparkSession
     tables: dict[str, DataFrame]
     options: dict = field(default_factory=dict)
+    keep: bool = True
+    _paths: list[str] = field(default_factory=list)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def settled(self, df: DataFrame, name: str) -> DataFrame:
+        """df, computed once: written to the shared folder and read again, until release()."""
+        if not self.keep:
+            return df
+        path = f"{scratch(self.spark)}/docloom/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Delete derived tables that were written."""
+        while self._paths:
+            delete(self.spark, self._paths.pop())
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """Visible elements with their mapped role and numbers."""
+        roles = self["role_map"].groupBy("doc_id", F.col("role").alias("role_raw")).agg(F.min("mapped").alias("mapped"))
+        e = self["elem"].join(roles, ["doc_id", "role_raw"], "left").select(self["elem"]["*"], F.coalesce("mapped", "role_raw").alias("role"))
+        return self.settled(hierarchy.numbered(e), "numbers")
+
     @cached_property
     def elem(self) -> DataFrame:
         """Visible elements with role, page, path, pre, last, parent_role, child_roles, n_elem, n_mcr, n_objr."""
-        e = self["elem"].join(F.broadcast(self["role_map"]) if self.options.get("small_role_map") else self["role_map"], (self["elem"].doc_id == self["role_map"].doc_id) & (F.col("role_raw") == F.col("role")), "left")
-        e = e.select(self["elem"]["*"], F.coalesce("mapped", "role_raw").alias("role"))
-        n = hierarchy.numbered(e)
+        n = self.numbers
         kids = self["kid"].groupBy("doc_id", F.col("owner_id").alias("elem_id")).agg(
             F.count_if(F.col("kind").isin("mcr_num", "mcr_dict")).alias("n_mcr"), F.count_if(F.col("kind") == "objr").alias("n_objr"), F.count("*").alias("n_kid")
         )
@@ -73,15 +95,15 @@ class Context:
         up = n.select("doc_id", F.col("elem_id").alias("parent_id"), F.col("role").alias("parent_role"), F.col("pre").alias("parent_pre"))
         out = n.join(kids, ["doc_id", "elem_id"], "left").join(child, ["doc_id", "elem_id"], "left").join(up, ["doc_id", "parent_id"], "left")
         out = out.fillna(0, ["n_mcr", "n_objr", "n_kid"]).withColumn("child_roles", F.coalesce(F.transform("children", lambda c: c["role"]), F.array().cast("array<string>")))
-        return out.withColumn("page", F.coalesce("pg", F.lit(0))).persist()
+        return out.join(hierarchy.pages(n), ["doc_id", "elem_id"])
 
     @cached_property
     def closure(self) -> DataFrame:
-        return hierarchy.closure(self.elem).persist()
+        return hierarchy.closure(self.numbers)
 
     @cached_property
     def owned(self) -> DataFrame:
-        """Marked content of each element itself: doc_id, elem_id, kid_ord, page_num, mcid, text, kinds, x0..y1."""
+        """Marked content of each element itself: doc_id, elem_id, kid_ord, kind, page_num, mcid, text, kinds, x0..y1."""
         mcr = self["kid"].where(F.col("kind").isin("mcr_num", "mcr_dict")).select("doc_id", F.col("owner_id").alias("elem_id"), "kid_ord", "kind", "page_num", "mcid")
         return mcr.join(self["content"], ["doc_id", "page_num", "mcid"], "left")
 
@@ -92,12 +114,24 @@ class Context:
 
     @cached_property
     def text(self) -> DataFrame:
-        """doc_id, elem_id, text and box of all that stands under an element."""
-        pieces = F.array_sort(F.collect_list(F.when(F.col("kind") == "mcr_num", F.struct("dist", "page_num", "mcid", "text"))))
-        return self.below.groupBy("doc_id", "elem_id").agg(
-            F.array_join(F.transform(F.array_compact(pieces), lambda p: p["text"]), " ").alias("text"),
-            F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.flatten(F.collect_set("kinds")).alias("kinds"), F.min("page_num").alias("page_num"),
+        """doc_id, elem_id, text, box and kinds of the content under an element, looked up on the element's own page.
+
+        Text comes in the order of the tree, from numbered content only; what stands on
+        other pages is sought on the element's, as its reader does. kinds are those of its
+        content wherever it is.
+        """
+        mcr = self["kid"].where(F.col("kind").isin("mcr_num", "mcr_dict")).select("doc_id", F.col("owner_id").alias("elem_id"), "kid_ord", "kind", "page_num", "mcid")
+        placed = mcr.join(self.numbers.select("doc_id", "elem_id", "path"), ["doc_id", "elem_id"]).withColumn("at", F.concat("path", F.array("kid_ord")))
+        under = placed.join(self.closure, ["doc_id", "elem_id"]).drop("elem_id").withColumnRenamed("anc_id", "elem_id")
+        under = under.join(hierarchy.pages(self.numbers), ["doc_id", "elem_id"]).where("page > 0")
+        shown = self["content"].select("doc_id", F.col("page_num").alias("page"), "mcid", "text", "kinds", "x0", "y0", "x1", "y1")
+        seen = under.join(shown, ["doc_id", "page", "mcid"])
+        pieces = F.array_sort(F.collect_list(F.when((F.col("kind") == "mcr_num") & F.col("text").isNotNull(), F.struct("at", "text"))))
+        every = seen.groupBy("doc_id", "elem_id").agg(
+            F.array_join(F.transform(pieces, lambda p: p["text"]), " ").alias("text"),
+            F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), F.min("page").alias("page_num"),
         )
+        return self.settled(every, "text")
 
     @cached_property
     def links(self) -> DataFrame:
@@ -171,18 +205,22 @@ def unmarked_link(ctx: Context) -> DataFrame:
 
 
 @check("UNEXPECTED_WIDGET", "ERROR", "UnexpectedWidget")
-def unexpected_widget(ctx: Context, deepest: int = 8) -> DataFrame:
+def unexpected_widget(ctx: Context) -> DataFrame:
     """Push buttons; type and flags come from the nearest parent that has them."""
-    up = ctx["annot"].select("doc_id", F.col("annot_id").alias("u_id"), F.col("ft").alias("u_ft"), F.col("ff").alias("u_ff"), F.col("parent_id").alias("u_parent"))
-    w = ctx["annot"].where("subtype = 'Widget'").select("doc_id", "page_num", "annot_id", "ft", "ff", "parent_id")
-    for _ in range(deepest):
-        w = w.join(up, (w.doc_id == up.doc_id) & (w.parent_id == up.u_id), "left").select(w.doc_id, "page_num", "annot_id", F.coalesce("ft", "u_ft").alias("ft"), F.coalesce("ff", "u_ff").alias("ff"), F.col("u_parent").alias("parent_id"))
-    return w.where("ft = 'Btn' and (ff & 65536) <> 0").select("doc_id", F.col("page_num").alias("page"), F.col("annot_id").alias("detail"))
+    a = ctx["annot"].select("doc_id", "page_num", "annot_id", "subtype", "ft", "ff", "parent_id")
+    known = a.select("doc_id", F.col("annot_id").alias("parent_id"), F.lit(True).alias("known")).distinct()
+    # A field whose parent is missing is the top of its own chain.
+    tree = a.join(known, ["doc_id", "parent_id"], "left").select("doc_id", F.col("annot_id").alias("elem_id"), F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), F.col("annot_id").alias("kid_ord"))
+    chain = hierarchy.closure(hierarchy.numbered(tree.dropDuplicates(["doc_id", "elem_id"]), hide_verified=False)).withColumnRenamed("elem_id", "annot_id")
+    up = a.select("doc_id", F.col("annot_id").alias("anc_id"), F.col("ft").alias("u_ft"), F.col("ff").alias("u_ff"))
+    got = chain.join(up, ["doc_id", "anc_id"]).groupBy("doc_id", "annot_id").agg(F.min(F.when(F.col("u_ft").isNotNull(), F.struct("dist", "u_ft")))["u_ft"].alias("i_ft"), F.min(F.when(F.col("u_ff").isNotNull(), F.struct("dist", "u_ff")))["u_ff"].alias("i_ff"))
+    w = a.where("subtype = 'Widget'").join(got, ["doc_id", "annot_id"], "left").where("coalesce(i_ft, ft) = 'Btn' and (coalesce(i_ff, ff) & 65536) <> 0")
+    return w.select("doc_id", F.col("page_num").alias("page"), F.col("annot_id").alias("detail"))
 
 
 @check("LIGATURE_MAPPING_BROKEN", fix="BadlyMappedLigature")
 def badly_mapped_ligature(ctx: Context) -> DataFrame:
-    bad = ctx["font_map"].where(F.col("mapped").isin(*map(chr, K.LIGATURES)))
+    bad = ctx["font_map"].where(exprs.ligature(F.col("code"), F.col("mapped"), F.col("base_font")).isNotNull())
     return bad.groupBy("doc_id", "font_id").agg(F.min("first_page").alias("page"), F.count("*").cast("string").alias("detail"))
 
 
@@ -290,35 +328,74 @@ def link_dest(ctx: Context) -> DataFrame:
     return ctx.links.groupBy("doc_id", "elem_id").agg(one.alias("dest"))
 
 
-@check("LINK_SPLIT_ACROSS_TAGS", fix="MergeSplitLinks")
-def badly_split_link(ctx: Context) -> DataFrame:
-    """Neighbouring Links of one parent with one destination; other kids between them part them."""
+def link_runs(ctx: Context) -> DataFrame:
+    """doc_id, owner_id, run, child_id, pre, page, first_id: neighbouring Links of one parent with one destination, two or more."""
     e = ctx.elem.select("doc_id", F.col("elem_id").alias("child_id"), "pre", "page", "role_raw", "alt", "actual_text")
     k = ctx["kid"].join(e, ["doc_id", "child_id"], "left").join(link_dest(ctx).withColumnRenamed("elem_id", "child_id"), ["doc_id", "child_id"], "left")
     key = F.when((F.col("role_raw") == "Link") & F.col("alt").isNull() & F.col("actual_text").isNull(), F.col("dest"))
     r = runs.islands(k.withColumn("key", key), ["doc_id", "owner_id"], ["kid_ord"], F.coalesce("key", F.concat(F.lit("\0"), F.col("kid_ord").cast("string"))))
-    g = r.where("key is not null").groupBy("doc_id", "owner_id", "run").agg(F.count("*").alias("n"), F.min("pre").alias("pre"), F.min("page").alias("page"), F.min_by("child_id", "pre").alias("elem_id"))
-    return g.where("n >= 2").select("doc_id", "elem_id", "pre", "page", F.col("n").cast("string").alias("detail"))
+    w = Window.partitionBy("doc_id", "owner_id", "run")
+    r = r.where("key is not null").withColumn("n", F.count("*").over(w)).withColumn("first_id", F.first("child_id").over(w.orderBy("kid_ord")))
+    return r.where("n >= 2").select("doc_id", "owner_id", "run", "child_id", "pre", "page", "first_id")
 
 
-@check("LIST_TAGGED_AS_PARAGRAPHS", fix="WrapParagraphRunInList", priority=10)
-def mistagged_list(ctx: Context) -> DataFrame:
-    """Runs of bulleted paragraphs, then runs of indented ones, then parents of links only; what one claims the next leaves."""
+@check("LINK_SPLIT_ACROSS_TAGS", fix="MergeSplitLinks")
+def badly_split_link(ctx: Context) -> DataFrame:
+    """Neighbouring Links of one parent with one destination; other kids between them part them."""
+    g = link_runs(ctx).groupBy("doc_id", F.col("first_id").alias("elem_id")).agg(F.count("*").alias("n"), F.min("pre").alias("pre"), F.min("page").alias("page"))
+    return g.select("doc_id", "elem_id", "pre", "page", F.col("n").cast("string").alias("detail"))
+
+
+def aligned_kids(ctx: Context, tall: DataFrame) -> DataFrame:
+    """doc_id, elem_id, pre, group, page_num, y, n, kids: stretches of an element's kids beside one bullet; kids without bounds don't part them."""
+    from docloom.operators.geometry import first_in_interval
+
+    own = tall.select("doc_id", F.col("elem_id").alias("owner_id"), "pre")
+    kid = ctx["kid"].select("doc_id", "owner_id", "kid_ord", "child_id", "page_num", "mcid", "kind").join(own, ["doc_id", "owner_id"])
+    mark = kid.where("kind in ('mcr_num', 'mcr_dict')").join(ctx["content"].select("doc_id", "page_num", "mcid", "y0", "y1"), ["doc_id", "page_num", "mcid"]).where("y0 is not null")
+    sub = ctx.elem.select("doc_id", F.col("elem_id").alias("child_id"), "page").join(ctx.text.select("doc_id", F.col("elem_id").alias("child_id"), "y0", "y1"), ["doc_id", "child_id"])
+    part = kid.where("kind = 'elem'").drop("page_num").join(sub, ["doc_id", "child_id"]).withColumnRenamed("page", "page_num")
+    cols = ["doc_id", "page_num", "owner_id", "kid_ord", "pre", "y0", "y1"]
+    boxes = mark.select(*cols).unionByName(part.select(*cols)).withColumn("elem_id", F.struct("owner_id", "kid_ord"))
+    met = first_in_interval(boxes, ctx["bullet"]).select("doc_id", "elem_id", F.col("bullet.y").alias("y"))
+    seen = boxes.join(met, ["doc_id", "elem_id"], "left").drop("elem_id")
+    w = Window.partitionBy("doc_id", "owner_id").orderBy("kid_ord")
+    was = F.lag(F.struct("y", "page_num")).over(w)
+    seen = seen.withColumn("was", was).withColumn("new", (~F.coalesce((F.col("was.page_num") == F.col("page_num")) & (F.abs(F.col("was.y") - F.col("y")) < K.BULLET_Y), F.lit(False))).cast("int"))
+    seen = seen.withColumn("group", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return seen.where("y is not null").groupBy("doc_id", F.col("owner_id").alias("elem_id"), "pre", "group").agg(F.min("page_num").alias("page_num"), F.max_by("y", "kid_ord").alias("y"), F.count("*").alias("n"), F.sort_array(F.collect_list("kid_ord")).alias("kids"))
+
+
+def list_evidence(ctx: Context) -> dict[str, DataFrame]:
+    """Runs with bullets (bulleted, with their members own), lists that a sublist splits, kids beside bullets (inside), runs by indent (indented, own), parents of links (only).
+
+    What one claims the next leaves.
+    """
     from docloom.operators.geometry import first_in_interval
 
-    e = ctx.elem.select("doc_id", "elem_id", "parent_id", "kid_ord", "role", "role_raw", "pre", "page", "n_kid").join(ctx.text.select("doc_id", "elem_id", "page_num", "x0", "y0", "x1", "y1"), ["doc_id", "elem_id"], "left")
-    b = first_in_interval(e.where("x0 is not null").select("doc_id", "page_num", "elem_id", "y0", "y1"), ctx["bullet"])
-    e = e.join(b.select("doc_id", "elem_id", "bullet"), ["doc_id", "elem_id"], "left")
-    mark = F.coalesce((F.col("role") == "P") & F.col("bullet").isNotNull() & (F.col("y1") - F.col("y0") <= K.BULLET_MAX_HEIGHT), F.lit(False))
+    box = ctx.text.select("doc_id", "elem_id", "x0", "y0", "x1", "y1")
+    e = ctx.elem.select("doc_id", "elem_id", "parent_id", "kid_ord", "role", "role_raw", "pre", "page", "n_kid").join(box, ["doc_id", "elem_id"], "left")
+    b = first_in_interval(e.where("x0 is not null").select("doc_id", F.col("page").alias("page_num"), "elem_id", "y0", "y1"), ctx["bullet"])
+    e = ctx.settled(e.join(b.select("doc_id", "elem_id", "bullet"), ["doc_id", "elem_id"], "left"), "members")
+    high = F.col("y1") - F.col("y0")
+    skipped = F.col("role").isin(*K.NO_LIST_MEMBERS)
+    mark = F.coalesce(~skipped & F.col("bullet").isNotNull() & (high <= K.BULLET_MAX_HEIGHT), F.lit(False))
+    # Where a list's first and last items have their bullets.
+    item = e.where("role = 'LI'").groupBy("doc_id", F.col("parent_id").alias("list_id")).agg(F.min_by("bullet.x", "kid_ord").alias("first_x"), F.max_by("bullet.x", "kid_ord").alias("last_x"))
     r = runs.islands(e.where("parent_id is not null").withColumn("mark", mark), ["doc_id", "parent_id"], ["kid_ord"], F.col("mark"))
     w = Window.partitionBy("doc_id", "parent_id").orderBy("kid_ord")
-    r = r.withColumn("before", F.lag(F.struct("role", "x0")).over(w))
-    bulleted = r.where("mark").groupBy("doc_id", "parent_id", "run").agg(F.min("pre").alias("pre"), F.min("page").alias("page"), F.count("*").alias("n"), F.min_by("elem_id", "pre").alias("elem_id"), F.min_by("before", "pre").alias("before"), F.min_by("bullet", "pre").alias("first"), F.collect_list("elem_id").alias("own"), F.max("bullet.x").alias("hi"), F.min("bullet.x").alias("lo"))
+    side = F.struct("role", "elem_id", "pre", "page")
+    r = r.withColumn("before", F.lag(side).over(w)).withColumn("after", F.lead(side).over(w))
+    bulleted = r.where("mark").groupBy("doc_id", "parent_id", "run").agg(F.min("pre").alias("pre"), F.min_by("page", "kid_ord").alias("page"), F.count("*").alias("n"), F.min_by("elem_id", "kid_ord").alias("elem_id"), F.min_by("before", "kid_ord").alias("before"), F.max_by("after", "kid_ord").alias("after"), F.min_by("bullet", "kid_ord").alias("first"), F.collect_list("elem_id").alias("own"), F.max("bullet.x").alias("hi"), F.min("bullet.x").alias("lo"))
+    bulleted = bulleted.join(item.select("doc_id", F.col("list_id").alias("b_id"), F.col("last_x").alias("before_x")), (bulleted.doc_id == item.doc_id) & (F.col("before.elem_id") == F.col("b_id")), "left").select(bulleted["*"], "before_x")
+    bulleted = bulleted.join(item.select("doc_id", F.col("list_id").alias("a_id"), F.col("first_x").alias("after_x")), (bulleted.doc_id == item.doc_id) & (F.col("after.elem_id") == F.col("a_id")), "left").select(bulleted["*"], "after_x")
     even = (F.col("hi") - F.col("first.x") <= K.BULLET_X) & (F.col("first.x") - F.col("lo") <= K.BULLET_X)
-    sub = F.coalesce(even & (F.col("before.role") == "L") & (F.col("first.x") - F.col("before.x0") >= K.INDENT), F.lit(False))
-    out = bulleted.select("doc_id", "elem_id", "pre", "page", F.when(sub, "SUBLIST_TAGGED_AS_PARAGRAPHS").otherwise("LIST_TAGGED_AS_PARAGRAPHS").alias("type"), F.col("n").cast("string").alias("detail"), F.lit("WrapParagraphRunInList").alias("fix_kind"))
-
-    claimed = bulleted.select("doc_id", F.explode("own").alias("elem_id"))
+    sub = F.coalesce(even & (F.col("before.role") == "L") & (F.col("first.x") - F.col("before_x") >= K.INDENT), F.lit(False))
+    bulleted = ctx.settled(bulleted.withColumn("sub", sub), "bulleted")
+    # A run that nests in the list before it leaves the two lists round it as one, if they stand alike.
+    split = bulleted.where((F.col("after.role") == "L") & F.col("sub") & (F.abs(F.col("before_x") - F.col("after_x")) <= K.BULLET_X))
+    inside = ctx.settled(aligned_kids(ctx, e.where(~skipped & F.col("parent_id").isNotNull() & (high > K.BULLET_MAX_HEIGHT))), "inside")
+    claimed = bulleted.select("doc_id", F.explode("own").alias("elem_id")).unionByName(inside.select("doc_id", "elem_id")).distinct()
     free = e.join(claimed.withColumn("taken", F.lit(True)), ["doc_id", "elem_id"], "left").where("parent_id is not null").withColumn("p", F.coalesce((F.col("role") == "P") & F.col("taken").isNull(), F.lit(False)))
     free = runs.islands(free, ["doc_id", "parent_id"], ["kid_ord"], F.col("p"))
     n = F.count("*").over(Window.partitionBy("doc_id", "parent_id", "run"))
@@ -335,19 +412,28 @@ def mistagged_list(ctx: Context) -> DataFrame:
             for _, part in own.groupby("sub", sort=True):
                 rest = pdf.loc[~pdf["elem_id"].isin(part["elem_id"]) & pdf["wide"].notna(), "wide"]
                 if len(part) >= 3 and len(rest) and rest.min() >= 0 and part["x0"].iloc[0] - rest.min() >= K.INDENT:
-                    rows.append((part["doc_id"].iloc[0], part["elem_id"].iloc[0], part["pre"].iloc[0], part["page"].iloc[0], str(len(part))))
-        return pd.DataFrame(rows, columns=["doc_id", "elem_id", "pre", "page", "detail"])
+                    rows.append((part["doc_id"].iloc[0], part["elem_id"].iloc[0], part["pre"].iloc[0], part["page"].iloc[0], str(len(part)), part["elem_id"].tolist()))
+        return pd.DataFrame(rows, columns=["doc_id", "elem_id", "pre", "page", "detail", "own"])
 
     some = free.withColumn("n", n).withColumn("wide", wide).withColumn("hope", F.max(F.col("p") & (F.col("n") >= 3)).over(Window.partitionBy("doc_id", "parent_id"))).where("hope")
     some = some.select("doc_id", "parent_id", "kid_ord", "elem_id", "pre", "page", "p", "run", "x0", "wide")
-    indented = runs.fold(some, ["doc_id", "parent_id"], ["kid_ord"], edges, "doc_id long, elem_id int, pre int, page int, detail string")
-    out = out.unionByName(indented.withColumn("type", F.lit("LIST_TAGGED_AS_PARAGRAPHS")).withColumn("fix_kind", F.lit("WrapParagraphRunInList")))
-
+    indented = runs.fold(some, ["doc_id", "parent_id"], ["kid_ord"], edges, "doc_id long, elem_id int, pre int, page int, detail string, own array<int>")
     kids = e.join(link_dest(ctx), ["doc_id", "elem_id"], "left").where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("elem_id")).agg(F.count("*").alias("n"), F.bool_and(F.col("role_raw") == "Link").alias("links"), F.count_distinct("dest").alias("dests"), F.count("dest").alias("known"))
     only = kids.where("n >= 2 and links and not (dests = 1 and known = n)").join(e.select("doc_id", "elem_id", "pre", "page"), ["doc_id", "elem_id"])
     mixed = ctx["kid"].where("kind <> 'elem'").select("doc_id", F.col("owner_id").alias("elem_id")).distinct()
     only = only.join(mixed, ["doc_id", "elem_id"], "left_anti").join(claimed, ["doc_id", "elem_id"], "left_anti")
-    return out.withColumn("severity", F.lit("WARNING")).unionByName(only.select("doc_id", "elem_id", "pre", "page", F.lit("PARAGRAPH_OF_LINKS").alias("type"), F.col("n").cast("string").alias("detail"), F.lit("ParagraphOfLinks").alias("fix_kind"), F.lit("ERROR").alias("severity")))
+    return {"bulleted": bulleted, "split": split, "inside": inside, "indented": indented, "only": only}
+
+
+@check("LIST_TAGGED_AS_PARAGRAPHS", fix="WrapParagraphRunInList", priority=10)
+def mistagged_list(ctx: Context) -> DataFrame:
+    """Runs with bullets and bullets within tall elements, then runs of indented paragraphs, then parents of links only; what one claims the next leaves."""
+    found = list_evidence(ctx)
+    out = found["bulleted"].select("doc_id", "elem_id", "pre", "page", F.when(F.col("sub"), "SUBLIST_TAGGED_AS_PARAGRAPHS").otherwise("LIST_TAGGED_AS_PARAGRAPHS").alias("type"), F.col("n").cast("string").alias("detail"), F.lit("WrapParagraphRunInList").alias("fix_kind"), F.lit(10).alias("fix_priority"))
+    out = out.unionByName(found["split"].select("doc_id", "after.elem_id", "after.pre", "after.page", F.lit("LIST_SPLIT_BY_SUBLIST").alias("type"), F.col("before.elem_id").cast("string").alias("detail"), F.lit("MergeAdjacentLists").alias("fix_kind"), F.lit(30).alias("fix_priority")))
+    out = out.unionByName(found["inside"].select("doc_id", "elem_id", "pre", F.col("page_num").alias("page"), F.lit("BULLET_ALIGNED_KIDS_IN_ELEMENT").alias("type"), F.col("n").cast("string").alias("detail"), F.lit("WrapBulletAlignedKidsInLBody").alias("fix_kind"), F.lit(20).alias("fix_priority")))
+    out = out.unionByName(found["indented"].drop("own").withColumn("type", F.lit("LIST_TAGGED_AS_PARAGRAPHS")).withColumn("fix_kind", F.lit("WrapParagraphRunInList")).withColumn("fix_priority", F.lit(10)))
+    return out.withColumn("severity", F.lit("WARNING")).unionByName(found["only"].select("doc_id", "elem_id", "pre", "page", F.lit("PARAGRAPH_OF_LINKS").alias("type"), F.col("n").cast("string").alias("detail"), F.lit("ParagraphOfLinks").alias("fix_kind"), F.lit(10).alias("fix_priority"), F.lit("ERROR").alias("severity")))
 
 
 @check("IRREGULAR_TOC", fix="IrregularToc")
@@ -359,9 +445,9 @@ def irregular_toc(ctx: Context) -> DataFrame:
 @check("MIXED_FONT_MARKED_CONTENT", fix="SplitMarkedContent")
 def badly_marked_content(ctx: Context) -> DataFrame:
     """Paragraphs and headings of one marked block whose lines differ in size. op: shown texts in order, dy the fall of the baseline."""
-    w = Window.partitionBy("doc_id", "page_num", "mcid").orderBy("op_ord")
-    shown = ctx["op"].where("kind = 'show'").withColumn("fell", F.coalesce(F.col("dy") < -K.BASELINE_DROP, F.lit(False))).withColumn("was", F.lag("size").over(w))
-    change = shown.where(F.col("fell") & (F.abs(F.col("size") - F.col("was")) > K.SIZE_CHANGE)).groupBy("doc_id", "page_num", "mcid").agg(F.count("*").cast("string").alias("detail"))
+    from docloom.operators.splitting import lines
+
+    change = lines(ctx["op"]).where("changes").groupBy("doc_id", "page_num", "mcid").agg(F.count("*").cast("string").alias("detail"))
     sole = ctx.elem.where(F.col("role").isin(*K.HEADINGS) & (F.col("n_mcr") == 1) & (F.size("child_roles") == 0) & (F.col("n_objr") == 0)).select("doc_id", "elem_id", "pre", "page")
     return sole.join(ctx.owned.select("doc_id", "elem_id", "page_num", "mcid"), ["doc_id", "elem_id"]).join(change, ["doc_id", "page_num", "mcid"]).select("doc_id", "elem_id", "pre", "page", "detail")
 
@@ -385,12 +471,9 @@ def mistagged_heading(ctx: Context) -> DataFrame:
     e = ctx.elem.where(F.col("role").isin(*K.HEADINGS)).select("doc_id", "elem_id", "pre", "page", "role").join(own, ["doc_id", "elem_id"]).join(scopes, ["doc_id", "elem_id"], "left").withColumn("scope", F.coalesce("scope", F.lit(-1)))
     e = e.join(levels, ["doc_id", "scope", "size"])
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = runs.headings(pdf["level"].astype(int).tolist(), pdf["size"].tolist())
-        out = pdf[["doc_id", "elem_id", "pre", "page", "role"]].assign(target=[None if g is None else f"H{g}" for g in got])
-        return out[out["target"].isna() | (out["role"] != out["target"])]
-
-    found = runs.fold(e, ["doc_id", "scope"], ["pre"], step, "doc_id long, elem_id int, pre int, page int, role string, target string")
+    e = e.select("doc_id", "scope", "elem_id", "pre", "page", "role", F.col("level").cast("long").alias("level"), "size")
+    found = runs.scan(e, ["doc_id", "scope"], ["pre"], ["level", "size"], runs.heading, "got", "long").withColumn("target", F.concat(F.lit("H"), F.col("got").cast("string")))
+    found = found.where("target is null or role <> target")
     deep = F.col("target").isNull()
     return found.select("doc_id", "elem_id", "pre", "page", F.coalesce("target", F.lit("too deep to open")).alias("detail"), F.when(deep, "IMPROPERLY_NESTED_HEADING").otherwise("MISTAGGED_HEADING").alias("type"), F.when(~deep, "MistaggedHeading").alias("fix_kind"))
 

@@ -1,57 +1,109 @@
 """Trees as tables: paths, pre-order numbers, subtrees, subtree hiding and pruning.
 
-Trees are walked level by level with an equi-join; the table and each level are kept, so
-that each is found once. A level is checkpointed in the session's checkpoint folder if
-there is one, so that plans of deep trees stay short.
+Elements are dealt by document and sorted within it once; a document's tree is then walked
+where its rows are, in one pass over Arrow batches, so that deep trees cost no more jobs
+than flat ones. A document's elements are held by one task at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import exprs
 
 
-def numbered(elem: DataFrame, hide_verified: bool = True, deepest: int = 200) -> DataFrame:
-    """elem with path, depth, pre and last (the pre-order number of its subtree's last element).
+def numbered(elem: DataFrame, hide_verified: bool = True) -> DataFrame:
+    """elem with path, ids (of ancestors and itself), depth, pre and last (the pre-order number of its subtree's last element).
 
-    A verified element and all below it are left out before numbers are given.
+    A verified element and all below it are left out before numbers are given. Elements
+    that no root leads to, as those below a missing parent or in a circle, get no number;
+    lost() tells them.
     """
     rows = elem.where(~F.coalesce(exprs.is_verified(F.col("title")), F.lit(False))) if hide_verified else elem
-    spark = elem.sparkSession
-    cut = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    rows = rows.persist()
-    level = rows.where("parent_id is null").withColumn("path", F.array("kid_ord"))
-    found, depth = level, 0
-    while True:
-        up = level.select(F.col("doc_id").alias("u_doc"), F.col("elem_id").alias("u_id"), F.col("path").alias("u_path"))
-        level = rows.join(up, (F.col("doc_id") == F.col("u_doc")) & (F.col("parent_id") == F.col("u_id"))).withColumn("path", F.concat("u_path", F.array("kid_ord"))).drop("u_doc", "u_id", "u_path")
-        level = level.checkpoint() if cut else level.persist()
-        depth += 1
-        if level.isEmpty():
-            break
-        if depth > deepest:
-            raise ValueError(f"a tree is deeper than {deepest}")
-        found = found.unionByName(level)
-    w = Window.partitionBy("doc_id").orderBy("path")
-    found = found.withColumn("depth", F.size("path")).withColumn("pre", F.row_number().over(w))
-    # The subtree ends before the next element that isn't deeper.
-    return subtree_ends(found)
-
-
-def subtree_ends(found: DataFrame) -> DataFrame:
-    """Ends of subtrees by counting each element for all its ancestors: a path's prefixes."""
-    over = found.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice(F.col("path"), 1, i))).alias("path"))
-    sizes = over.groupBy("doc_id", "path").agg(F.count("*").alias("n"))
-    return found.join(sizes, ["doc_id", "path"]).withColumn("last", F.col("pre") + F.col("n") - 1).drop("n")
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "kid_ord", "elem_id")
+    names = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            doc = batch.column("doc_id")
+            # The last document of a batch may go on in the next.
+            last = doc[len(doc) - 1]
+            cut = len(doc)
+            while cut and doc[cut - 1] == last:
+                cut -= 1
+            if held and (cut or held[0].column("doc_id")[0] != last):
+                held.append(batch.slice(0, cut))
+                yield from walked(held, names)
+                held = []
+            elif cut:
+                yield from walked([batch.slice(0, cut)], names)
+            held.append(batch.slice(cut))
+        if held:
+            yield from walked(held, names)
+
+    return rows.mapInArrow(run, f"{schema}, path array<int>, ids array<int>, depth int, pre int, last int")
+
+
+def walked(batches: list[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole documents in pre-order with their numbers."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    doc, elem, parent, place = (table.column(c).to_pylist() for c in ("doc_id", "elem_id", "parent_id", "kid_ord"))
+    order, paths, ids, pre, last = [], [], [], [], []
+    i = 0
+    while i < len(doc):
+        j = i
+        below: dict[int | None, list[int]] = {}
+        while j < len(doc) and doc[j] == doc[i]:
+            below.setdefault(parent[j], []).append(j)
+            j += 1
+        number, seen = 0, set()
+        stack: list[tuple[int, tuple, tuple]] = [(r, (), ()) for r in reversed(below.get(None, []))]
+        while stack:
+            r, path, up = stack.pop()
+            if r < 0:
+                last[~r] = number
+                continue
+            if r in seen:
+                continue
+            seen.add(r)
+            number += 1
+            path, up = (*path, int(place[r])), (*up, elem[r])
+            order.append(r)
+            paths.append(path)
+            ids.append(up)
+            pre.append(number)
+            last.append(number)
+            stack.append((~(len(order) - 1), (), ()))
+            stack += [(k, path, up) for k in reversed(below.get(elem[r], []))]
+        i = j
+    depth = np.array([len(p) for p in paths], np.int32)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(depth)]), pa.int32())
+    flat = lambda x: pa.ListArray.from_arrays(offsets, pa.array([v for y in x for v in y], pa.int32()))
+    out = table.select(names).take(pa.array(order, pa.int64())).combine_chunks()
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns]
+    columns = [*columns, flat(paths), flat(ids), pa.array(depth), pa.array(pre, pa.int32()), pa.array(last, pa.int32())]
+    if order:
+        yield pa.RecordBatch.from_arrays(columns, [*names, "path", "ids", "depth", "pre", "last"])
+
+
+def lost(elem: DataFrame) -> DataFrame:
+    """doc_id, elem_id, parent_id of elements that no root leads to."""
+    seen = numbered(elem.select("doc_id", "elem_id", "parent_id", "kid_ord"), hide_verified=False).select("doc_id", "elem_id")
+    return elem.select("doc_id", "elem_id", "parent_id").join(seen, ["doc_id", "elem_id"], "left_anti")
 
 
 def closure(numbers: DataFrame) -> DataFrame:
     """doc_id, elem_id, anc_id, dist for each element and each of its ancestors, itself at distance 0."""
-    own = numbers.select("doc_id", "elem_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice(F.col("path"), 1, i))).alias("anc_path"))
-    anc = numbers.select("doc_id", F.col("elem_id").alias("anc_id"), F.col("path").alias("anc_path"))
-    return own.join(anc, ["doc_id", "anc_path"]).select("doc_id", "elem_id", "anc_id", (F.size("path") - F.size("anc_path")).alias("dist"))
+    return numbers.select("doc_id", "elem_id", "depth", F.posexplode("ids").alias("at", "anc_id")).select("doc_id", "elem_id", "anc_id", (F.col("depth") - 1 - F.col("at")).alias("dist"))
 
 
 def outermost(hits: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -60,12 +112,25 @@ def outermost(hits: DataFrame, numbers: DataFrame) -> DataFrame:
     return hits.join(up.select("doc_id", "elem_id").distinct(), ["doc_id", "elem_id"], "left_anti")
 
 
+def pages(numbers: DataFrame) -> DataFrame:
+    """doc_id, elem_id, page: an element's own page, else that of the first element below it that has one, else 0."""
+    own = closure(numbers).join(numbers.where("pg > 0").select("doc_id", "elem_id", "pre", "pg"), ["doc_id", "elem_id"]).groupBy("doc_id", F.col("anc_id").alias("elem_id")).agg(F.min_by("pg", "pre").alias("first"))
+    return numbers.join(own, ["doc_id", "elem_id"], "left").select("doc_id", "elem_id", F.coalesce("pg", "first", F.lit(0)).alias("page"))
+
+
 def prune_empty(numbers: DataFrame, leaves: DataFrame, kept: tuple[str, ...] = ("Document",)) -> DataFrame:
     """Elements that hold a leaf of any kind somewhere below, or have a kept role. leaves: doc_id, elem_id."""
     full = closure(numbers).join(leaves.select("doc_id", "elem_id").distinct(), ["doc_id", "elem_id"]).select("doc_id", F.col("anc_id").alias("elem_id")).distinct()
     return numbers.join(full.withColumn("full", F.lit(True)), ["doc_id", "elem_id"], "left").where(F.col("full").isNotNull() | F.col("role").isin(*kept)).drop("full")
 
 
+def first_leaf_page(numbers: DataFrame, kid: DataFrame) -> DataFrame:
+    """doc_id, elem_id, page: that of the first content below an element, in order of the tree, that has one."""
+    leaf = kid.where("kind <> 'elem' and page_num > 0").select("doc_id", F.col("owner_id").alias("elem_id"), "kid_ord", "page_num")
+    at = leaf.join(numbers.select("doc_id", "elem_id", "path"), ["doc_id", "elem_id"]).withColumn("at", F.concat("path", F.array("kid_ord")))
+    return at.join(closure(numbers), ["doc_id", "elem_id"]).groupBy("doc_id", F.col("anc_id").alias("elem_id")).agg(F.min_by("page_num", "at").alias("page"))
+
+
 def display_path(numbers: DataFrame) -> DataFrame:
     """doc_id, elem_id, shown: /Role[index].Role[index]... with pre-order numbers."""
     up = closure(numbers).join(numbers.select("doc_id", F.col("elem_id").alias("anc_id"), "pre", "role"), ["doc_id", "anc_id"])

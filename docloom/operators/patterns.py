@@ -76,7 +76,8 @@ def _pattern(tokens: list[str], at: int) -> tuple[list[tuple[str, bool]], int]:
     return out, at
 
 
-SIGIL = re.compile(r"^(.*?)\s+@(\?|-?\d+)\s*$")
+# Fixed value: a bookmark line ends in its page.
+SIGIL = re.compile(r"(.*?)\s+@(\?|\d+)\s*$")
 
 
 def parse_outline(text: str) -> tuple[list[dict], list[str]]:
@@ -113,7 +114,8 @@ def parse_outline(text: str) -> tuple[list[dict], list[str]]:
     return rows, errors
 
 
-DIAGRAM_LINE = re.compile(r"^[\s│├└─|+`-]*([A-Za-z][A-Za-z0-9]*)\s+#(\d+)(?:\s+\"([^\"]*)\")?")
+# Fixed value: an element's line in a diagram, but not an annotation's in angle brackets.
+DIAGRAM_LINE = re.compile(r"^\W*(?<!<)(\w+)\s+#(\d+)(?:\s+\"([^\"]*)\")?.*$", re.ASCII)
 
 
 def parse_diagram(text: str) -> tuple[dict[tuple[str, int], str | None], list[str]]:

@@ -84,10 +84,7 @@ def inline_destinations(annot: DataFrame, dest: DataFrame) -> tuple[DataFrame, D
 
 
 def fix_ligatures(font_map: DataFrame) -> DataFrame:
-    from docloom.constants import LIGATURES
-
-    known = F.create_map(*[F.lit(x) for p, s in LIGATURES.items() for x in (chr(p), s)])
-    return font_map.withColumn("mapped", F.coalesce(F.try_element_at(known, F.col("mapped")), F.col("mapped")))
+    return font_map.withColumn("mapped", F.coalesce(exprs.ligature(F.col("code"), F.col("mapped"), F.col("base_font")), F.col("mapped")))
 
 
 def replace_role_map(role_map: DataFrame, desired: dict[str, str]) -> DataFrame:

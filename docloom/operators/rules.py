@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom import constants as K
@@ -49,7 +51,7 @@ def lint(rules: dict[str, Rule]) -> list[str]:
             if (kids := rules.get(up, {}).get("allowed")) and role not in kids:
                 out.append(f"{role} must stand in {up}, which doesn't allow it")
         if x["pattern"]:
-            named = set(__import__("re").findall(r"[A-Za-z0-9]+", x["pattern"]))
+            named = set(re.findall(r"[A-Za-z0-9]+", x["pattern"]))
             if allowed and named - allowed:
                 out.append(f"{role}'s pattern names {sorted(named - allowed)}, which it doesn't allow")
     return out

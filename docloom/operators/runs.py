@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], same: Column, na
 
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """An ordered state machine over each group; groups are those of one document or user."""
+    """An ordered state machine that needs a whole group at once; groups are those of one document or element."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return step(pdf.sort_values(order, kind="stable"))
@@ -25,70 +27,133 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[pd.
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
-def anchored(values: list[float], tolerance: float) -> list[int]:
-    """Run of each value; a run holds values within tolerance of its first."""
-    out, first = [], None
-    for v in values:
-        if first is None or not abs(v - first) <= tolerance:
-            first = v
-            out.append((out[-1] if out else 0) + 1)
-        else:
-            out.append(out[-1])
-    return out
+def scan(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], machine: Callable[[], Callable], name: str, kind: str) -> DataFrame:
+    """rows with a column that a state machine gives each in the order of its group.
 
+    machine() makes a step for a group, a function of the inputs. Rows are dealt by the keys,
+    sorted, and read once in Arrow batches; of a group only the machine's state is held, so
+    that a long one takes no memory.
+    """
+    names = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    to = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}[kind]
 
-def accepted(points: list[tuple[float, ...]], tolerance: float) -> list[bool]:
-    """Whether a point is farther than tolerance from all accepted before it."""
-    kept: list[tuple[float, ...]] = []
-    out = []
-    for p in points:
-        ok = all(max(abs(a - b) for a, b in zip(p, q, strict=True)) > tolerance for q in kept)
-        out.append(ok)
-        if ok:
-            kept.append(p)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step = None, machine()
+        for batch in batches:
+            out = []
+            given = zip(*[batch.column(c).to_pylist() for c in inputs], strict=True)
+            for key, values in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), given, strict=True):
+                if key != at:
+                    at, step = key, machine()
+                out.append(step(*values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, to)], [*names, name])
 
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{schema}, `{name}` {kind}")
 
-def ladder(edges: list[float], same: float = 2, step: float = 10) -> list[int]:
+
+def anchor(tolerance: float) -> Callable[[], Callable[[float], int]]:
+    """Runs of values within tolerance of their first, numbered from 1."""
+
+    def machine() -> Callable[[float], int]:
+        first, run = None, 0
+
+        def step(v: float) -> int:
+            nonlocal first, run
+            if first is None or not abs(v - first) <= tolerance:
+                first, run = v, run + 1
+            return run
+
+        return step
+
+    return machine
+
+
+def sieve(tolerance: float) -> Callable[[], Callable[..., bool]]:
+    """Whether a point is farther than tolerance from all accepted before it in some direction.
+
+    Accepted points lie in bins of the tolerance's width, of which one holds few; a point
+    is compared with those of its own and the next bins only.
+    """
+
+    def machine() -> Callable[..., bool]:
+        bins: dict[tuple[int, ...], list[tuple[float, ...]]] = {}
+
+        def step(*point: float) -> bool:
+            own = tuple(int(v // tolerance) for v in point)
+            for near in itertools.product(*[(b - 1, b, b + 1) for b in own]):
+                if any(max(abs(x - y) for x, y in zip(point, q, strict=True)) <= tolerance for q in bins.get(near, ())):
+                    return False
+            bins.setdefault(own, []).append(point)
+            return True
+
+        return step
+
+    return machine
+
+
+def rungs(same: float = 2, step: float = 10) -> Callable[[], Callable[[float], int]]:
     """Levels of left edges: within ``same`` of a rung is that rung, ``step`` beyond the last opens one, if it matches the first step."""
-    rungs: list[float] = []
-    size, out = None, []
-    for e in edges:
-        while len(rungs) > 1 and e < rungs[-1] - same:
-            rungs.pop()
-        if not rungs:
-            rungs.append(e)
-        elif e - rungs[-1] >= step and (size is None or abs(e - rungs[-1] - size) <= same):
-            size = e - rungs[-1] if size is None else size
-            rungs.append(e)
-        out.append(len(rungs) - 1)
-    return out
-
-
-def headings(levels: list[int | None], sizes: list[float]) -> list[int | None]:
+
+    def machine() -> Callable[[float], int]:
+        held: list[float] = []
+        size = None
+
+        def take(e: float) -> int:
+            nonlocal size
+            while len(held) > 1 and e < held[-1] - same:
+                held.pop()
+            if not held:
+                held.append(e)
+            elif e - held[-1] >= step and (size is None or abs(e - held[-1] - size) <= same):
+                size = e - held[-1] if size is None else size
+                held.append(e)
+            return len(held) - 1
+
+        return take
+
+    return machine
+
+
+def heading() -> Callable[[int | None, float], int | None]:
     """Heading levels: one H1 a scope, no skipped level; None where a row is no heading or opens too deep.
 
-    levels: rank of each row's size, None for body text. A gap lowers the size and all smaller ones.
+    A step takes the rank of a row's size, None for body text, and the size. A gap lowers the size and all smaller ones.
     """
     shift: dict[float, int] = {}
-    prev, had_h1, out = 0, False, []
-    for rank, size in zip(levels, sizes, strict=True):
+    prev, had_h1 = 0, False
+
+    def step(rank: int | None, size: float) -> int | None:
+        nonlocal prev, had_h1
         if rank is None:
-            out.append(None)
-            continue
+            return None
         level = max(1, rank - sum(s for at, s in shift.items() if size <= at))
         if level == 1:
             level, had_h1 = (2, True) if had_h1 else (1, True)
-        expected = prev + 1
-        if level > expected:
+        if level > prev + 1:
             if prev == 0:
-                out.append(None)
-                continue
-            shift[size] = shift.get(size, 0) + level - expected
-            level = expected
+                return None
+            shift[size] = shift.get(size, 0) + level - prev - 1
+            level = prev + 1
         prev = level
-        out.append(level)
-    return out
+        return level
+
+    return step
+
+
+def anchored(values: list[float], tolerance: float) -> list[int]:
+    step = anchor(tolerance)()
+    return [step(v) for v in values]
+
+
+def accepted(points: list[tuple[float, ...]], tolerance: float) -> list[bool]:
+    step = sieve(tolerance)()
+    return [step(*p) for p in points]
+
+
+def ladder(edges: list[float], same: float = 2, step: float = 10) -> list[int]:
+    take = rungs(same, step)()
+    return [take(e) for e in edges]
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str) -> DataFrame:

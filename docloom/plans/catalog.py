@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import constants as K
 from docloom.functions import exprs
-from docloom.operators import runs
+from docloom.operators import geometry, runs
+from docloom.operators.checks import CHECKS, Context, run_checks
 from docloom.operators.patterns import child_regex
+from docloom.plans import check_queries, pipeline, report
+from docloom.plans.check_queries import folded
 from docloom.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,19 +138,26 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree(spark, sf_dir).where("tag = 'a'").select("page_id", "pos", "href", F.row_number().over(w).cast("long").alias("n"))
 
 
-@query(TREE + """, a AS (SELECT page_id, pos, substr(href, 1, 2) AS dest, CASE WHEN lag(substr(href, 1, 2)) OVER w IS DISTINCT FROM substr(href, 1, 2) OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new
+@query(TREE + """, a AS (SELECT page_id, pos, href AS dest, CASE WHEN href IS NOT NULL AND lag(href) OVER w = href THEN 0 ELSE 1 END AS new
   FROM tree WHERE tag = 'a' WINDOW w AS (PARTITION BY page_id ORDER BY pos)), b AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY pos)::BIGINT AS run FROM a)
-SELECT page_id, run, dest, count(*) AS n_links, min(pos) AS first_pos FROM b GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+SELECT page_id, run, dest, count(*) AS n_links, min(pos) AS first_pos FROM b WHERE dest IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 def split_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches of links of one destination, here its first letter."""
-    a = tree(spark, sf_dir).where("tag = 'a'").select("page_id", "pos", F.substring("href", 1, 2).alias("dest"))
-    r = runs.islands(a, ["page_id"], ["pos"], F.col("dest"))
-    return r.groupBy("page_id", "run", "dest").agg(F.count("*").alias("n_links"), F.min("pos").alias("first_pos")).where("n_links >= 2")
+    """Stretches of links of a page, one after another, that have one destination."""
+    a = tree(spark, sf_dir).where("tag = 'a'").select("page_id", "pos", F.col("href").alias("dest"))
+    r = runs.islands(a, ["page_id"], ["pos"], F.coalesce("dest", F.concat(F.lit("\0"), F.col("pos").cast("string"))))
+    return r.where("dest is not null").groupBy("page_id", "run", "dest").agg(F.count("*").alias("n_links"), F.min("pos").alias("first_pos")).where("n_links >= 2")
 
 
-@query(TREE + "SELECT page_id, parent_pos AS pos, count(*) AS n_kids FROM tree WHERE parent_pos IS NOT NULL GROUP BY 1, 2 HAVING bool_and(role = 'LI')")
+@query(TREE + """, kids AS (SELECT page_id, parent_pos AS pos, any_value(parent_role) AS role, count(*) AS n, bool_and(role = 'Link') AS links FROM tree WHERE parent_pos IS NOT NULL GROUP BY 1, 2
+), lists AS (SELECT t.page_id, t.parent_pos AS pos, count(*) AS n, bool_and(t.role = 'LI' AND coalesce(k.links, false)) AS links FROM tree t LEFT JOIN kids k ON k.page_id = t.page_id AND k.pos = t.pos WHERE t.parent_role = 'L' GROUP BY 1, 2)
+SELECT page_id, pos, 'LI' AS role, n AS n_kids FROM kids WHERE role = 'LI' AND links UNION ALL SELECT page_id, pos, 'L', n FROM lists WHERE links""")
 def link_only_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree(spark, sf_dir).where("parent_pos is not null").groupBy("page_id", F.col("parent_pos").alias("pos")).agg(F.count("*").alias("n_kids"), F.bool_and(F.col("role") == "LI").alias("all")).where("all").drop("all")
+    """Items that hold links only, and lists of such items only."""
+    n = tree(spark, sf_dir).where("parent_pos is not null")
+    kids = n.groupBy("page_id", F.col("parent_pos").alias("pos")).agg(F.first("parent_role").alias("role"), F.count("*").alias("n_kids"), F.bool_and(F.col("role") == "Link").alias("links"))
+    items = n.where("parent_role = 'L'").join(kids.select("page_id", "pos", "links"), ["page_id", "pos"], "left")
+    lists = items.groupBy("page_id", F.col("parent_pos").alias("pos")).agg(F.count("*").alias("n_kids"), F.bool_and((F.col("role") == "LI") & F.coalesce("links", F.lit(False))).alias("links"))
+    return kids.where("role = 'LI' and links").select("page_id", "pos", "role", "n_kids").unionByName(lists.where("links").select("page_id", "pos", F.lit("L").alias("role"), "n_kids"))
 
 
 @query(r"""SELECT page_id, NOT regexp_matches(html, '<html[^>]*\slang="[^"]+"') AS no_lang, NOT contains(html, '<h1') AS no_h1, NOT contains(html, '<body') AS no_document FROM pages""")
@@ -229,37 +238,30 @@ BOX = "l_quantity AS x0, l_discount * 100 AS y0, l_quantity + 10 AS x1, l_discou
 
 
 @query(f"""WITH b AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINES}) AS id, {BOX} FROM lineitem),
-s AS (SELECT a.l_orderkey, a.id, e.id AS best, round((least(a.x1, e.x1) - greatest(a.x0, e.x0)) * (least(a.y1, e.y1) - greatest(a.y0, e.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) AS score FROM b a JOIN b e ON a.l_orderkey = e.l_orderkey AND a.id <> e.id
+s AS (SELECT a.l_orderkey, a.id, e.id AS best, (e.x1 - e.x0) * (e.y1 - e.y0) AS area, round((least(a.x1, e.x1) - greatest(a.x0, e.x0)) * (least(a.y1, e.y1) - greatest(a.y0, e.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) AS score FROM b a JOIN b e ON a.l_orderkey = e.l_orderkey AND a.id <> e.id
   AND a.x0 < e.x1 AND e.x0 < a.x1 AND a.y0 < e.y1 AND e.y0 < a.y1)
-SELECT l_orderkey, id, best, score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, id ORDER BY score DESC, best) AS r FROM s WHERE score >= 0.3) WHERE r = 1""")
+SELECT l_orderkey, id, best, score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, id ORDER BY score DESC, area, best) AS r FROM s WHERE score >= 0.3) WHERE r = 1""")
 def rect_overlap_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each box's best overlapping other box of its order."""
-    from docloom.operators import geometry
-
+    """Each box's best overlapping other box of its order: boxes are annotations and, as a table of their own, elements."""
     own = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    b = t(spark, sf_dir, "lineitem").withColumn("id", F.row_number().over(own).cast("long")).selectExpr("l_orderkey", "id", *BOX.split(", "))
-    a = b.select("l_orderkey", "id", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    e = b.select("l_orderkey", F.col("id").alias("best"), *[F.col(c).alias(f"e_{c}") for c in ("x0", "y0", "x1", "y1")])
-    s = a.join(e, "l_orderkey").where(exprs.intersects("a_", "e_") & (F.col("id") != F.col("best"))).withColumn("score", F.round(geometry.shared("a_", "e_") / geometry.area("a_"), 6)).where(F.col("score") >= K.LINK_MIN_SCORE)
-    r = F.row_number().over(Window.partitionBy("l_orderkey", "id").orderBy(F.desc("score"), "best"))
-    return s.withColumn("r", r).where("r = 1").select("l_orderkey", "id", "best", "score")
+    b = t(spark, sf_dir, "lineitem").withColumn("id", F.row_number().over(own).cast("long")).selectExpr("l_orderkey AS doc_id", "1 AS page_num", "id", *BOX.split(", "))
+    elems = b.withColumnRenamed("id", "elem_id").withColumns({"depth": F.lit(1), "pre": F.col("elem_id")})
+    best = geometry.best_overlap(b.withColumnRenamed("id", "annot_id"), elems, apart=True)
+    return best.select(F.col("doc_id").alias("l_orderkey"), F.col("annot_id").alias("id"), F.col("elem_id").alias("best"), "score")
 
 
 @query("SELECT l_orderkey, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT l_orderkey, " + BOX + " FROM lineitem) GROUP BY 1")
 def rect_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docloom.operators.geometry import union_of
-
-    return union_of(t(spark, sf_dir, "lineitem").selectExpr("l_orderkey", *BOX.split(", ")), ["l_orderkey"])
+    return geometry.union_of(t(spark, sf_dir, "lineitem").selectExpr("l_orderkey", *BOX.split(", ")), ["l_orderkey"])
 
 
 @query("""SELECT a.event_id, min(b.event_id) AS first_match FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'click' AND b.value >= a.value - 3 AND b.value <= a.value + 3 WHERE a.event_type = 'purchase' GROUP BY 1""")
 def interval_match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each purchase's first click of the user within 3 of its value; a click is met by its bin and the next ones only."""
-    e = t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.floor(F.col("value") / 6).alias("bin"))
-    a = e.where("event_type = 'purchase'").select("event_id", "user_id", "value", F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])).alias("bin"))
-    b = e.where("event_type = 'click'").select("user_id", "bin", F.col("event_id").alias("b_id"), F.col("value").alias("b_value"))
-    near = a.join(b, ["user_id", "bin"]).where((F.col("b_value") >= F.col("value") - 3) & (F.col("b_value") <= F.col("value") + 3))
-    return near.groupBy("event_id").agg(F.min("b_id").alias("first_match"))
+    """Each purchase's first click of its user within 3 of its value: purchases are boxes of no height, clicks are bullets."""
+    e = t(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit(1).alias("page_num"), "event_id", "event_type", "value")
+    boxes = e.where("event_type = 'purchase'").select("doc_id", "page_num", F.col("event_id").alias("elem_id"), F.col("value").alias("y0"), F.col("value").alias("y1"))
+    points = e.where("event_type = 'click'").select("doc_id", "page_num", F.col("event_id").alias("ord"), F.col("value").alias("x"), F.col("value").alias("y"))
+    return geometry.first_in_interval(boxes, points).select(F.col("elem_id").alias("event_id"), F.col("bullet.ord").alias("first_match"))
 
 
 @query("""WITH a AS (SELECT * FROM events WHERE event_type = 'error'), b AS (SELECT * FROM events WHERE event_type = 'view')
@@ -288,83 +290,92 @@ w AS (SELECT user_id, event_id, i, value AS first, 1::BIGINT AS run FROM e WHERE
 """
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+
+
 @query(FOLD + "SELECT user_id, event_id, run FROM w")
 def left_edge_subruns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs anchored to their first value."""
+    return runs.scan(events(spark, sf_dir), ["user_id"], ["event_id"], ["value"], runs.anchor(100), "run", "long").select("user_id", "event_id", "run")
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["user_id", "event_id"]].assign(run=runs.anchored(pdf["value"].tolist(), 100))
 
-    return runs.fold(t(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"], step, "user_id long, event_id long, run long")
+LEVELS = """h AS (SELECT lang, floor(n_chars / 100.0 * 4 + 0.5) / 4 AS size, sum(length(text))::BIGINT AS weight FROM documents GROUP BY 1, 2
+), b AS (SELECT lang, arg_max(size, struct_pack(a := weight, b := -size)) AS body FROM h GROUP BY lang
+), levels AS (SELECT lang, size, level FROM (SELECT h.lang, size, dense_rank() OVER (PARTITION BY h.lang ORDER BY size DESC) AS level FROM h JOIN b ON b.lang IS NOT DISTINCT FROM h.lang WHERE size > body + 0.5) WHERE level <= 6
+), ranked AS (SELECT d.lang, d.source, d.doc_id // 1000 AS part, d.doc_id, l.size, l.level FROM documents d JOIN levels l ON l.lang = d.lang AND l.size = floor(d.n_chars / 100.0 * 4 + 0.5) / 4)"""
 
 
-@query()
+@query("WITH RECURSIVE " + LEVELS + folded(["lang", "source", "part"], "doc_id") + "SELECT f.lang, f.doc_id, f.size::DOUBLE AS size, 'H' || s.out AS role FROM f JOIN state s ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source AND s.part = f.part AND s.i = f.i")
 def heading_level_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in order as paragraphs of their language's scope."""
-    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", exprs.round_quarter(F.col("n_chars") / 100).alias("size"))
-    ranked = docs.join(F.broadcast(size_histogram_levels(spark, sf_dir)), ["lang", "size"], "left")
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranks = [None if pd.isna(x) else int(x) for x in pdf["level"]]
-        got = runs.headings(ranks, pdf["size"].tolist())
-        out = pdf[["lang", "doc_id", "size"]].assign(role=[None if g is None else f"H{g}" for g in got])
-        return out[[r is not None for r in ranks]]
-
-    return runs.fold(ranked, ["lang"], ["doc_id"], step, "lang string, doc_id long, size double, role string")
-
-
-@query()
+    """Documents in order as paragraphs; a thousand ids of one language and source are a scope."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.floor(F.col("doc_id") / 1000).alias("part"), exprs.round_quarter(F.col("n_chars") / 100).alias("size"))
+    ranked = docs.join(F.broadcast(size_histogram_levels(spark, sf_dir)), ["lang", "size"])
+    out = runs.scan(ranked, ["lang", "source", "part"], ["doc_id"], ["level", "size"], runs.heading, "got", "long")
+    return out.select("lang", "doc_id", "size", F.concat(F.lit("H"), F.col("got").cast("string")).alias("role"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (SELECT user_id, event_id, i, [value] AS rungs, NULL::DOUBLE AS size FROM e WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, CASE WHEN opens THEN list_append(kept, value) ELSE kept END, CASE WHEN opens AND size IS NULL THEN value - kept[-1] ELSE size END
+  FROM (SELECT *, value - kept[-1] >= 10 AND (size IS NULL OR abs(value - kept[-1] - size) <= 2) AS opens FROM (
+    SELECT e.user_id, e.event_id, e.i, e.value, w.size, list_filter(w.rungs, lambda r, j: j = 1 OR e.value >= r - 2) AS kept FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)))
+SELECT user_id, event_id, len(rungs)::BIGINT - 1 AS level FROM w""")
 def toc_ladder_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["user_id", "event_id"]].assign(level=runs.ladder(pdf["value"].tolist()))
-
-    return runs.fold(t(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"], step, "user_id long, event_id long, level long")
+    return runs.scan(events(spark, sf_dir), ["user_id"], ["event_id"], ["value"], runs.rungs(), "level", "long").select("user_id", "event_id", "level")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events),
+w AS (SELECT user_id, event_type, event_id, value, i, true AS ok, [value] AS kept FROM e WHERE i = 1
+  UNION ALL SELECT user_id, event_type, event_id, value, i, ok, CASE WHEN ok THEN list_append(kept, value) ELSE kept END FROM (
+    SELECT e.*, w.kept, len(list_filter(w.kept, lambda k: abs(k - e.value) <= 1)) = 0 AS ok FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.i = w.i + 1))
+SELECT user_id, event_type, event_id, value FROM w WHERE ok""")
 def dedupe_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each user's events of a type those farther than 1 from all kept before."""
+    return runs.scan(events(spark, sf_dir), ["user_id", "event_type"], ["event_id"], ["value"], runs.sieve(1.0), "ok", "boolean").where("ok").drop("ok")
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.loc[runs.accepted([(v,) for v in pdf["value"]], 1.0), ["user_id", "event_type", "event_id", "value"]]
 
-    return runs.fold(t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"], step, "user_id long, event_type string, event_id long, value double")
+GROUPED = ["NeedlessNesting", "MissingAltText", "InvalidLinkUri", "EmptyElement", "StaleScribble"]
 
 
-ISSUES = """, issues AS (SELECT page_id, pos, 'TAG_WRONG_CHILD' AS type, 1 AS check_ord FROM tree WHERE role = 'Link' AND parent_role = 'LI' UNION ALL SELECT page_id, pos, 'NEEDLESS_NESTING', 2 FROM tree WHERE role IN ('Part', 'Sect', 'Art', 'Div')
-  UNION ALL SELECT page_id, pos, 'INVALID_LINK_URI', 3 FROM tree WHERE tag = 'a' AND NOT starts_with(href, 'http'))"""
+def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Context]:
+    """Issues of some checks over pages."""
+    ctx = Context(spark, check_queries.tables(spark, sf_dir))
+    return run_checks(ctx, GROUPED), ctx
 
 
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = tree(spark, sf_dir)
-    tests = [("TAG_WRONG_CHILD", (F.col("role") == "Link") & (F.col("parent_role") == "LI")), ("NEEDLESS_NESTING", F.col("role").isin(*K.GROUPING)), ("INVALID_LINK_URI", (F.col("tag") == "a") & ~F.startswith("href", F.lit("http")))]
-    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(name).alias("type"), F.lit(i).alias("check_ord"))) for i, (name, c) in enumerate(tests, 1)]))
-    return n.select("page_id", "pos", F.explode(found).alias("x")).select("page_id", "pos", "x.type", "x.check_ord")
+ISSUES = check_queries.CANON + ", issues AS (" + " UNION ALL ".join(f"SELECT *, {i} AS check_ord FROM ({check_queries.ORACLES[f'check_{CHECKS[n].run.__name__}'].removeprefix(check_queries.CANON)})" for i, n in enumerate(GROUPED)) + ")\n"
 
 
-@query(TREE + ISSUES + "SELECT page_id, type, count(*) AS n, min(pos) AS first_pos, count(*) >= 3 AS collapsed, rank() OVER (PARTITION BY page_id ORDER BY min(check_ord)) AS place FROM issues GROUP BY page_id, type")
+@query(ISSUES + """, g AS (SELECT doc_id, type, count(*) AS n, min(check_ord) AS o, list_sort(list_distinct(list(page) FILTER (page > 0))) AS p FROM issues GROUP BY 1, 2
+), s AS (SELECT doc_id, type, n, rank() OVER (PARTITION BY doc_id ORDER BY o) AS place, CASE WHEN coalesce(len(p), 0) = 0 THEN '' WHEN len(p) = 1 THEN p[1]::VARCHAR WHEN p[-1] - p[1] + 1 = len(p) THEN p[1] || '-' || p[-1] ELSE array_to_string(p, ', ') END AS pages FROM g)
+SELECT doc_id, type, n, place, CASE WHEN n >= 3 AND pages <> '' THEN n || ' ' || type || ' (p. ' || pages || ')' ELSE n || ' ' || type END AS line FROM s""")
 def issue_group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = issues(spark, sf_dir).groupBy("page_id", "type").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.min("check_ord").alias("o"))
-    return g.select("page_id", "type", "n", "first_pos", (F.col("n") >= 3).alias("collapsed"), F.rank().over(Window.partitionBy("page_id").orderBy("o")).cast("long").alias("place"))
+    """Issues of pages as the report groups them."""
+    g = report.groups(found(spark, sf_dir)[0])
+    return g.select("doc_id", "type", "n", F.rank().over(Window.partitionBy("doc_id").orderBy("first")).cast("long").alias("place"), "line")
 
 
-@query(TREE + ISSUES + "SELECT type, count(*) AS detected, count(*) FILTER (check_ord < 3) AS resolved, count(*) FILTER (check_ord = 3) AS remaining, sum(CASE WHEN check_ord = 2 THEN 2 WHEN check_ord < 3 THEN 1 ELSE 0 END)::BIGINT AS items FROM issues GROUP BY type")
+@query(ISSUES + """SELECT type, count(*) AS detected, count(fix_kind) AS resolved, 0::BIGINT AS failed, count(*) - count(fix_kind) AS remaining,
+coalesce(sum(CASE WHEN type IN ('NEEDLESS_NESTING', 'EMPTY_ELEMENT') THEN detail::BIGINT ELSE 1 END) FILTER (fix_kind IS NOT NULL), 0)::BIGINT AS items FROM issues GROUP BY 1""")
 def resolved_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = F.col("check_ord")
-    return issues(spark, sf_dir).groupBy("type").agg(F.count("*").alias("detected"), F.count_if(o < 3).alias("resolved"), F.count_if(o == 3).alias("remaining"), F.sum(F.when(o == 2, 2).when(o < 3, 1).otherwise(0)).alias("items"))
+    """What the fixes of the issues resolve, by type."""
+    issues, ctx = found(spark, sf_dir)
+    return report.breakdown(pipeline.resolve(issues, ctx.closure))
 
 
-@query(TREE + ISSUES + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id, pos ORDER BY check_ord) AS r FROM issues)
-SELECT page_id, pos, type, CASE WHEN r = 1 THEN 'applied' ELSE 'superseded' END AS status FROM ranked""")
+@query(check_queries.CANON + """SELECT v.doc_id, v.elem_id::INTEGER AS elem_id, CASE WHEN EXISTS (SELECT 1 FROM anc a JOIN v h ON h.doc_id = a.doc_id AND h.elem_id = a.anc_id WHERE a.doc_id = v.doc_id AND a.elem_id = v.elem_id AND a.dist > 0 AND h.role IN ('L', 'LI', 'Link')) THEN 'superseded' ELSE 'resolved' END AS status
+FROM v WHERE role IN ('L', 'LI', 'Link')""")
 def conflict_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the fixes of one element the one of the lowest priority number is applied."""
-    r = F.row_number().over(Window.partitionBy("page_id", "pos").orderBy("check_ord"))
-    return issues(spark, sf_dir).withColumn("r", r).select("page_id", "pos", "type", F.when(F.col("r") == 1, "applied").otherwise("superseded").alias("status"))
+    """Lists, their items and links as artifacts, in order: what stands below one that is taken is needless."""
+    ctx = Context(spark, check_queries.tables(spark, sf_dir))
+    each = ctx.numbers.where("role in ('L', 'LI', 'Link')").select("doc_id", "elem_id", F.lit("MISTAGGED_ARTIFACT").alias("type"), F.lit(0).alias("check_ord"), F.lit(0).alias("fix_priority"), F.col("pre").alias("seq"), F.lit("element").alias("detail"), F.lit(0).alias("page"), F.lit("MistaggedArtifact").alias("fix_kind"))
+    return pipeline.resolve(each, ctx.closure).select("doc_id", "elem_id", "status")
 
 
-@query("""SELECT conv_id, CASE WHEN count(*) = 1 THEN min(turn)::VARCHAR WHEN max(turn) - min(turn) + 1 = count(*) THEN min(turn) || '-' || max(turn) ELSE string_agg(turn::VARCHAR, ', ' ORDER BY turn) END AS pages FROM conversations WHERE role = 'user' OR conv_id % 2 = 0 GROUP BY conv_id""")
+@query("""SELECT conv_id, CASE WHEN count(*) = 1 THEN min(turn)::VARCHAR WHEN max(turn) - min(turn) + 1 = count(*) THEN min(turn) || '-' || max(turn) ELSE string_agg(turn::VARCHAR, ', ' ORDER BY turn) END AS pages FROM conversations GROUP BY conv_id""")
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "conversations").where("role = 'user' or conv_id % 2 = 0").groupBy("conv_id").agg(exprs.page_range(F.collect_list("turn")).alias("pages"))
+    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(exprs.page_range(F.collect_list("turn")).alias("pages"))
 
 
 @query("SELECT l_orderkey, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS median_edge, min(l_quantity) FILTER (l_quantity > 10) AS left_edge FROM lineitem GROUP BY 1")
@@ -427,9 +438,10 @@ def diagram_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("a") == F.col("b"), "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("SELECT d.doc_id, d.lang FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id")
 def unmatched_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "customer").join(t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Documents without a label."""
+    return t(spark, sf_dir, "documents").select("doc_id", "lang").join(t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 SLUG = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(%s, '^[A-Za-z]+://', ''), '\.html?$', ''), '[^A-Za-z0-9_]', '-', 'g'), '-+', '-', 'g'), '-')"
@@ -447,10 +459,11 @@ def dup_name_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("n", n).select("page_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("name"))
 
 
-@query(r"""SELECT doc_id, len(s)::BIGINT AS n_segments, s[1] AS first_segment, len(list_filter(s, lambda x: trim(x) = 'OK')) > 0 AS verified FROM (SELECT doc_id, string_split(regexp_replace(replace(regexp_replace(left(text, 200), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '. ', ' // '), '( // )+$', ''), ' // ') AS s FROM documents WHERE length(trim(text)) > 0 AND NOT starts_with(text, ':'))""")
+@query(r"""SELECT doc_id, len(s)::BIGINT AS n_segments, s[1] AS first_segment, len(list_filter(s, lambda x: trim(x) = 'OK')) > 0 AS verified FROM (SELECT doc_id, string_split(regexp_replace(replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '. ', ' // '), '( // )+$', ''), ' // ') AS s FROM documents WHERE length(trim(text)) > 0)""")
 def note_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of a text's head as segments of a note."""
-    d = t(spark, sf_dir, "documents").where("length(trim(text)) > 0 and not startswith(text, ':')").select("doc_id", F.concat(F.lit("__"), F.replace(F.substring("text", 1, 200), F.lit(". "), F.lit(" // "))).alias("title"))
+    """Sentences of whole texts as segments of a note."""
+    # A tool's mark is no part of a note, so that a text may begin with one.
+    d = t(spark, sf_dir, "documents").where("length(trim(text)) > 0").select("doc_id", F.concat(F.lit("__"), F.when(F.startswith("text", F.lit(":")), F.lit(":")).otherwise(F.lit("")), F.replace("text", F.lit(". "), F.lit(" // "))).alias("title"))
     s = exprs.segments(F.col("title"))
     return d.select("doc_id", F.size(s).cast("long").alias("n_segments"), F.element_at(s, 1).alias("first_segment"), exprs.is_verified(F.col("title")).alias("verified"))
 
@@ -465,9 +478,11 @@ def ligature_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return font.join(F.broadcast(known), "point", "left").select("code", "point", F.coalesce("mapped", "was").alias("mapped"), F.col("mapped").isNotNull().alias("broken"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Language'), (2, 'EmptyElement'), (3, 'ClearRoleMap')) v(check_ord, name)")
-def check_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docloom.plans.pipeline import select_checks
+SELECTION = """WITH known(i, name, std) AS (VALUES (1, 'TaggedPdf', true), (2, 'Language', true), (3, 'EmptyElement', true), (4, 'ClearRoleMap', false), (5, 'InlineDestinations', false)), asked(name, how) AS (VALUES ('ClearRoleMap', 'include'), ('TaggedPdf', 'skip'), ('Nothing', 'include'))
+SELECT row_number() OVER (ORDER BY i)::INTEGER AS check_ord, name FROM known WHERE (std OR name IN (SELECT name FROM asked WHERE how = 'include')) AND name NOT IN (SELECT name FROM asked WHERE how = 'skip')"""
+
 
-    names = select_checks(["TaggedPdf", "Language", "EmptyElement"], ["ClearRoleMap", "InlineDestinations"], include={"ClearRoleMap"}, skip={"TaggedPdf"})
+@query(SELECTION)
+def check_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = pipeline.select_checks(["TaggedPdf", "Language", "EmptyElement"], ["ClearRoleMap", "InlineDestinations"], include={"ClearRoleMap", "Nothing"}, skip={"TaggedPdf"})
     return spark.createDataFrame(list(enumerate(names, 1)), "check_ord int, name string")

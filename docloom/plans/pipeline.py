@@ -34,7 +34,19 @@ def stop_at_fatal(issues: DataFrame) -> DataFrame:
     return issues.join(first, "doc_id", "left").where("fatal_at is null or check_ord <= fatal_at").drop("fatal_at")
 
 
-def resolve(issues: DataFrame) -> DataFrame:
-    """Status of each fix: the first of an element by priority and order is applied, later ones are superseded."""
-    w = Window.partitionBy("doc_id", "elem_id").orderBy("fix_priority", "check_ord", "seq")
-    return issues.withColumn("status", F.when(F.col("fix_kind").isNull() | F.col("elem_id").isNull(), "open").when(F.row_number().over(w) == 1, "resolved").otherwise("superseded"))
+def resolve(issues: DataFrame, closure: DataFrame) -> DataFrame:
+    """issues with status: open without a fix, superseded where an earlier fix makes it needless, else resolved.
+
+    Fixes of a check go by priority, then as they were found. An artifact's fix makes later ones
+    below its element needless, and on the element itself if it takes the whole element. One
+    repair of a font serves all findings of that font. closure: doc_id, elem_id, anc_id, dist.
+    """
+    order = ["fix_priority", "check_ord", "seq"]
+    fixes = issues.where("fix_kind = 'MistaggedArtifact'").select("doc_id", "check_ord", "elem_id", F.struct(*order).alias("at"), (F.col("detail") == "element").alias("whole"))
+    above = fixes.select("doc_id", "check_ord", F.col("elem_id").alias("anc_id"), F.col("at").alias("a_at"), "whole")
+    later = fixes.drop("whole").join(closure, ["doc_id", "elem_id"]).join(above, ["doc_id", "check_ord", "anc_id"]).where((F.col("a_at") < F.col("at")) & ((F.col("dist") > 0) | F.col("whole")))
+    needless = later.select("doc_id", "check_ord", F.col("at.seq").alias("seq")).distinct().withColumn("needless", F.lit(True))
+    again = F.row_number().over(Window.partitionBy("doc_id", "check_ord", "detail", "page", F.col("fix_kind") == "BadlyMappedLigature").orderBy(*order)) > 1
+    out = issues.withColumn("again", (F.col("fix_kind") == "BadlyMappedLigature") & again).join(needless, ["doc_id", "check_ord", "seq"], "left")
+    status = F.when(F.col("fix_kind").isNull(), "open").when(F.col("needless") | F.coalesce("again", F.lit(False)), "superseded").otherwise("resolved")
+    return out.withColumn("status", status).drop("needless", "again").select(*issues.columns, "status")

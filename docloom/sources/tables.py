@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
@@ -41,3 +43,19 @@ def bounds(annot: DataFrame) -> DataFrame:
             for c, f, g, i in (("x0", "min", "least", 0), ("y0", "min", "least", 1), ("x1", "max", "greatest", 0), ("y1", "max", "greatest", 1))
         ],
     )
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share; a local one for a local session only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="docloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -25,6 +25,10 @@ def tables(spark, *trees, content=(), **rows):
                 walk(k, own, i)
 
         walk(parse_tree(t), None, 1)
+    first: dict = {}
+    for d, owner, page, *_ in content:
+        first.setdefault((d, owner), page)
+    elem = [(*e[:5], first.get((e[0], e[1])), *e[6:]) for e in elem]
     made, span = [], []
     for d, owner, page, mcid, text, kinds, box, *size in content:
         kid.append((d, owner, 100 + mcid, "mcr_num", None, mcid, page, None))
