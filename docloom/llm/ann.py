@@ -3,18 +3,23 @@
 Vectors are scaled by the largest length and given one more component that makes their
 length 1; queries are scaled to length 1 with 0 there. The nearest by distance are then
 those of the largest inner product. Each of ``tables`` tables hashes a vector by ``width``
--wide cells along ``dims`` random normal (2-stable) directions. A query visits cells in
-the order of their estimated success, which falls with the squared distance from the
-query's projections to the cell, up to a bound. The bound isn't guessed: for a bounded
-sample of queries the exact neighbours are found in blocks over all rows, and the bound
-is taken that reaches ``recall`` of them in some table.
-
-Cells are dealt to blocks by their codes; a cell of more than ``block`` rows is spread
-over several, so that no cell meets in one task. A query goes to the blocks of cells it
-visits, and only rows of visited cells are its candidates. They are reranked by the
-exact product in double precision, and the best of all blocks and tables are merged.
-Queries that found fewer than ``k`` rows though there are more, as outliers of clustered
-vectors and all of small tables do, are then answered exactly in blocks over all rows.
+-wide cells along random normal (2-stable) directions, as many as the binary logarithm of
+the number of vectors, so that cells grow finer with the table and the share of rows that
+a query visits falls. A query visits perturbed cells in the order of their estimated
+success, which falls with the squared distance from the query's projections to the cell,
+up to a bound. The bound isn't guessed: for a bounded sample of queries the exact
+neighbours are found in blocks over all rows, and the bound is taken that reaches
+``recall`` of them in some table.
+
+Cells are dealt to blocks by the codes of their first ``route`` directions; what lies in
+more than ``block`` rows of a code is spread over several, so that no cell meets in one
+task. All codes whose distance in these directions is within the bound, however many
+steps away, are generated in ascending order, and the query goes to their blocks; there
+cells are visited by the distance in all directions. Only rows of visited cells are its
+candidates. They are reranked by the exact product in double precision, and the best of
+all blocks and tables are merged. Queries that found fewer than ``k`` rows though there
+are more, as outliers of clustered vectors and all of small tables do, are then answered
+exactly in blocks over all rows.
 
 Defined results: vectors that are null, zero, or have null or non-finite components take
 no part, nor do those of another length than the commonest; null ids neither. Rows that
@@ -35,10 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.storage import save
+from docloom.llm.storage import save, scope
 
-#: Cells this many steps from a query's own are visited along a direction.
-REACH = 2
+#: Codes that lie in several blocks are told to all executors; blocks grow so that there are no more.
+MOST_LARGE = 100_000
 
 
 class Hash:
@@ -62,8 +67,29 @@ class Hash:
     @staticmethod
     def gaps(places: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distance from each place to each cell, in cells: places (q, d), codes (c, d)."""
-        far = np.abs(places[:, None] - (codes[None] + 0.5)) - 0.5
-        return (np.maximum(far, 0) ** 2).sum(axis=2)
+        out = np.zeros((len(places), len(codes)), np.float32)
+        for p, c in zip(places.T.astype(np.float32), codes.T.astype(np.float32), strict=True):
+            far = np.abs(p[:, None] - (c + np.float32(0.5))[None]) - np.float32(0.5)
+            np.maximum(far, 0, out=far)
+            out += far * far
+        return out
+
+
+def probes(place: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """All codes within the bound of one place and their squared distances, nearest first.
+
+    Directions are taken one after another; what exceeds the bound already goes, so that
+    only codes that some direction more can lead to a result are kept.
+    """
+    cost, codes = np.zeros(1), np.zeros((1, 0), np.int16)
+    for p in place:
+        steps = np.arange(np.floor(p - np.sqrt(bound)), np.floor(p + np.sqrt(bound)) + 1)
+        far = np.maximum(np.abs(p - (steps + 0.5)) - 0.5, 0) ** 2
+        every = cost[:, None] + far[None]
+        i, j = np.nonzero(every <= bound)
+        cost, codes = every[i, j], np.concatenate([codes[i], steps[j, None].astype(np.int16)], axis=1)
+    order = np.argsort(cost, kind="stable")
+    return codes[order], cost[order]
 
 
 def vectors(column: pa.Array) -> np.ndarray:
@@ -132,8 +158,7 @@ def exhaustive(queries: DataFrame, some: int, rows: DataFrame, n: int, k: int, b
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            # As float32, so that products equal those of the probe.
-            q, x = (np.array(side["v"].tolist(), np.float32).astype(np.float64) for side in (left, right))
+            q, x = (np.array(side["v"].tolist(), np.float64) for side in (left, right))
             ids, names = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
             for i in range(0, len(q), 64):
                 g = q[i : i + 64] @ x.T
@@ -171,13 +196,24 @@ def search(
     every: int = 20,
     k: int = 20,
     tables: int = 2,
-    dims: int = 6,
-    width: float = 1.5,
-    recall: float = 0.97,
+    dims: int | None = None,
+    width: float = 1.0,
+    recall: float = 0.96,
     sampled: int = 100,
     block: int = 8192,
+    route: int = 5,
+    tell: dict | None = None,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest of each row whose id is divisible by ``every``."""
+    """query_id, rank, vec_id, score of the k nearest of each row whose id is divisible by ``every``.
+
+    dims: directions of a table, the binary logarithm of the number of vectors (at least 6) if
+    None. tell: filled with bound, dims, and the queries that were answered exactly.
+    """
+    with scope(spark) as own:
+        return own.keep(save(spark, _searched(spark, embeddings, every, k, tables, dims, width, recall, sampled, block, route, {} if tell is None else tell), "neighbours"))
+
+
+def _searched(spark: SparkSession, embeddings: DataFrame, every: int, k: int, tables: int, dims: int | None, width: float, recall: float, sampled: int, block: int, route: int, tell: dict) -> DataFrame:
     kind = "query_id long, rank int, vec_id long, score double"
     rows, size = valid(embeddings, k)
     rows = save(spark, rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v"), "vectors")
@@ -185,8 +221,11 @@ def search(
     n = index.count()
     if not n:
         return spark.createDataFrame([], kind)
+    # Vectors travel in the precision that they have.
+    exact_as = np.float64 if "double" in index.schema["v"].dataType.simpleString() else np.float32
     longest = float(index.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()[0]) * (1 + 1e-12)
-    how = Hash(size, longest, tables, dims, width)
+    how = Hash(size, longest, tables, dims or max(6, round(np.log2(n))), width)
+    route = min(route, how.lines.shape[2])
 
     queries = rows.where(F.col("vec_id") % every == 0)
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sampled).toPandas().sort_values("vec_id")
@@ -198,72 +237,66 @@ def search(
             at = np.searchsorted(some["vec_id"].to_numpy(), near["query_id"].to_numpy())
             p, c = how.places(q, True)[:, at], np.floor(how.places(np.array(near["v"].tolist(), np.float64), False))
             far = ((np.maximum(np.abs(p - (c + 0.5)) - 0.5, 0)) ** 2).sum(axis=2).min(axis=0)
-            bound = float(np.quantile(far, recall)) + 1e-9
+            bound = float(np.quantile(far, recall)) + 1e-4
+    # So that no more codes than MOST_LARGE lie in several blocks.
+    block = max(block, -(-n * tables // MOST_LARGE))
     blocks = max(1, -(-n // block))
+    tell |= {"bound": bound, "dims": how.lines.shape[2], "vectors": n, "exact": 0}
     kept = spark.sparkContext.broadcast((how, bound))
 
-    def code_names(codes: np.ndarray) -> list[bytes]:
-        return [c.tobytes() for c in codes.astype(np.int16)]
-
     def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how, _ = kept.value
         for batch in batches:
             x = vectors(batch.column(1))
             for t, p in enumerate(how.places(x, False)):
-                names = code_names(np.floor(p))
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(x), pa.int32()), pa.array(names, pa.binary()), batch.column(0), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["t", "code", "vec_id", "x"])
+                codes = np.floor(p).astype(np.int16)
+                pack = lambda c: pa.array([r.tobytes() for r in c], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(x), pa.int32()), pack(np.ascontiguousarray(codes[:, :route])), pack(codes), batch.column(0), pack(x.astype(exact_as))], ["t", "head", "code", "vec_id", "x"])
 
-    coded = save(spark, index.mapInArrow(codes_of, "t int, code binary, vec_id long, x binary"), "coded")
-    # At most one cell in so many rows is that large.
-    large = coded.groupBy("t", "code").count().where(F.col("count") > block).collect()
-    spread = spark.sparkContext.broadcast({(r.t, bytes(r.code)): -(-r["count"] // block) for r in large})
+    coded = save(spark, index.mapInArrow(codes_of, "t int, head binary, code binary, vec_id long, x binary"), "coded")
+    large = coded.groupBy("t", "head").count().where(F.col("count") > block).collect()
+    spread = spark.sparkContext.broadcast({(r.t, bytes(r["head"])): -(-r["count"] // block) for r in large})
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = spread.value
         for batch in batches:
-            t, codes, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            b = [(zlib.crc32(c) + (i % parts.get((a, c), 1))) % blocks for a, c, i in zip(t, codes, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.int32()), *batch.columns[1:]], ["t", "b", "code", "vec_id", "x"])
+            t, heads, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            b = [(zlib.crc32(c) + (i % parts.get((a, c), 1))) % blocks for a, c, i in zip(t, heads, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.int32()), *batch.columns[2:]], ["t", "b", "code", "vec_id", "x"])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how, bound = kept.value
         parts = spread.value
-        steps = np.arange(-REACH, REACH + 1)
         for batch in batches:
             x = vectors(batch.column(1))
             who, table, to = [], [], []
             for t, places in enumerate(how.places(x, True)):
-                own = np.floor(places)
-                for i, (p, c) in enumerate(zip(places, own, strict=True)):
-                    cost = np.zeros(1)
-                    for d in range(len(p)):
-                        far = np.maximum(np.abs(p[d] - (c[d] + steps + 0.5)) - 0.5, 0) ** 2
-                        cost = (cost[:, None] + far).ravel()
-                    at = np.flatnonzero(cost <= bound)
-                    if blocks == 1:
-                        goal = {0}
-                    else:
-                        cells = np.stack(np.unravel_index(at, (len(steps),) * len(p)), 1) - REACH + c
-                        goal = {(zlib.crc32(m) + j) % blocks for m in code_names(cells) for j in range(parts.get((t, m), 1))}
+                for i, p in enumerate(places):
+                    goal: dict[int, None] = {}
+                    for m in probes(p[:route], bound)[0] if blocks > 1 else ():
+                        name = m.tobytes()
+                        for j in range(parts.get((t, name), 1)):
+                            goal[(zlib.crc32(name) + j) % blocks] = None
+                        if len(goal) == blocks:
+                            break
+                    goal = goal or {0: None}
                     who += [i] * len(goal)
                     table += [t] * len(goal)
-                    to += sorted(goal)
-            yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(to, pa.int32()), batch.column(0).take(pa.array(who, pa.int64())), pa.array([x[i].astype(np.float32).tobytes() for i in who], pa.binary())], ["t", "b", "query_id", "x"])
+                    to += goal
+            yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(to, pa.int32()), batch.column(0).take(pa.array(who, pa.int64())), pa.array([x[i].astype(exact_as).tobytes() for i in who], pa.binary())], ["t", "b", "query_id", "x"])
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         how, bound = kept.value
         out = []
         if len(left) and len(right):
-            x = np.stack([np.frombuffer(r, np.float32) for r in right["x"]]).astype(np.float64)
+            x = np.stack([np.frombuffer(r, exact_as) for r in right["x"]]).astype(np.float64)
             ids = right["vec_id"].to_numpy()
             names, cell = np.unique(right["code"].to_numpy(), return_inverse=True)
-            codes = np.stack([np.frombuffer(c, np.int16) for c in names]).astype(np.float64)
-            q = np.stack([np.frombuffer(r, np.float32) for r in left["x"]]).astype(np.float64)
+            codes = np.stack([np.frombuffer(c, np.int16) for c in names])
+            q = np.stack([np.frombuffer(r, exact_as) for r in left["x"]]).astype(np.float64)
             places = how.places(q, True)[key[0]]
             for i in range(0, len(q), 64):
-                far = Hash.gaps(places[i : i + 64], codes)
-                near = np.abs(np.floor(places[i : i + 64])[:, None] - codes[None]).max(axis=2) <= REACH
-                seen = ((far <= bound) & near)[:, cell]
+                seen = (Hash.gaps(places[i : i + 64], codes) <= bound)[:, cell]
                 g = np.where(seen, q[i : i + 64] @ x.T, -np.inf)
                 out += [nearest(name, q[i + j], g[j], ids, x, k) for j, name in enumerate(left["query_id"].to_numpy()[i : i + 64])]
         return together(out)
@@ -277,6 +310,7 @@ def search(
     counts = probed.groupBy("query_id").count()
     short = queries.join(counts, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("count", F.lit(0)) < full).select("vec_id", "v")
     short = save(spark, short, "short")
-    if not (some := short.count()):
+    tell["exact"] = some = short.count()
+    if not some:
         return probed
     return ranked(probed.drop("rank").unionByName(exhaustive(short, some, index, n, k, block)), k)
