@@ -6,7 +6,8 @@ in the window goes through a rectifier into a softmax. A document's class is tha
 the mean of its windows' log-probabilities, weighted by their lengths.
 
 The network is trained with numpy on the driver, on passages of a bounded sample of
-labelled rows (``per_lang`` documents of each language, ``passage`` characters of each);
+labelled rows (``per_lang`` documents of each language, ``passage`` characters of each, of the
+``most_langs`` commonest languages);
 the sample is drawn by a hash of the id, so that reruns agree. Filters over one-hot
 bytes are tables, and pairs of bytes are looked up at once.
 
@@ -126,17 +127,19 @@ def train(rows: list[tuple[str, str]], steps: int = 500, batch: int = 64, rate:
     return net
 
 
-def sample(docs: DataFrame, per_lang: int, passage: int, fold: int, of: int) -> list[tuple[str, str]]:
-    """Passages of about per_lang documents of each language outside the held-out fold."""
+def sample(docs: DataFrame, per_lang: int, passage: int, fold: int, of: int, most_langs: int = 1000) -> list[tuple[str, str]]:
+    """Passages of about per_lang documents of each language outside the held-out fold; of the commonest most_langs languages."""
     known = docs.select("doc_id", "text", "lang").where(F.crc32(F.col("doc_id").cast("string")) % of != fold).where("lang is not null and text is not null and length(text) > 0")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return []
     rate = F.create_map(*[x for g, n in sorted(counts.items()) for x in (F.lit(g), F.lit(min(1.0, per_lang / n)))])
     h = F.xxhash64("doc_id", F.lit("langid"))
     at = F.pmod(h, F.greatest(F.lit(1), F.length("text") - passage)).cast("int") + 1
-    drawn = known.where(F.pmod(h, F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20))
-    rows = drawn.select("doc_id", F.substring(F.col("text"), at, F.lit(passage)).alias("t"), "lang").limit(2 * per_lang * len(counts)).collect()
+    # Who has an id many times over is drawn with it; the order by the hash makes the limit that bounds this definite.
+    drawn = known.where(F.pmod(h, F.lit(1 << 20)) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)) * (1 << 20))
+    drawn = drawn.select("doc_id", F.substring(F.col("text"), at, F.lit(passage)).alias("t"), "lang", h.alias("h"))
+    rows = drawn.orderBy("h", "doc_id", "t", "lang").limit(2 * per_lang * len(counts)).collect()
     return [(r.t, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.t, r.lang))]
 
 

@@ -172,7 +172,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, longest: int, fold: in
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").alias("quality"))
     marks = marks.where(F.crc32(F.col("l_id").cast("string")) % of != fold).orderBy(F.xxhash64("l_id", F.lit("quality")), "l_id").limit(most)
     own = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
-    rows = own.join(F.broadcast(marks), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "quality").collect()
+    rows = own.join(F.broadcast(marks), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "quality")
+    # Rows that repeat an id count as any other, up to most in all.
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", F.xxhash64("text")).limit(most).collect()
     return sorted(rows, key=lambda r: (r.doc_id, r.text or ""))
 
 
