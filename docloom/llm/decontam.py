@@ -16,8 +16,9 @@ The fingerprint's angle estimates the similarity; at a similarity of 0.8 the dis
 is 9.7 bits on average with a deviation of 2.9, so the radius of 16 leaves out one in
 a hundred windows just at the threshold and far fewer above it.
 
-Only shingles of items travel to the executors (behind a check of their number); a very
-common passage costs a row a document, and nothing is gathered by passage or shingle.
+Only shingles of items travel to the executors (behind a check of their number). Equal
+windows, known by a 64-bit hash of their shingles, are fingerprinted and verified once; a
+very common passage costs a row a document, and its documents are never gathered.
 
 Defined results: null and empty texts match nothing, nor do items without words; items
 of one word sequence are one item, named by its smallest id; rows that repeat an id are
@@ -31,16 +32,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.storage import save
+from docloom.llm.lookup import look_up
+from docloom.llm.storage import save, scope
 
 BLOCKS = 4
 #: Tables of up to so many rows are sent to all executors; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 WORDS = r"filter(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
 
+#: Words as their hashes: all that follows compares shingles of these.
+HASHED = f"transform({WORDS}, w -> xxhash64(w))"
+
 
 def grams(words: str, k: int) -> str:
-    """Hashes of all runs of k words, in order."""
+    """Hashes of all runs of k words, in order, from the words' hashes."""
     return f"CASE WHEN size({words}) >= {k} THEN transform(sequence(1, size({words}) - {k - 1}), i -> xxhash64(slice({words}, i, {k}), {k})) ELSE cast(array() AS array<bigint>) END"
 
 
@@ -60,7 +65,7 @@ def small(df: DataFrame) -> DataFrame:
 
 def items_of(spark: SparkSession, benchmark: DataFrame, k: int) -> DataFrame:
     """ikey, item_id, n (words), g (words a shingle), hs, fp."""
-    words = benchmark.select("item_id", F.expr(WORDS).alias("words")).where("size(words) > 0")
+    words = benchmark.select("item_id", F.expr(HASHED).alias("words")).where("size(words) > 0")
     words = words.groupBy("words").agg(F.min("item_id").alias("item_id")).withColumn("n", F.size("words")).withColumn("g", F.least("n", F.lit(k)))
     own = "CASE " + " ".join(f"WHEN g = {j} THEN {grams('words', j)}" for j in range(1, k + 1)) + " END"
     items = words.select(F.xxhash64("words").alias("ikey"), "item_id", "n", "g", F.expr(own).alias("hs"))
@@ -81,7 +86,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int =
     keyed = docs.select("doc_id", text_hash().alias("t"), "text")
     places = small(items.select("n", "g", F.posexplode("hs").alias("j", "h")).select("n", "g", "j", "h").distinct())
 
-    worded = keyed.select("doc_id", "t", F.expr(WORDS).alias("words"))
+    worded = keyed.select("doc_id", "t", F.expr(HASHED).alias("words"))
     every = [worded.select("doc_id", "t", F.size("words").alias("size"), F.lit(g).alias("dg"), F.posexplode(F.expr(grams("words", g))).alias("i", "dh")) for g in lengths]
     seen = every[0]
     for other in every[1:]:
@@ -100,37 +105,43 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int =
     own = starts.groupBy("doc_id", "t").agg(F.collect_set(F.struct("g", "n", "s")).alias("cuts")).withColumnsRenamed({"doc_id": "docloom_w_id", "t": "w_t"})
     own = save(spark, own, "cuts")
     texts = keyed.join(small(own), F.col("doc_id").eqNullSafe(F.col("docloom_w_id")) & (F.col("t") == F.col("w_t"))).dropDuplicates(["doc_id", "t"])
-    cut = texts.select("doc_id", "t", F.expr(WORDS).alias("words"), "cuts").select("doc_id", "t", "words", F.explode("cuts").alias("c"))
+    cut = texts.select("doc_id", "t", F.expr(HASHED).alias("words"), "cuts").select("doc_id", "t", "words", F.explode("cuts").alias("c"))
     cut = cut.select("doc_id", "t", "c.*", F.expr("slice(words, c.s + 1, c.n)").alias("win"))
     hashes = "CASE " + " ".join(f"WHEN g = {g} THEN {grams('win', g)}" for g in lengths) + " ELSE cast(array() AS array<bigint>) END"
-    windows = cut.select("doc_id", "t", "g", "n", "s", F.expr(hashes).alias("ws")).where("size(ws) > 0").withColumn("wf", simhash("ws"))
+    windows = cut.select("doc_id", "t", "g", "n", "s", F.expr(hashes).alias("ws")).where("size(ws) > 0").withColumn("wk", F.xxhash64("ws", "g"))
     windows = save(spark, windows, "windows")
+    # What many documents share is fingerprinted and verified once.
+    contents = windows.groupBy("wk").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("ws").alias("ws"), F.count("*").alias("rows")).withColumn("wf", simhash("ws"))
+    contents = save(spark, contents, "contents")
 
     near = [x for x in range(1 << (64 // BLOCKS)) if x.bit_count() <= radius // BLOCKS]
     listed = items.select("ikey", F.col("n").alias("i_n"), F.col("g").alias("i_g"), "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.expr(block("fp", b)).alias("v")) for b in range(BLOCKS)])).alias("x"))
     listed = listed.select("ikey", "i_n", "i_g", "fp", "x", F.explode(F.lit(near)).alias("flip")).select("ikey", "i_n", "i_g", "fp", "x.b", F.expr("x.v ^ flip").alias("v"))
-    looked = windows.select("doc_id", "t", "g", "n", "s", "wf", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.expr(block("wf", b)).alias("v")) for b in range(BLOCKS)])).alias("y")).select("doc_id", "t", "g", "n", "s", "wf", F.col("y.b").alias("wb"), F.col("y.v").alias("wv"))
+    looked = contents.select("wk", "g", "n", "wf", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.expr(block("wf", b)).alias("v")) for b in range(BLOCKS)])).alias("y")).select("wk", "g", "n", "wf", F.col("y.b").alias("wb"), F.col("y.v").alias("wv"))
     alike = (F.col("wb") == F.col("b")) & (F.col("wv") == F.col("v")) & (F.col("g") == F.col("i_g"))
     pairs = looked.join(listed.hint("merge"), alike).withColumn("distance", F.bit_count(F.expr("wf ^ fp"))).where(F.col("distance") <= radius)
     # Sizes beyond the threshold can't be similar enough.
     pairs = pairs.where(F.expr(f"least(n, i_n) - g + 1 >= {least} * (greatest(n, i_n) - g + 1)"))
-    pairs = save(spark, pairs.select("doc_id", "t", "g", "n", "s", "ikey", "distance").distinct(), "pairs")
+    pairs = save(spark, pairs.select("wk", "ikey", "distance").distinct(), "pairs")
 
     counts = items.select("ikey", F.explode("hs").alias("h")).groupBy("ikey", "h").agg(F.count("*").alias("c")).withColumnsRenamed({"ikey": "c_key", "h": "c_h"})
-    key = ["doc_id", "t", "g", "n", "s"]
-    p = pairs.withColumnsRenamed({c: f"p_{c}" for c in key})
-    grown = windows.join(p, [windows[c].eqNullSafe(p[f"p_{c}"]) for c in key]).select(*key, "ikey", "distance", F.size("ws").alias("w_all"), F.explode("ws").alias("h"))
-    grown = grown.groupBy(*key, "ikey", "distance", "w_all", "h").agg(F.count("*").alias("m"))
+    grown = contents.select("wk", "ws").join(pairs, "wk").select("wk", "ikey", "distance", F.size("ws").alias("w_all"), F.explode("ws").alias("h"))
+    grown = grown.groupBy("wk", "ikey", "distance", "w_all", "h").agg(F.count("*").alias("m"))
     both = grown.join(small(counts), (F.col("ikey") == F.col("c_key")) & (F.col("h") == F.col("c_h")))
-    inter = both.groupBy(*key, "ikey", "distance", "w_all").agg(F.sum(F.least("m", "c")).alias("inter"))
+    inter = both.groupBy("wk", "ikey", "distance", "w_all").agg(F.sum(F.least("m", "c")).alias("inter"))
     about = items.select(F.col("ikey").alias("a_key"), "item_id", F.size("hs").alias("i_all"))
-    found = inter.join(small(about), F.col("ikey") == F.col("a_key")).withColumn("similarity", F.expr("inter / double(w_all + i_all - inter)"))
-    return found.where(F.col("similarity") >= least).select("doc_id", "t", "ikey", "item_id", "s", "n", "similarity", "distance")
+    sure = inter.join(small(about), F.col("ikey") == F.col("a_key")).withColumn("similarity", F.expr("inter / double(w_all + i_all - inter)")).where(F.col("similarity") >= least)
+    sure = sure.groupBy("wk").agg(F.collect_list(F.struct("ikey", "item_id", "similarity", "distance")).alias("hit")).join(contents.select("wk", "rows"), "wk").withColumnRenamed("wk", "own")
+    found = look_up(windows.select("doc_id", "t", "s", "n", "wk"), save(spark, sure, "sure"), "wk", "own", "rows", "s").where("hit is not null")
+    return found.select("doc_id", "t", "s", "n", F.explode("hit").alias("x")).select("doc_id", "t", "x.ikey", "x.item_id", "s", "n", "x.similarity", "x.distance")
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """doc_id, item_id, start (words before the window), n_words, similarity, distance."""
-    found = matches(spark, docs, benchmark, **how)
+    with scope(spark) as own:
+        found = matches(spark, docs, benchmark, **how)
+        if found is not None:
+            found = own.keep(save(spark, found, "found"))
     result = "doc_id, item_id, start, n_words, similarity, distance"
     if found is None:
         ids = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
@@ -141,8 +152,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **h
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """Rows of docs that hold no benchmark item; rows are told apart by id and text."""
-    found = matches(spark, docs, benchmark, **how)
-    if found is None:
-        return docs
-    gone = save(spark, found.select(F.col("doc_id").alias("docloom_gone"), F.col("t").alias("docloom_t")).distinct(), "gone")
+    with scope(spark) as own:
+        found = matches(spark, docs, benchmark, **how)
+        if found is None:
+            return docs
+        gone = own.keep(save(spark, found.select(F.col("doc_id").alias("docloom_gone"), F.col("t").alias("docloom_t")).distinct(), "gone"))
     return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("docloom_gone")) & (text_hash() == F.col("docloom_t")), "left_anti")
