@@ -3,6 +3,11 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame that is written and read again as the next one's docs. All but the last
 return the columns of documents.
+
+Defined results: null and empty texts have no known language and go in the first stage; null
+ids stay, and rows are told apart by id and text; equal rows are one group; an empty table
+gives an empty result; columns beyond those of documents are carried along, but for
+shard, shard_depth and shard_bytes, which the last stage sets.
 """
 
 from __future__ import annotations
@@ -44,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage; a stage's table is deleted once the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = storage.save(spark, stage(spark, docs, sf_dir), name)
+        before = docs
+        with storage.scope(spark) as own:
+            docs = own.keep(storage.save(spark, stage(spark, before, sf_dir), name))
+        storage.drop(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
