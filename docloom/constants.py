@@ -18,7 +18,8 @@ EXCERPT = 30
 GROUPING = ("Part", "Sect", "Art", "Div")
 HEADINGS = ("P", "H1", "H2", "H3", "H4", "H5", "H6")
 ARTIFACT_ROLES = ("P", "Link", "Span", "Figure", "Lbl", "LBody")
-# Roles that are no members of a list.
+# Roles among whose children lists are sought, and roles that are no members of one.
+LIST_PARENTS = ("Art", "Part", "Sect", "Div", "Document")
 NO_LIST_MEMBERS = ("Art", "Part", "Sect", "Div", "Document", "L", "LI", "Lbl", "LBody", "Table", "TR", "TD", "TH", "THead", "TBody", "TFoot")
 TOC_CHILDREN = ("Caption", "TOC", "TOCI")
 

@@ -374,7 +374,7 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     from docloom.operators.geometry import first_in_interval
 
     box = ctx.text.select("doc_id", "elem_id", "x0", "y0", "x1", "y1")
-    e = ctx.elem.select("doc_id", "elem_id", "parent_id", "kid_ord", "role", "role_raw", "pre", "page", "n_kid").join(box, ["doc_id", "elem_id"], "left")
+    e = ctx.elem.select("doc_id", "elem_id", "parent_id", "kid_ord", "role", "role_raw", "pre", "page", "n_kid", F.col("parent_role").isin(*K.LIST_PARENTS).alias("sought")).join(box, ["doc_id", "elem_id"], "left")
     b = first_in_interval(e.where("x0 is not null").select("doc_id", F.col("page").alias("page_num"), "elem_id", "y0", "y1"), ctx["bullet"])
     e = ctx.settled(e.join(b.select("doc_id", "elem_id", "bullet"), ["doc_id", "elem_id"], "left"), "members")
     high = F.col("y1") - F.col("y0")
@@ -382,7 +382,7 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     mark = F.coalesce(~skipped & F.col("bullet").isNotNull() & (high <= K.BULLET_MAX_HEIGHT), F.lit(False))
     # Where a list's first and last items have their bullets.
     item = e.where("role = 'LI'").groupBy("doc_id", F.col("parent_id").alias("list_id")).agg(F.min_by("bullet.x", "kid_ord").alias("first_x"), F.max_by("bullet.x", "kid_ord").alias("last_x"))
-    r = runs.islands(e.where("parent_id is not null").withColumn("mark", mark), ["doc_id", "parent_id"], ["kid_ord"], F.col("mark"))
+    r = runs.islands(e.where("sought").withColumn("mark", mark), ["doc_id", "parent_id"], ["kid_ord"], F.col("mark"))
     w = Window.partitionBy("doc_id", "parent_id").orderBy("kid_ord")
     side = F.struct("role", "elem_id", "pre", "page")
     r = r.withColumn("before", F.lag(side).over(w)).withColumn("after", F.lead(side).over(w))
@@ -394,9 +394,9 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     bulleted = ctx.settled(bulleted.withColumn("sub", sub), "bulleted")
     # A run that nests in the list before it leaves the two lists round it as one, if they stand alike.
     split = bulleted.where((F.col("after.role") == "L") & F.col("sub") & (F.abs(F.col("before_x") - F.col("after_x")) <= K.BULLET_X))
-    inside = ctx.settled(aligned_kids(ctx, e.where(~skipped & F.col("parent_id").isNotNull() & (high > K.BULLET_MAX_HEIGHT))), "inside")
+    inside = ctx.settled(aligned_kids(ctx, e.where(~skipped & F.col("sought") & (high > K.BULLET_MAX_HEIGHT))), "inside")
     claimed = bulleted.select("doc_id", F.explode("own").alias("elem_id")).unionByName(inside.select("doc_id", "elem_id")).distinct()
-    free = e.join(claimed.withColumn("taken", F.lit(True)), ["doc_id", "elem_id"], "left").where("parent_id is not null").withColumn("p", F.coalesce((F.col("role") == "P") & F.col("taken").isNull(), F.lit(False)))
+    free = e.join(claimed.withColumn("taken", F.lit(True)), ["doc_id", "elem_id"], "left").where("sought").withColumn("p", F.coalesce((F.col("role") == "P") & F.col("taken").isNull(), F.lit(False)))
     free = runs.islands(free, ["doc_id", "parent_id"], ["kid_ord"], F.col("p"))
     n = F.count("*").over(Window.partitionBy("doc_id", "parent_id", "run"))
     wide = F.when(F.col("x1") > F.col("x0"), F.col("x0"))

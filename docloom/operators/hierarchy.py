@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 from docloom.functions import exprs
 
 
+def settled(table: DataFrame) -> DataFrame:
+    """A step's result, computed once: later steps read it several times, and their plans would multiply.
+
+    It is checkpointed in the session's folder if there is one, else kept in memory.
+    """
+    return table.checkpoint() if table.sparkSession.sparkContext.getCheckpointDir() else table.persist()
+
+
 def numbered(elem: DataFrame, hide_verified: bool = True) -> DataFrame:
     """elem with path, ids (of ancestors and itself), depth, pre and last (the pre-order number of its subtree's last element).
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import exprs
-from docloom.operators.hierarchy import closure, numbered, prune_empty
+from docloom.operators.hierarchy import closure, numbered, prune_empty, settled
 
 EDIT = "doc_id long, kind string, elem_id int, parent_id int, kid_ord double, value string"
 COLUMNS = ["doc_id", "elem_id", "parent_id", "kid_ord", "role_raw", "pg", "title", "alt", "actual_text"]
@@ -41,7 +41,7 @@ def apply_edits(elem: DataFrame, log: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "set_title", F.struct(F.lit(1).alias("has"), "value"))).alias("new_title"),
         F.max(F.when(F.col("kind") == "move", F.struct("parent_id", "kid_ord"))).alias("to"),
     )
-    numbers = numbered(elem.withColumn("role", F.col("role_raw")), hide_verified=False)
+    numbers = settled(numbered(elem.select("doc_id", "elem_id", "parent_id", "kid_ord"), hide_verified=False))
     tree = closure(numbers)
     gone = tree.join(pick("delete").select("doc_id", F.col("elem_id").alias("anc_id")), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
     out = elem.join(gone, ["doc_id", "elem_id"], "left_anti")

@@ -14,21 +14,13 @@ from pyspark.sql import types as T
 
 from docloom.functions import exprs
 from docloom.operators import patterns, runs
-from docloom.operators.hierarchy import closure, numbered
+from docloom.operators.hierarchy import closure, numbered, settled
 from docloom.operators.repair import apply_edits, edits, renumber
 
 FAR = 1e9  # behind all children
 CONTENT = ("mcr_num", "mcr_dict", "objr")
 
 
-def settled(table: DataFrame) -> DataFrame:
-    """A step's result, computed once: later steps read it several times, and their plans would multiply.
-
-    It is checkpointed in the session's folder if there is one, as levels of trees are.
-    """
-    return table.checkpoint() if table.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else table.persist()
-
-
 def edited(elem: DataFrame, log: DataFrame) -> DataFrame:
     return settled(apply_edits(elem, settled(log)))
 
@@ -239,12 +231,12 @@ def toc_lines(leaves: DataFrame) -> DataFrame:
     return runs.fold(leaves, ["doc_id", "toc_id"], ["pre"], step, "doc_id long, toc_id int, elem_id int, line int, level int")
 
 
-def rebuild_toc(elem: DataFrame, leaves: DataFrame, deepest: int = 12) -> DataFrame:
+def rebuild_toc(elem: DataFrame, leaves: DataFrame) -> DataFrame:
     """Tables of contents as TOCI > P a line, deeper lines in a TOC behind the entry above them.
 
     leaves as in toc_lines: the elements that stay; all other elements between them and their table go.
     """
-    lines = toc_lines(leaves).persist()
+    lines = settled(toc_lines(leaves))
     tree = _tree(elem)
     inside = tree.where("dist > 0").join(lines.select("doc_id", F.col("toc_id").alias("anc_id")).distinct(), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
     below = tree.join(lines.select("doc_id", F.col("elem_id").alias("anc_id")), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
@@ -253,8 +245,10 @@ def rebuild_toc(elem: DataFrame, leaves: DataFrame, deepest: int = 12) -> DataFr
     out = wrap(flat, lines.select("doc_id", "elem_id", run.alias("run"), roles("TOCI", "P").alias("outer"), roles().alias("inner")))
     # Entries of one level or deeper in a row stand in one nested table, from the outermost level in.
     entry = lines.join(out.select("doc_id", "elem_id", F.col("parent_id").alias("p_id")), ["doc_id", "elem_id"]).join(out.select("doc_id", F.col("elem_id").alias("p_id"), F.col("parent_id").alias("entry_id")), ["doc_id", "p_id"])
-    entry = entry.groupBy("doc_id", "toc_id", "line").agg(F.min("entry_id").alias("elem_id"), F.min("level").alias("level")).persist()
-    highest = min(entry.agg(F.max("level")).first()[0] or 0, deepest)
+    entry = entry.groupBy("doc_id", "toc_id", "line").agg(F.min("entry_id").alias("elem_id"), F.min("level").alias("level"))
+    entry = settled(entry)
+    # A step a level of the deepest table: rungs are 10 points apart, and pages are narrow.
+    highest = entry.agg(F.max("level")).first()[0] or 0
     w = Window.partitionBy("doc_id", "toc_id").orderBy("line")
     for depth in range(1, highest + 1):
         breaks = F.sum((F.col("level") < depth).cast("int")).over(w)

@@ -165,12 +165,12 @@ put("BadlySplitLink", CANON + """, keyed AS (SELECT k.doc_id, k.owner_id, k.kid_
 """ + issue("LINK_SPLIT_ACROSS_TAGS", "met", fix="MergeSplitLinks", elem="elem_id", page="page", detail="n"))
 
 BULLETS = f""", bullet AS (SELECT doc_id, page_num, b.pos AS ord, x0 - 12 AS x, (y0 + y1) / 2 AS y FROM box b WHERE tag = 'p' AND length(text) <= {layout.SHORT_P}
-), e AS (SELECT v.doc_id, v.elem_id, v.parent_id, v.kid_ord, v.role, v.role_raw, v.pre, v.page, t.x0, t.y0, t.x1, t.y1, v.role IN {K.NO_LIST_MEMBERS} AS skipped,
-  (SELECT arg_min(struct_pack(x := b.x, y := b.y), b.ord) FROM bullet b WHERE b.doc_id = v.doc_id AND b.page_num = v.page AND b.y >= t.y0 - 3 AND b.y <= t.y1 + 3) AS bullet FROM v LEFT JOIN txt t ON t.doc_id = v.doc_id AND t.elem_id = v.elem_id
-), m AS (SELECT *, coalesce(NOT skipped AND bullet IS NOT NULL AND y1 - y0 <= 30, false) AS mark, lag(role) OVER w AS before_role, lag(elem_id) OVER w AS before_id FROM e WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY kid_ord)
+), e AS (SELECT v.doc_id, v.elem_id, v.parent_id, v.kid_ord, v.role, v.role_raw, v.pre, v.page, t.x0, t.y0, t.x1, t.y1, v.role IN {K.NO_LIST_MEMBERS} AS skipped, coalesce(p.role IN {K.LIST_PARENTS}, false) AS sought,
+  (SELECT arg_min(struct_pack(x := b.x, y := b.y), b.ord) FROM bullet b WHERE b.doc_id = v.doc_id AND b.page_num = v.page AND b.y >= t.y0 - 3 AND b.y <= t.y1 + 3) AS bullet FROM v LEFT JOIN txt t ON t.doc_id = v.doc_id AND t.elem_id = v.elem_id LEFT JOIN v p ON p.doc_id = v.doc_id AND p.elem_id = v.parent_id
+), m AS (SELECT *, coalesce(NOT skipped AND bullet IS NOT NULL AND y1 - y0 <= 30, false) AS mark, lag(role) OVER w AS before_role, lag(elem_id) OVER w AS before_id FROM e WHERE sought WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY kid_ord)
 ), n AS (SELECT *, sum(CASE WHEN mark IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, parent_id ORDER BY kid_ord) AS run FROM (SELECT *, lag(mark) OVER (PARTITION BY doc_id, parent_id ORDER BY kid_ord) AS was FROM m)
 ), bulleted AS (SELECT doc_id, parent_id, run, count(*) AS n, arg_min(elem_id, kid_ord) AS elem_id, arg_min(page, kid_ord) AS page, list(elem_id) AS own FROM n WHERE mark GROUP BY 1, 2, 3
-), tall AS (SELECT doc_id, elem_id, pre FROM e WHERE NOT skipped AND parent_id IS NOT NULL AND y1 - y0 > 30
+), tall AS (SELECT doc_id, elem_id, pre FROM e WHERE NOT skipped AND sought AND y1 - y0 > 30
 ), kb AS (SELECT k.doc_id, k.owner_id, k.kid_ord, coalesce(k.page_num, s.page) AS page_num, coalesce(c.y0, s.y0) AS y0, coalesce(c.y1, s.y1) AS y1 FROM kid k JOIN tall t ON t.doc_id = k.doc_id AND t.elem_id = k.owner_id
   LEFT JOIN content c ON c.doc_id = k.doc_id AND c.page_num = k.page_num AND c.mcid = k.mcid AND k.kind = 'mcr' LEFT JOIN (SELECT v.doc_id, v.elem_id, v.page, t.y0, t.y1 FROM v JOIN txt t ON t.doc_id = v.doc_id AND t.elem_id = v.elem_id) s ON s.doc_id = k.doc_id AND s.elem_id = k.child_id WHERE coalesce(c.y0, s.y0) IS NOT NULL
 ), km AS (SELECT *, (SELECT arg_min(b.y, b.ord) FROM bullet b WHERE b.doc_id = kb.doc_id AND b.page_num = kb.page_num AND b.y >= kb.y0 - 3 AND b.y <= kb.y1 + 3) AS y FROM kb

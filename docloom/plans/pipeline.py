@@ -19,6 +19,11 @@ def resolve_ordered(names: list[str], known: set[str]) -> list[str]:
     return names
 
 
+def inject_check(names: list[str], name: str) -> list[str]:
+    """One more check behind those selected."""
+    return [*names, name]
+
+
 def validate_prereqs(names: list[str], needs: dict[str, set[str]]) -> None:
     """Whatever a check needs must run before it."""
     done: set[str] = set()
