@@ -8,6 +8,7 @@ RECT_TOLERANCE = 0.5
 AREA_RATIO = (0.5, 2.0)
 BASELINE_DROP, SIZE_CHANGE, FONT_EPS = 1.0, 0.1, 0.01
 BULLET_Y, BULLET_X, BULLET_MAX_HEIGHT = 3, 3, 30
+BULLET_WIDTH, BULLET_HEIGHT, BULLET_SLACK = 3.75, 5.0, 1.0
 EDGE_TOLERANCE, INDENT = 2, 10
 LINK_MIN_SCORE = 0.3
 HEADING_ABOVE_BODY, HEADING_LEVELS = 0.5, 6

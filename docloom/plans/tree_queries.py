@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import constants as K
 from docloom.functions import exprs
-from docloom.operators import geometry, hierarchy, restructure, splitting
+from docloom.operators import extraction, geometry, hierarchy, restructure, splitting
 from docloom.operators.checks import CHECKS, Context, run_checks
 from docloom.plans import check_queries, remediate, report
 from docloom.plans.check_queries import CANON, SPANS, tables
@@ -167,6 +167,38 @@ def capture_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restructure.capture_order(doc, urls, check_queries.WANTED).select("doc_id", "page_num", "to")
 
 
+EVENT = "l_orderkey AS doc_id, 1 AS page_num, CASE l_linenumber % 3 WHEN 0 THEN 'IMAGE' WHEN 1 THEN 'TEXT' ELSE 'PATH' END AS kind, l_linenumber % 2 AS mcid, l_returnflag AS text, l_linestatus AS font, floor(l_quantity / 10) AS size, l_quantity AS px, l_discount * 100 AS py, l_linestatus = 'O' AS painted, l_tax * 100 AS iy"
+LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
+EVENTS = f"""WITH e AS (SELECT {EVENT}, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER})::INTEGER AS event_ord FROM lineitem
+), d AS (SELECT *, px AS x0, px + 10 AS x1, CASE WHEN kind = 'IMAGE' THEN iy ELSE py END AS y0, CASE WHEN kind = 'IMAGE' THEN iy ELSE py END + 5 AS y1 FROM e WHERE kind <> 'PATH' OR painted)
+"""
+
+
+def drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as a renderer's events: a page an order, texts, images and paths by line number."""
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER.split(", ")))
+    e = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("event_ord", order).selectExpr(*[f"{x}" for x in EVENT.split(", ")], "event_ord")
+    zero = F.lit(0.0)
+    ctm = F.array(F.lit(10.0), zero, zero, F.lit(5.0), "px", "iy")
+    return e.select("doc_id", "page_num", "event_ord", "kind", "mcid", "text", "font", zero.alias("asc_x"), F.col("size").cast("double").alias("asc_y"), zero.alias("desc_x"), zero.alias("desc_y"), F.array("px", "py", F.col("px") + 10, F.col("py") + 5).alias("points"), F.lit(0).alias("curves"), "painted", ctm.alias("ctm"))
+
+
+@query(EVENTS + """SELECT doc_id, mcid::INTEGER AS mcid, string_agg(text, ' ' ORDER BY event_ord) FILTER (kind = 'TEXT') AS raw, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM d GROUP BY 1, 2""")
+def drawn_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked blocks of events: text, kinds, boxes. Texts of single letters are cleaned of blanks, so that raw joins their spans."""
+    events = drawing(spark, sf_dir)
+    raw = extraction.spans(events).groupBy("doc_id", "mcid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_ord", "text"))), lambda x: x["text"]), " ").alias("raw"))
+    return extraction.contents(events).join(raw, ["doc_id", "mcid"], "left").select("doc_id", F.col("mcid").cast("int").alias("mcid"), "raw", F.array_join("kinds", ",").alias("kinds"), "x0", "y0", "x1", "y1")
+
+
+@query(EVENTS + """, t AS (SELECT *, CASE WHEN font = lag(font) OVER w AND size = lag(size) OVER w THEN 0 ELSE 1 END AS new FROM d WHERE kind = 'TEXT' WINDOW w AS (PARTITION BY doc_id, mcid ORDER BY event_ord)
+), n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, mcid ORDER BY event_ord)::INTEGER AS span_ord FROM t)
+SELECT doc_id, mcid::INTEGER AS mcid, span_ord, any_value(font) AS font, any_value(size)::DOUBLE AS size, string_agg(text, ' ' ORDER BY event_ord) AS text FROM n GROUP BY 1, 2, 3""")
+def drawn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive texts of one font and size."""
+    return extraction.spans(drawing(spark, sf_dir)).select("doc_id", F.col("mcid").cast("int").alias("mcid"), "span_ord", "font", "size", "text")
+
+
 def put_fix(name: str, left: str = "0", options: dict | None = None) -> None:
     """Register a repair's query: findings of a check, and those left when it runs again on the repaired tables."""
     check = f"check_{CHECKS[name].run.__name__}"
