@@ -79,7 +79,9 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sums = np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)])
         x[:, k] = (sums[start[1:]] - sums[start[:-1]]) / sizes
     signs = (kind >= 5) & (kind <= 8)
-    runs = np.concatenate([[0], np.cumsum(np.concatenate([[False], signs[1:] & signs[:-1]]) if len(raw) else [], dtype=np.int64)])
+    after = np.concatenate([[False], signs[1:] & signs[:-1]]) if len(raw) else np.zeros(0, bool)
+    after[at[:-1][at[:-1] < len(raw)]] = False  # a text's first sign follows none of another
+    runs = np.concatenate([[0], np.cumsum(after, dtype=np.int64)])
     x[:, N_KINDS] = (runs[start[1:]] - runs[start[:-1]]) / sizes
 
     w = np.maximum(1, n_words)

@@ -254,7 +254,7 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{i}:{j}" for k in KINDS for i, j in spans[k])
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
 def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +267,9 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums.append(hashlib.sha256(joined(base).encode()).hexdigest())
             spans.append(joined(every))
         cols = [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(KINDS))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols, pa.array(sums, pa.string()), pa.array(spans, pa.string())], [x.split()[0] for x in SCHEMA.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(sums, pa.string()), pa.array(spans, pa.string())], ["doc_id", *[x.split()[0] for x in SCHEMA.split(", ")]])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, in one pass without a shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(scan_batches, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(scan_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")

@@ -35,6 +35,8 @@ TABLE = 1 << 20
 DIM = 4
 WIDTHS = (1, 2, 3)
 FILTERS = 6
+#: Empty places behind each text; filters may stand on the first two and see none of the next text.
+PAD = 4
 COMMON = 0.3
 
 
@@ -74,16 +76,19 @@ class Net:
         return net
 
     def responses(self, rows: np.ndarray, doc: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Of each width at each place; a text ends with two empty places. And where each text starts."""
+        """Of each width at each place, two of them behind a text's words. And where each text starts."""
         counts = np.bincount(doc, minlength=n)
-        starts = np.concatenate([[0], np.cumsum(counts + 2)])[:-1]
-        x = np.zeros((len(rows) + 2 * n + 2, DIM), np.float32)
+        starts = np.concatenate([[0], np.cumsum(counts + PAD)])[:-1]
+        x = np.zeros((len(rows) + PAD * n + 2, DIM), np.float32)
         vectors = self.table[rows[:, 0]]
         for k in range(1, rows.shape[1]):
             vectors += self.table[rows[:, k]]
-        x[np.arange(len(rows)) + 2 * doc] = vectors
-        size = len(rows) + 2 * n
-        return [sum(x[k : k + size] @ f[k] for k in range(len(f))) + s for f, s in zip(self.filters, self.shift, strict=True)], starts
+        x[np.arange(len(rows)) + PAD * doc] = vectors
+        size = len(rows) + PAD * n
+        got = [sum(x[k : k + size] @ f[k] for k in range(len(f))) + s for f, s in zip(self.filters, self.shift, strict=True)]
+        for g in got:
+            g[np.concatenate([starts + counts + 2, starts + counts + 3])] = -np.inf
+        return got, starts
 
     def logits(self, rows: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         got, starts = self.responses(rows, doc, n)
@@ -133,15 +138,15 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], epochs:
             mine = np.concatenate([own[d] for d in part])
             at = np.repeat(np.arange(len(part)), [len(own[d]) for d in part])
             got, starts = net.responses(mine, at, len(part))
-            stops = np.append(starts[1:], len(mine) + 2 * len(part))
+            stops = np.append(starts[1:], len(mine) + PAD * len(part))
             where = [np.stack([g[a:b].argmax(axis=0) + a for a, b in zip(starts, stops, strict=True)]) for g in got]
             pooled = np.concatenate([np.take_along_axis(g, w, 0) for g, w in zip(got, where, strict=True)], axis=1)
             hidden = np.maximum(pooled, 0)
             p = 1 / (1 + np.exp(-(hidden @ net.out + net.bias)))
             back = (p - y[part]) / len(part)
             grad = (back[:, None] * net.out) * (pooled > 0)
-            place = np.full(len(mine) + 2 * len(part) + 3, -1)
-            place[np.arange(len(mine)) + 2 * at] = np.arange(len(mine))
+            place = np.full(len(mine) + PAD * len(part) + 3, -1)
+            place[np.arange(len(mine)) + PAD * at] = np.arange(len(mine))
             touched, amounts = [], []
             for f, w in enumerate(WIDTHS):
                 g = grad[:, f * FILTERS : (f + 1) * FILTERS]
