@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom import constants as K
@@ -26,6 +27,36 @@ def complete(rules: dict[str, Rule]) -> dict[str, Rule]:
     return out
 
 
+def parse(text: str) -> dict[str, Rule]:
+    """Rules from YAML: a mapping of roles, or one under ``roles``, to their constraints."""
+    data = yaml.safe_load(text) or {}
+    data = data.get("roles", data)
+    if not isinstance(data, dict):
+        raise ValueError("rules are a mapping of roles")
+    names = {"parent_must_be": "parent_must_be", "allowed_children": "allowed", "required_children": "required"}
+    out: dict[str, Rule] = {}
+    for role, given in data.items():
+        given = given or {}
+        lists = {to: [given[n]] if isinstance(given.get(n), str) else list(given.get(n) or []) for n, to in names.items()}
+        out[role] = lists | {"min_c": given.get("min_children"), "max_c": given.get("max_children"), "pattern": given.get("child_pattern")}
+    return complete(out)
+
+
+def load(path: str) -> dict[str, Rule]:
+    with open(path, encoding="utf-8") as f:
+        return parse(f.read())
+
+
+def parse_patterns(text: str) -> dict[str, str]:
+    """Artifact patterns from YAML, by name; each must be a pattern."""
+    data = yaml.safe_load(text) or {}
+    if not isinstance(data, dict) or not all(isinstance(v, str) for v in data.values()):
+        raise ValueError("patterns are a mapping of names to texts")
+    for v in data.values():
+        re.compile(v)
+    return {str(k): v for k, v in data.items()}
+
+
 def table(spark: SparkSession, rules: dict[str, Rule] | None = None) -> DataFrame:
     """One row a role; patterns are compiled."""
     rules = default_rules() if rules is None else rules

@@ -166,6 +166,18 @@ def missing_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", (~h.rlike(r'<html[^>]*\slang="[^"]+"')).alias("no_lang"), (~h.contains("<h1")).alias("no_h1"), (~h.contains("<body")).alias("no_document"))
 
 
+@query("SELECT page_id, NOT contains(html, '<h1') AS no_h1, NOT contains(html, '<h1') OR regexp_matches(html, '<h1[^>]*>\\s*</h1>') AS nothing_told FROM pages")
+def missing_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without a heading, and those whose heading says nothing."""
+    h = F.col("html")
+    return t(spark, sf_dir, "pages").select("page_id", (~h.contains("<h1")).alias("no_h1"), (~h.contains("<h1") | h.rlike(r"<h1[^>]*>\s*</h1>")).alias("nothing_told"))
+
+
+@query(TREE + "SELECT page_id, bool_or(role = 'Document') AS has_document, count(*) FILTER (parent_pos IS NULL) AS n_roots FROM tree GROUP BY 1")
+def has_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree(spark, sf_dir).groupBy("page_id").agg(F.bool_or(F.col("role") == "Document").alias("has_document"), F.count_if(F.col("parent_pos").isNull()).alias("n_roots"))
+
+
 @query(TREE + """, nxt AS (SELECT page_id, pos, tag, closing, lead(closing) OVER w AS c, lead(tag) OVER w AS n FROM kept WINDOW w AS (PARTITION BY page_id ORDER BY pos))
 SELECT page_id, tag, count(*) AS n_empty FROM nxt WHERE NOT closing AND c AND n = tag AND tag <> 'p' GROUP BY 1, 2""")
 def empty_elements(spark: SparkSession, sf_dir: str) -> DataFrame:

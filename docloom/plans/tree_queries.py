@@ -216,7 +216,8 @@ def put_fix(name: str, left: str = "0", options: dict | None = None) -> None:
     ORACLES[key] = f"SELECT type, count(*) AS detected, count(fix_kind) AS resolved, ({left})::BIGINT AS \"left\" FROM ({check_queries.ORACLES[check]}) GROUP BY 1"
 
 
-for _name in ("MissingDocument", "StructTreeOrder", "UnmarkedLink", "UnexpectedWidget", "OrphanedContent", "NeedlessNesting", "FigureWithText", "EmptyLinkTag", "BadlySplitLink", "IrregularToc", "BadlyMarkedContent", "EmptyElement", "ScribbledInstruction", "StaleScribble", "InconsistentParentTree", "InlineDestinations"):
+# Repairs of remediation() aren't repeated here.
+for _name in ("StructTreeOrder", "UnmarkedLink", "UnexpectedWidget", "OrphanedContent", "NeedlessNesting", "EmptyLinkTag", "BadlySplitLink", "IrregularToc", "BadlyMarkedContent", "EmptyElement", "ScribbledInstruction", "InconsistentParentTree", "InlineDestinations"):
     put_fix(_name)
 put_fix("MistaggedArtifact", options={"artifact_patterns": {"short-word": check_queries.SHORT_WORD}})
 # What these write is carried out, or read by people, later; a second run finds the same.

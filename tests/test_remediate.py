@@ -127,3 +127,36 @@ def test_configuration(tmp_path):
     place = config.template(doc)
     assert place == str(tmp_path / "x.docloom.yaml") and config.for_document(doc).present and config.for_document(str(tmp_path / "x.pdf")).checks is None
     assert pipeline.inject_check(["A"], "B") == ["A", "B"]
+
+
+def test_rules_and_patterns_from_yaml(spark):
+    from docloom.operators import rules
+
+    got = rules.parse("roles:\n  L: {allowed_children: [LI], required_children: LI, min_children: 1}\n  LI:\n    parent_must_be: [L]\n    child_pattern: 'Lbl? LBody'\n")
+    assert got["L"] == {"allowed": ["LI"], "required": ["LI"], "parent_must_be": [], "min_c": 1, "max_c": None, "pattern": None} and got["LI"]["pattern"] == "Lbl? LBody"
+    t = tables(spark, "Document[LI[LBody,Lbl],L]")
+    found = run_checks(Context(spark, t, {"rules": rules.complete(got | {"Document": {"allowed": []}})}), ["SchemaValidation"])
+    assert {r.type for r in found.where("elem_id in (2, 5)").collect()} == {"TAG_WRONG_PARENT", "TAG_WRONG_CHILD_PATTERN", "TAG_WRONG_CHILD_COUNT"}
+    assert rules.parse_patterns("page: '^Page'") == {"page": "^Page"}
+    for bad in ("- a", "a: 1"):
+        with pytest.raises(ValueError):
+            rules.parse_patterns(bad)
+
+
+def test_elements_no_root_leads_to(spark):
+    from docloom.operators import hierarchy
+
+    e = tables(spark, "Document[P]")["elem"]
+    bad = spark.createDataFrame([(1, 8, 9, 1, "P", None, None, None, None), (1, 9, 8, 1, "P", None, None, None, None), (1, 10, 77, 1, "P", None, None, None, None)], e.schema)
+    deep = spark.createDataFrame([(2, i, i - 1 or None, 1, "Div", None, None, None, None) for i in range(1, 601)], e.schema)
+    every = e.unionByName(bad).unionByName(deep)
+    assert rows(hierarchy.lost(every), "elem_id") == [(10,), (8,), (9,)]
+    n = hierarchy.numbered(every)
+    assert n.where("doc_id = 2").agg(F.max("depth"), F.max("last")).first()[:] == (600, 600) and n.where("doc_id = 1").count() == 2
+
+
+def test_fields_inherit_from_any_height(spark):
+    fields = [(1, 1, i, "Field", None, None, None, None, None, None, None, None, "Btn" if i == 1 else None, 65536 if i == 1 else None, i - 1 or None) for i in range(1, 21)]
+    widgets = [(1, 1, 50, "Widget", *[None] * 10, 20), (1, 1, 51, "Widget", *[None] * 10, 99), (1, 1, 52, "Widget", *[None] * 8, "Btn", 65536, 99)]
+    t = tables(spark, "Document[P]", annot=fields + widgets)
+    assert rows(run_checks(Context(spark, t), ["UnexpectedWidget"]), "detail") == [("50",), ("52",)]
