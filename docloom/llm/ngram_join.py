@@ -335,7 +335,7 @@ def search(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, num
     return dealt.groupBy("root", "a", "b").applyInPandas(meet, "u long, v long")
 
 
-def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, common: int = 16, most_common: int = 1 << 21, least: int = 4, star: int = 32, family: int = 200_000) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, common: int = 16, most_common: int = 1 << 21, least: int = 4, star: int = 32, family: int = 60_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), one row for each row of docs."""
     with scope(spark) as own:
         return _joined(spark, docs, k, num, den, common, most_common, least, star, family, own)
