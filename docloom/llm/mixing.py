@@ -116,17 +116,24 @@ def _mixed(spark: SparkSession, docs: DataFrame, weight: Column | None, weights:
     keyed = draw(docs.select("*"), weight, seed, buckets)
     keyed = own.keep(save(spark, keyed.select("doc_id", "source", F.col("docloom_size").alias("size"), F.col("docloom_sn").alias("sn"), F.col("docloom_sk").alias("sk"), F.col("docloom_key").alias("key"), F.col("docloom_bucket").alias("bucket")), "mix"))
 
-    sums = keyed.groupBy("sn", "sk", "bucket").agg(F.sum("size").alias("bucket_size"))
-    start = F.sum("bucket_size").over(Window.partitionBy("sn", "sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("sn", "sk", "bucket", F.coalesce(start, F.lit(0)).alias("offset"))
+    # Beyond its whole repeats a document has room for its size once more, or for the rest of a fractional limit.
+    top = int(most)
+    tail = F.floor(F.col("size") * float(most)) - F.col("size") * top
+    room = {"size": F.col("size"), "tail": tail}
+    sums = keyed.groupBy("sn", "sk", "bucket").agg(*[F.sum(x).alias(f"bucket_{n}") for n, x in room.items()])
+    before = Window.partitionBy("sn", "sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("sn", "sk", "bucket", *[F.coalesce(F.sum(f"bucket_{n}").over(before), F.lit(0)).alias(f"offset_{n}") for n in room])
     plan = targets(spark, keyed.groupBy("sn", "sk").agg(F.sum("size").alias("source_size")), weights, share, most)
     sums = own.keep(save(spark, sums.join(plan, ["sn", "sk"]), "sums"))
 
-    here = F.sum("size").over(Window.partitionBy("sn", "sk", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    out = keyed.withColumn("here", F.coalesce(here, F.lit(0))).join(sums, ["sn", "sk", "bucket"])
+    here = Window.partitionBy("sn", "sk", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.withColumns({f"here_{n}": F.coalesce(F.sum(x).over(here), F.lit(0)) for n, x in room.items()}).join(sums, ["sn", "sk", "bucket"])
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = F.round(F.col("target")).cast("long") - full * F.col("source_size") - F.col("offset") - F.col("here")
-    part = F.greatest(F.lit(0), F.least(left, F.col("size"))) if split else F.when(2 * left >= F.col("size"), F.col("size")).otherwise(F.lit(0))
+    last = full >= top
+    own_room = F.when(last, tail).otherwise(F.col("size"))
+    taken = F.when(last, F.col("offset_tail") + F.col("here_tail")).otherwise(F.col("offset_size") + F.col("here_size"))
+    left = F.round(F.col("target")).cast("long") - full * F.col("source_size") - taken
+    part = F.greatest(F.lit(0), F.least(left, own_room)) if split else F.when(2 * left >= F.col("size"), own_room).otherwise(F.lit(0))
     return out.select("doc_id", "source", "size", "source_size", "target", full.alias("epochs"), "key", F.least(F.col("size") * full + part, F.floor(F.col("size") * float(most))).cast("long").alias("taken"))
 
 

@@ -174,11 +174,11 @@ def test_fractional_repeats_and_order_of_sources(spark):
 
 def test_parts_of_a_family_are_dealt_apart(spark):
     rng = np.random.default_rng(4)
-    words = [f"w{i}" for i in range(80)]
+    words = [f"w{i}" for i in range(200)]
     rows = []
     for i in range(60):
         new = list(words)
-        for j in rng.integers(0, 80, 2):
+        for j in rng.integers(0, 200, 2):
             new[j] = f"x{i}{j}"
         rows.append((i, " ".join(new)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -186,11 +186,11 @@ def test_parts_of_a_family_are_dealt_apart(spark):
     members = spark.createDataFrame([(r.doc_id, r.digest, 1) for r in known], "doc_id long, digest long, root long")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        links = ngram_join.search(spark, docs, members, 5, 80, 100, 1000).withColumn("part", F.spark_partition_id())
+        links = ngram_join.search(spark, docs, members, 5, 80, 100, 3000).withColumn("part", F.spark_partition_id())
         assert links.select("part").distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    for family in (1000, 600_000):
+    for family in (3000, 600_000):
         got = {r.component_id for r in ngram_join.join(spark, docs, family=family).collect()}
         sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for _, t in rows]
         up = list(range(60))
