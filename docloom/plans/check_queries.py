@@ -35,7 +35,7 @@ WITH RECURSIVE raw AS (
   SELECT doc_id, unnest(range(1, len(toks) + 1)) AS pos, unnest(toks) AS token, unnest(rest[2:]) AS piece FROM split
 ), read AS (
   SELECT *, starts_with(token, '<!--') AS comment, starts_with(token, '</') AS closing, regexp_extract(token, '^</?([a-z0-9]+)', 1) AS tag,
-    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(piece, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS text FROM toks
+    trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(piece, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS text FROM toks
 ), leveled AS (
   SELECT *, NOT comment AND NOT closing AS opens, sum(CASE WHEN comment OR tag IN {LEAF} THEN 0 WHEN closing THEN -1 ELSE 1 END) OVER w AS lvl,
     coalesce(sum(CASE WHEN NOT comment AND NOT closing AND text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k
