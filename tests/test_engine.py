@@ -163,3 +163,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q = ingest.start(ingest.pages(spark, str(src)), html.tree, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == html.tree(spark.read.parquet(str(src / "a.parquet"))).count()
+
+
+def test_entities_as_in_sql():
+    from docloom.sources.layout import run_text
+
+    # A cut entity and those the SQL doesn't know stay as they are.
+    assert run_text("the&amp;&amp;&amp") == "the&&&amp"
+    assert run_text("a &lt;b&gt; &eacute; &nbsp; &#65; &#x27;&quot; &copy") == "a <b> &eacute; &nbsp; &#65; '\" &copy"
+    assert run_text("&amp;lt; &amp;amp; &copy;&middot;") == "&lt; &amp; ©·"
