@@ -23,3 +23,8 @@ def differences(spark, folder, name, html):
 def test_element_text_with_cut_entities(spark, tmp_path):
     got, want = differences(spark, tmp_path, "element_text", [CUT])
     assert got == want and any("&&&amp" in r[2] for r in want)
+
+
+def test_structure_table_with_cut_entities(spark, tmp_path):
+    got, want = differences(spark, tmp_path, "structure_table", [CUT, None, ""])
+    assert got == want and want
