@@ -28,3 +28,8 @@ def test_element_text_with_cut_entities(spark, tmp_path):
 def test_structure_table_with_cut_entities(spark, tmp_path):
     got, want = differences(spark, tmp_path, "structure_table", [CUT, None, ""])
     assert got == want and want
+
+
+def test_boxes_compared_with_cut_entities(spark, tmp_path):
+    got, want = differences(spark, tmp_path, "boxes_compared", [CUT, CUT.replace("and&amp;&amp;&amp<", "and&amp;&amp;<")])
+    assert got == want and want
