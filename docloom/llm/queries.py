@@ -27,7 +27,9 @@ def op2_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm import secrets
 
     spans = F.col("spans")
-    count = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.BASE)]
+    # A second argument of a filter's function, even one with a default, would be the element's place.
+    of = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    count = [of(k).alias(f"n_{name}") for k, name in enumerate(secrets.BASE)]
     base = secrets.joined(F.filter(spans, lambda s: s["kind"] < len(secrets.BASE)))
     out = secrets.scan(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", *count, F.sha2(base, 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))

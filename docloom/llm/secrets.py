@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 from docloom.llm.storage import save
 
-# Patterns by kind; a match of assign counts if its value has 12 characters or more.
+# No group repeats: Java would take a stack frame for each of its turns. Patterns by kind; a match of assign counts if its value has 12 characters or more.
 PATTERNS = {
     "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"[0-9a-f]{16,}",
     "id": r"""([Aa][Cc][Cc][Ee][Ss][Ss]_?[Kk][Ee][Yy]_?[Ii][Dd]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]_?[Ii][Dd]|[Uu][Ss][Ee][Rr]([Nn][Aa][Mm][Ee])?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""",
     "key": r"[A-Za-z0-9+/_=-]{24,}",
-    "endpoint": r"""(?<![A-Za-z0-9+.-])([Jj][Dd][Bb][Cc]:)?[A-Za-z0-9+.-]++://([^\x20\x09-\x0D"'<>/@]*+@)?[A-Za-z0-9.-]+(:[0-9]+)?([/;?][^\x20\x09-\x0D"'<>]*)?|(?<![A-Za-z0-9+.-])([Ll][Oo][Cc][Aa][Ll][Hh][Oo][Ss][Tt]|[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+):[0-9]{2,5}(?![0-9])""",
+    "endpoint": r"""(?<![A-Za-z0-9+.-])([Jj][Dd][Bb][Cc]:)?[A-Za-z0-9+.-]++://([^\x20\x09-\x0D"'<>/@]*+@)?[A-Za-z0-9.-]+(:[0-9]+)?([/;?][^\x20\x09-\x0D"'<>]*)?|(?<![A-Za-z0-9+.-])([Ll][Oo][Cc][Aa][Ll][Hh][Oo][Ss][Tt]|(?=[A-Za-z0-9-]++\.)(?![A-Za-z0-9.-]*?\.\.)[A-Za-z0-9.-]++(?<!\.)):[0-9]{2,5}(?![0-9])""",
 }
 BASE = ("assign", "access", "hex")
 #: Names of kinds; the last has no pattern of its own.
