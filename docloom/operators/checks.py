@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docloom import constants as K
 from docloom.functions import exprs
 from docloom.operators import hierarchy, rules, runs
-from docloom.sources.tables import bounds, delete, scratch
+from docloom.sources.tables import bounds, dealt, delete, scratch
 
 ISSUE = ["doc_id", "check", "check_ord", "type", "severity", "elem_id", "page", "detail", "ord", "fix_kind", "fix_priority"]
 
@@ -69,7 +69,7 @@ class Context:
         path = f"{scratch(self.spark)}/docloom/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         self._paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return dealt(self.spark.read.schema(df.schema).parquet(path))
 
     def release(self) -> None:
         """Delete derived tables that were written."""
@@ -95,7 +95,7 @@ class Context:
         up = n.select("doc_id", F.col("elem_id").alias("parent_id"), F.col("role").alias("parent_role"), F.col("pre").alias("parent_pre"))
         out = n.join(kids, ["doc_id", "elem_id"], "left").join(child, ["doc_id", "elem_id"], "left").join(up, ["doc_id", "parent_id"], "left")
         out = out.fillna(0, ["n_mcr", "n_objr", "n_kid"]).withColumn("child_roles", F.coalesce(F.transform("children", lambda c: c["role"]), F.array().cast("array<string>")))
-        return out.join(hierarchy.pages(n), ["doc_id", "elem_id"])
+        return dealt(out.join(hierarchy.pages(n), ["doc_id", "elem_id"]))
 
     @cached_property
     def closure(self) -> DataFrame:
@@ -105,12 +105,12 @@ class Context:
     def owned(self) -> DataFrame:
         """Marked content of each element itself: doc_id, elem_id, kid_ord, kind, page_num, mcid, text, kinds, x0..y1."""
         mcr = self["kid"].where(F.col("kind").isin("mcr_num", "mcr_dict")).select("doc_id", F.col("owner_id").alias("elem_id"), "kid_ord", "kind", "page_num", "mcid")
-        return mcr.join(self["content"], ["doc_id", "page_num", "mcid"], "left")
+        return dealt(mcr.join(self["content"], ["doc_id", "page_num", "mcid"], "left"))
 
     @cached_property
     def below(self) -> DataFrame:
         """Marked content under each element: as owned, elem_id being the ancestor or itself."""
-        return self.owned.join(self.closure, ["doc_id", "elem_id"]).drop("elem_id").withColumnRenamed("anc_id", "elem_id")
+        return dealt(self.owned.join(self.closure, ["doc_id", "elem_id"]).drop("elem_id").withColumnRenamed("anc_id", "elem_id"))
 
     @cached_property
     def text(self) -> DataFrame:
@@ -141,7 +141,7 @@ class Context:
         dest = F.when(F.col("pa_uri").isNotNull(), F.concat(F.lit("uri:"), "pa_uri")).when(F.col("action") == "URI", F.concat(F.lit("uri:"), "uri")).when(
             F.col("action").isNull() | (F.col("action") == "GoTo"), F.coalesce(F.concat(F.lit("page:"), F.col("goto_page").cast("string")), F.concat(F.lit("name:"), "goto_name"))
         )
-        return objr.join(self["annot"].select("doc_id", "annot_id", uri.alias("uri"), dest.alias("dest")), ["doc_id", "annot_id"])
+        return dealt(objr.join(self["annot"].select("doc_id", "annot_id", uri.alias("uri"), dest.alias("dest")), ["doc_id", "annot_id"]))
 
 
 def issue_rows(found: DataFrame, c: Check, order: int) -> DataFrame:
@@ -286,7 +286,7 @@ def mistagged_artifact(ctx: Context) -> DataFrame:
     under = ctx.closure.join(whole.select("doc_id", F.col("elem_id").alias("anc_id")), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
     small = ~F.coalesce(exprs.meaningful(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), F.lit(False))
     mcr = e.join(ctx.owned.select("doc_id", "elem_id", "mcid", "text", "kinds", "x0", "y0", "x1", "y1"), ["doc_id", "elem_id"]).where(F.col("text").isNull() & (F.size("kinds") > 0) & small & ~((F.col("role_raw") == "Figure") & F.col("alt").isNotNull()))
-    mcr = mcr.join(under, ["doc_id", "elem_id"], "left_anti")
+    mcr = mcr.join(dealt(under), ["doc_id", "elem_id"], "left_anti")
     return whole.withColumn("detail", F.lit("element")).unionByName(mcr.select("doc_id", "elem_id", "pre", "page", F.col("mcid").cast("string").alias("detail")))
 
 
@@ -395,7 +395,7 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     # A run that nests in the list before it leaves the two lists round it as one, if they stand alike.
     split = bulleted.where((F.col("after.role") == "L") & F.col("sub") & (F.abs(F.col("before_x") - F.col("after_x")) <= K.BULLET_X))
     inside = ctx.settled(aligned_kids(ctx, e.where(~skipped & F.col("sought") & (high > K.BULLET_MAX_HEIGHT))), "inside")
-    claimed = bulleted.select("doc_id", F.explode("own").alias("elem_id")).unionByName(inside.select("doc_id", "elem_id")).distinct()
+    claimed = dealt(bulleted.select("doc_id", F.explode("own").alias("elem_id")).unionByName(inside.select("doc_id", "elem_id")).distinct())
     free = e.join(claimed.withColumn("taken", F.lit(True)), ["doc_id", "elem_id"], "left").where("sought").withColumn("p", F.coalesce((F.col("role") == "P") & F.col("taken").isNull(), F.lit(False)))
     free = runs.islands(free, ["doc_id", "parent_id"], ["kid_ord"], F.col("p"))
     n = F.count("*").over(Window.partitionBy("doc_id", "parent_id", "run"))
@@ -490,7 +490,7 @@ def scribbled_instruction(ctx: Context) -> DataFrame:
     e = ctx.elem.withColumn("detail", F.get(F.filter(exprs.segments(F.col("title")), lambda s: F.startswith(s, F.lit("!"))), F.lit(0))).where("detail is not null")
     gone = e.where("detail like '!ARTIFACT%'").select("doc_id", F.col("elem_id").alias("anc_id"))
     hidden = ctx.closure.where("dist > 0").join(gone, ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
-    return e.select("doc_id", "elem_id", "pre", "page", "detail").join(hidden, ["doc_id", "elem_id"], "left_anti")
+    return e.select("doc_id", "elem_id", "pre", "page", "detail").join(dealt(hidden), ["doc_id", "elem_id"], "left_anti")
 
 
 @check("TAG_WRONG_CHILD", "ERROR")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import exprs
+from docloom.sources.tables import dealt
 
 
 def settled(table: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def settled(table: DataFrame) -> DataFrame:
 
     It is checkpointed in the session's folder if there is one, else kept in memory.
     """
-    return table.checkpoint() if table.sparkSession.sparkContext.getCheckpointDir() else table.persist()
+    return dealt(table.checkpoint() if table.sparkSession.sparkContext.getCheckpointDir() else table.persist())
 
 
 def numbered(elem: DataFrame, hide_verified: bool = True) -> DataFrame:
@@ -117,13 +118,13 @@ def closure(numbers: DataFrame) -> DataFrame:
 def outermost(hits: DataFrame, numbers: DataFrame) -> DataFrame:
     """Of hits (doc_id, elem_id) those without a hit among their ancestors."""
     up = closure(numbers).where("dist > 0").join(hits.select("doc_id", F.col("elem_id").alias("anc_id")), ["doc_id", "anc_id"])
-    return hits.join(up.select("doc_id", "elem_id").distinct(), ["doc_id", "elem_id"], "left_anti")
+    return dealt(hits.join(dealt(up.select("doc_id", "elem_id").distinct()), ["doc_id", "elem_id"], "left_anti"))
 
 
 def pages(numbers: DataFrame) -> DataFrame:
     """doc_id, elem_id, page: an element's own page, else that of the first element below it that has one, else 0."""
     own = closure(numbers).join(numbers.where("pg > 0").select("doc_id", "elem_id", "pre", "pg"), ["doc_id", "elem_id"]).groupBy("doc_id", F.col("anc_id").alias("elem_id")).agg(F.min_by("pg", "pre").alias("first"))
-    return numbers.join(own, ["doc_id", "elem_id"], "left").select("doc_id", "elem_id", F.coalesce("pg", "first", F.lit(0)).alias("page"))
+    return dealt(numbers.join(own, ["doc_id", "elem_id"], "left").select("doc_id", "elem_id", F.coalesce("pg", "first", F.lit(0)).alias("page")))
 
 
 def prune_empty(numbers: DataFrame, leaves: DataFrame, kept: tuple[str, ...] = ("Document",)) -> DataFrame:

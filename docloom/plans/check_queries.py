@@ -15,6 +15,7 @@ from docloom import constants as K
 from docloom.operators import rules
 from docloom.operators.checks import CHECKS, Context, run_checks
 from docloom.sources import layout
+from docloom.sources.tables import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,7 +100,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def all_documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Tables of pages, and beside their documents those of plain texts."""
     t = tables(spark, sf_dir)
-    return t | {"doc": t["doc"].unionByName(layout.plain_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))}
+    return t | {"doc": dealt(t["doc"].unionByName(layout.plain_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))))}
 
 
 def put(name: str, sql: str, load: Callable[[SparkSession, str], dict[str, DataFrame]] = tables, options: dict | None = None) -> None:

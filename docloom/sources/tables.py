@@ -31,7 +31,7 @@ def empty(spark: SparkSession) -> dict[str, DataFrame]:
 
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Tables of a folder, one Parquet each; columns a query doesn't use aren't read."""
-    return {n: spark.read.schema(s).parquet(f"{folder}/{n}.parquet") for n, s in SCHEMAS.items()}
+    return {n: dealt(spark.read.schema(s).parquet(f"{folder}/{n}.parquet")) for n, s in SCHEMAS.items()}
 
 
 def bounds(annot: DataFrame) -> DataFrame:
@@ -45,6 +45,17 @@ def bounds(annot: DataFrame) -> DataFrame:
     )
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """table, whose joins deal both sides by their keys, whatever it seems to take.
+
+    Spark goes by the size of the columns' files, which for nested or repetitive rows is a small
+    part of their size in memory, and would gather tables that grow with the input on the driver.
+    The mark holds for what is made of table without a join. What joins give is marked, too, where a
+    query may drop joins that it needs no column of, and so be left with what looks small.
+    """
+    return table.hint("merge")
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share; a local one for a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

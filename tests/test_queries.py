@@ -1,6 +1,7 @@
 """Queries against their SQL on a few odd pages."""
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 
@@ -33,3 +34,11 @@ def test_structure_table_with_cut_entities(spark, tmp_path):
 def test_boxes_compared_with_cut_entities(spark, tmp_path):
     got, want = differences(spark, tmp_path, "boxes_compared", [CUT, CUT.replace("and&amp;&amp;&amp<", "and&amp;&amp;<")])
     assert got == want and want
+
+
+@pytest.mark.parametrize("name", ["badly_split_link", "irregular_toc", "mistagged_artifact", "mistagged_heading", "needless_nesting", "schema_validation", "scribbled_instruction", "mistagged_list", "badly_marked_content", "empty_element", "inconsistent_parent_tree", "figure_with_text", "invalid_link_uri"])
+def test_no_table_of_documents_is_sent_to_the_driver(spark, tmp_path, name):
+    spark.createDataFrame([(1, "https://h.example/", CUT)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plan = entry.queries()[f"check_{name}"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc_id" in plan
+    assert "BroadcastHashJoin [doc_id" not in plan
