@@ -125,9 +125,11 @@ def to_artifact(elem: DataFrame, kid: DataFrame, annot: DataFrame, hits: DataFra
 def mark_links(elem: DataFrame, kid: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A new Link with its annotation, for hits (doc_id, page_num, annot_id, parent_id), behind the parent's children.
 
-    Without a parent the first Document root takes it; without that the document is left alone.
+    Without a parent the first Document root takes it, or else the Document of the smallest id
+    anywhere below; without that the document is left alone.
     """
-    root = elem.where("parent_id is null and role_raw = 'Document'").groupBy("doc_id").agg(F.min_by("elem_id", "kid_ord").alias("root_id"))
+    first = F.struct(F.col("parent_id").isNotNull().alias("below"), F.when(F.col("parent_id").isNull(), F.col("kid_ord")).alias("place"), "elem_id")
+    root = elem.where("role_raw = 'Document'").groupBy("doc_id").agg(F.min_by("elem_id", first).alias("root_id"))
     new = hits.join(root, "doc_id", "left").withColumn("parent_id", F.coalesce("parent_id", "root_id")).where("parent_id is not null")
     new = fresh(elem, new, ["page_num", "annot_id"]).select("doc_id", "elem_id", "parent_id", F.lit("Link").alias("role_raw"), (F.lit(FAR) + F.col("elem_id")).alias("place"), F.col("page_num").alias("pg"), "annot_id")
     last = kid.groupBy("doc_id", F.col("owner_id").alias("parent_id")).agg(F.max("kid_ord").alias("last"))

@@ -42,3 +42,10 @@ def test_no_table_of_documents_is_sent_to_the_driver(spark, tmp_path, name):
     plan = entry.queries()[f"check_{name}"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [doc_id" in plan
     assert "BroadcastHashJoin [doc_id" not in plan
+
+
+def test_unmarked_link_in_a_verified_paragraph(spark, tmp_path):
+    """Hidden paragraphs hold nothing that a later page's annotation overlaps; the Document below the root takes it."""
+    html = "<html><body>" + "<p>some words</p>" * 5 + "<p>%%% see www.a.example.org now</p></body></html>"
+    got, want = differences(spark, tmp_path, "fix_unmarked_link", [html])
+    assert got == want == [("'UNMARKED_LINK'", "1", "1", "0")]
