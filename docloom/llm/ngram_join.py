@@ -6,7 +6,7 @@ document's inverted lists are split as DivideSkip does: the L lists that are lik
 longest are set aside, so that any linked document stands in T - L = ``least`` of the
 others, the short ones. Those are merged first, over all documents, and lead to
 families: documents that are connected through short lists. Within a family each document searches those
-before it: short lists are merged on a heap, the long ones are probed by bisection,
+before it: short lists are merged by counting, the long ones are probed in the sets of those found,
 and documents that reach the required overlap T are retained.
 
 Only components and no pairs are wanted, so a search runs against leaders. A document
@@ -37,10 +37,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
-import heapq
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -105,7 +105,7 @@ def frequent(spark: SparkSession, docs: DataFrame, k: int, total: int, common: i
                 sets = [s for s in shingle_sets(part.column(0), k) if len(s)]
                 held += sets
                 size += sum(map(len, sets))
-                if size >= 2_000_000:
+                if size >= 1_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -151,7 +151,8 @@ def short_edges(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int
                         own = (s >> np.uint64(32)).astype(np.uint32)
                         at = np.minimum(np.searchsorted(names, own), len(names) - 1)
                         rank = np.where(names[at] == own, counts[at], 0)
-                    tokens.append(s[np.lexsort((s, -long, rank))[:p]])
+                    # By rank, then the longest, then by hash, by which s is sorted.
+                    tokens.append(s[np.argsort((rank << 32) - long, kind="stable")[:p]])
                     owners.append(np.full(p, d, np.int64))
                     sizes.append(np.full(p, len(s), np.int32))
                 if not tokens:
@@ -204,44 +205,29 @@ class Index:
 
     def __init__(self):
         self.lists: dict[int, list[int]] = {}
-        self.n = 0
+        self.sets: list[frozenset[int]] = []
 
     def add(self, tokens: list[int]) -> int:
+        n = len(self.sets)
         for t in tokens:
-            self.lists.setdefault(t, []).append(self.n)
-        self.n += 1
-        return self.n - 1
+            self.lists.setdefault(t, []).append(n)
+        self.sets.append(frozenset(tokens))
+        return n
 
     def search(self, tokens: list[int], t: int) -> list[tuple[int, int]]:
         """Leaders in at least t of the lists of tokens."""
-        found = [x for x in (self.lists.get(i) for i in tokens) if x]
+        lists = self.lists
+        found = [i for i in tokens if i in lists]
         if len(found) < t:
             return []
-        found.sort(key=len)
+        found.sort(key=lambda i: len(lists[i]))
         # DivideSkip: the t - 1 longest lists are set aside; who is in t lists is in one of the others.
         rest = len(found) - max(0, t - 1)
-        short, long = found[:rest], found[rest:]
-        out, at, n = [], -1, 0
-        for x in heapq.merge(*short) if len(short) > 1 else iter(short[0]):
-            if x == at:
-                n += 1
-                continue
-            if at >= 0 and (m := self.probe(at, n, long, t)):
-                out.append((at, m))
-            at, n = x, 1
-        if at >= 0 and (m := self.probe(at, n, long, t)):
-            out.append((at, m))
-        return out
-
-    @staticmethod
-    def probe(x: int, n: int, long: list[list[int]], t: int) -> int:
-        """Lists with x in all, or 0 if they are below t."""
-        for i, own in enumerate(long):
-            if n + len(long) - i < t:
-                return 0
-            j = bisect.bisect_left(own, x)
-            n += j < len(own) and own[j] == x
-        return n if n >= t else 0
+        long = set(found[rest:])
+        merged = Counter(chain.from_iterable([lists[i] for i in found[:rest]]))
+        # A leader is in a long list if the list's token is in its set.
+        near = [(x, n + len(self.sets[x] & long)) for x, n in merged.items() if n + len(long) >= t]
+        return sorted((x, m) for x, m in near if m >= t)
 
 
 def search_family(names: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -325,14 +311,30 @@ def search(spark: SparkSession, docs: DataFrame, members: DataFrame, k: int, num
     dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("digest", F.lit(6)), F.col("parts")).cast("int"))
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("p"))))
     dealt = dealt.select("root", "digest", "s", "p", other.alias("o")).select("root", F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b"), "digest", "s")
-    dealt = dealt.repartition("root", "a", "b")
+    dealt = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("digest")
-        found = search_family(pdf["digest"].tolist(), [np.frombuffer(s, np.uint64) for s in pdf["s"]], num, den)
-        return pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come family by family; one pair of parts is held at a time."""
+        at, held, out = None, {}, []
 
-    return dealt.groupBy("root", "a", "b").applyInPandas(meet, "u long, v long")
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("root", "a", "b", "digest", "s")]
+            for *key, name, s in zip(*columns, strict=True):
+                if key != at:
+                    out += search_family(list(held), list(held.values()), num, den)
+                    at, held = key, {}
+                if name not in held:
+                    held[name] = np.frombuffer(s, np.uint64)
+            if len(out) > 10_000:
+                yield told()
+                out = []
+        out += search_family(list(held), list(held.values()), num, den)
+        yield told()
+
+    return dealt.mapInArrow(meet, "u long, v long")
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, common: int = 16, most_common: int = 1 << 21, least: int = 4, star: int = 32, family: int = 60_000) -> DataFrame:

@@ -12,9 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Rows of a batch are taken together up to so many bytes of text.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -1,5 +1,6 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import time
 import collections
 import hashlib
 import re
@@ -540,3 +541,14 @@ def test_decontamination_is_native(spark):
 
     for module in (decontam, secrets, mixing, sharding):
         assert not re.search(r"pandas|arrow|udf|\.rdd|mapIn", inspect.getsource(module), re.I)
+
+
+def test_family_search_counts_lists_instead_of_walking_them():
+    index = ngram_join.Index()
+    for i in range(3000):
+        index.add([*range(400), 1000 + i])
+    start = time.perf_counter()
+    assert index.search([*range(400), 1005], 401) == [(5, 401)]
+    assert len(index.search([*range(400)], 400)) == 3000
+    assert len(index.search([*range(400)], 100)) == 3000
+    assert time.perf_counter() - start < 1.5
