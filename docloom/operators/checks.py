@@ -80,7 +80,7 @@ class Context:
     def numbers(self) -> DataFrame:
         """Visible elements with their mapped role and numbers."""
         roles = self["role_map"].groupBy("doc_id", F.col("role").alias("role_raw")).agg(F.min("mapped").alias("mapped"))
-        e = self["elem"].join(roles, ["doc_id", "role_raw"], "left").select(self["elem"]["*"], F.coalesce("mapped", "role_raw").alias("role"))
+        e = self["elem"].join(dealt(roles), ["doc_id", "role_raw"], "left").select(self["elem"]["*"], F.coalesce("mapped", "role_raw").alias("role"))
         return self.settled(hierarchy.numbered(e), "numbers")
 
     @cached_property
@@ -93,9 +93,9 @@ class Context:
         roles = F.array_sort(F.collect_list(F.struct("kid_ord", "role", "elem_id")))
         child = n.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("elem_id")).agg(roles.alias("children"))
         up = n.select("doc_id", F.col("elem_id").alias("parent_id"), F.col("role").alias("parent_role"), F.col("pre").alias("parent_pre"))
-        out = n.join(kids, ["doc_id", "elem_id"], "left").join(child, ["doc_id", "elem_id"], "left").join(up, ["doc_id", "parent_id"], "left")
+        out = n.join(dealt(kids), ["doc_id", "elem_id"], "left").join(dealt(child), ["doc_id", "elem_id"], "left").join(dealt(up), ["doc_id", "parent_id"], "left")
         out = out.fillna(0, ["n_mcr", "n_objr", "n_kid"]).withColumn("child_roles", F.coalesce(F.transform("children", lambda c: c["role"]), F.array().cast("array<string>")))
-        return dealt(out.join(hierarchy.pages(n), ["doc_id", "elem_id"]))
+        return dealt(out.join(dealt(hierarchy.pages(n)), ["doc_id", "elem_id"]))
 
     @cached_property
     def closure(self) -> DataFrame:
@@ -105,12 +105,12 @@ class Context:
     def owned(self) -> DataFrame:
         """Marked content of each element itself: doc_id, elem_id, kid_ord, kind, page_num, mcid, text, kinds, x0..y1."""
         mcr = self["kid"].where(F.col("kind").isin("mcr_num", "mcr_dict")).select("doc_id", F.col("owner_id").alias("elem_id"), "kid_ord", "kind", "page_num", "mcid")
-        return dealt(mcr.join(self["content"], ["doc_id", "page_num", "mcid"], "left"))
+        return dealt(mcr.join(dealt(self["content"]), ["doc_id", "page_num", "mcid"], "left"))
 
     @cached_property
     def below(self) -> DataFrame:
         """Marked content under each element: as owned, elem_id being the ancestor or itself."""
-        return dealt(self.owned.join(self.closure, ["doc_id", "elem_id"]).drop("elem_id").withColumnRenamed("anc_id", "elem_id"))
+        return dealt(self.owned.join(dealt(self.closure), ["doc_id", "elem_id"]).drop("elem_id").withColumnRenamed("anc_id", "elem_id"))
 
     @cached_property
     def text(self) -> DataFrame:
@@ -121,11 +121,11 @@ class Context:
         content wherever it is.
         """
         mcr = self["kid"].where(F.col("kind").isin("mcr_num", "mcr_dict")).select("doc_id", F.col("owner_id").alias("elem_id"), "kid_ord", "kind", "page_num", "mcid")
-        placed = mcr.join(self.numbers.select("doc_id", "elem_id", "path"), ["doc_id", "elem_id"]).withColumn("at", F.concat("path", F.array("kid_ord")))
-        under = placed.join(self.closure, ["doc_id", "elem_id"]).drop("elem_id").withColumnRenamed("anc_id", "elem_id")
-        under = under.join(hierarchy.pages(self.numbers), ["doc_id", "elem_id"]).where("page > 0")
+        placed = mcr.join(dealt(self.numbers.select("doc_id", "elem_id", "path")), ["doc_id", "elem_id"]).withColumn("at", F.concat("path", F.array("kid_ord")))
+        under = placed.join(dealt(self.closure), ["doc_id", "elem_id"]).drop("elem_id").withColumnRenamed("anc_id", "elem_id")
+        under = under.join(dealt(hierarchy.pages(self.numbers)), ["doc_id", "elem_id"]).where("page > 0")
         shown = self["content"].select("doc_id", F.col("page_num").alias("page"), "mcid", "text", "kinds", "x0", "y0", "x1", "y1")
-        seen = under.join(shown, ["doc_id", "page", "mcid"])
+        seen = under.join(dealt(shown), ["doc_id", "page", "mcid"])
         pieces = F.array_sort(F.collect_list(F.when((F.col("kind") == "mcr_num") & F.col("text").isNotNull(), F.struct("at", "text"))))
         every = seen.groupBy("doc_id", "elem_id").agg(
             F.array_join(F.transform(pieces, lambda p: p["text"]), " ").alias("text"),
@@ -141,7 +141,7 @@ class Context:
         dest = F.when(F.col("pa_uri").isNotNull(), F.concat(F.lit("uri:"), "pa_uri")).when(F.col("action") == "URI", F.concat(F.lit("uri:"), "uri")).when(
             F.col("action").isNull() | (F.col("action") == "GoTo"), F.coalesce(F.concat(F.lit("page:"), F.col("goto_page").cast("string")), F.concat(F.lit("name:"), "goto_name"))
         )
-        return dealt(objr.join(self["annot"].select("doc_id", "annot_id", uri.alias("uri"), dest.alias("dest")), ["doc_id", "annot_id"]))
+        return dealt(objr.join(dealt(self["annot"].select("doc_id", "annot_id", uri.alias("uri"), dest.alias("dest"))), ["doc_id", "annot_id"]))
 
 
 def issue_rows(found: DataFrame, c: Check, order: int) -> DataFrame:
@@ -193,10 +193,10 @@ def struct_tree_order(ctx: Context) -> DataFrame:
     """Parents of at least two elements whose first content goes back; parents come after their children."""
     last = F.lit(2**31 - 1)
     at = ctx.below.groupBy("doc_id", "elem_id").agg(F.min(F.struct("page_num", "mcid")).alias("at"))
-    e = ctx.elem.select("doc_id", "elem_id", "parent_id", "kid_ord").join(at, ["doc_id", "elem_id"], "left").withColumn("at", F.coalesce("at", F.struct(last.alias("page_num"), last.alias("mcid"))))
+    e = ctx.elem.select("doc_id", "elem_id", "parent_id", "kid_ord").join(dealt(at), ["doc_id", "elem_id"], "left").withColumn("at", F.coalesce("at", F.struct(last.alias("page_num"), last.alias("mcid"))))
     back = e.withColumn("before", F.lag("at").over(Window.partitionBy("doc_id", "parent_id").orderBy("kid_ord"))).where("parent_id is not null and at < before")
     hits = back.select("doc_id", F.col("parent_id").alias("elem_id")).distinct()
-    return hits.join(ctx.elem.select("doc_id", "elem_id", F.col("last").alias("pre"), "page"), ["doc_id", "elem_id"])
+    return hits.join(dealt(ctx.elem.select("doc_id", "elem_id", F.col("last").alias("pre"), "page")), ["doc_id", "elem_id"])
 
 
 @check("UNMARKED_LINK", "ERROR", "UnmarkedLink")
@@ -210,11 +210,11 @@ def unexpected_widget(ctx: Context) -> DataFrame:
     a = ctx["annot"].select("doc_id", "page_num", "annot_id", "subtype", "ft", "ff", "parent_id")
     known = a.select("doc_id", F.col("annot_id").alias("parent_id"), F.lit(True).alias("known")).distinct()
     # A field whose parent is missing is the top of its own chain.
-    tree = a.join(known, ["doc_id", "parent_id"], "left").select("doc_id", F.col("annot_id").alias("elem_id"), F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), F.col("annot_id").alias("kid_ord"))
+    tree = a.join(dealt(known), ["doc_id", "parent_id"], "left").select("doc_id", F.col("annot_id").alias("elem_id"), F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), F.col("annot_id").alias("kid_ord"))
     chain = hierarchy.closure(hierarchy.numbered(tree.dropDuplicates(["doc_id", "elem_id"]), hide_verified=False)).withColumnRenamed("elem_id", "annot_id")
     up = a.select("doc_id", F.col("annot_id").alias("anc_id"), F.col("ft").alias("u_ft"), F.col("ff").alias("u_ff"))
-    got = chain.join(up, ["doc_id", "anc_id"]).groupBy("doc_id", "annot_id").agg(F.min(F.when(F.col("u_ft").isNotNull(), F.struct("dist", "u_ft")))["u_ft"].alias("i_ft"), F.min(F.when(F.col("u_ff").isNotNull(), F.struct("dist", "u_ff")))["u_ff"].alias("i_ff"))
-    w = a.where("subtype = 'Widget'").join(got, ["doc_id", "annot_id"], "left").where("coalesce(i_ft, ft) = 'Btn' and (coalesce(i_ff, ff) & 65536) <> 0")
+    got = chain.join(dealt(up), ["doc_id", "anc_id"]).groupBy("doc_id", "annot_id").agg(F.min(F.when(F.col("u_ft").isNotNull(), F.struct("dist", "u_ft")))["u_ft"].alias("i_ft"), F.min(F.when(F.col("u_ff").isNotNull(), F.struct("dist", "u_ff")))["u_ff"].alias("i_ff"))
+    w = a.where("subtype = 'Widget'").join(dealt(got), ["doc_id", "annot_id"], "left").where("coalesce(i_ft, ft) = 'Btn' and (coalesce(i_ff, ff) & 65536) <> 0")
     return w.select("doc_id", F.col("page_num").alias("page"), F.col("annot_id").alias("detail"))
 
 
@@ -250,7 +250,7 @@ def pdf_ua_conformance(ctx: Context) -> DataFrame:
 @check("ORPHANED_CONTENT", fix="OrphanedContent")
 def orphaned_content(ctx: Context) -> DataFrame:
     lost = ctx["kid"].where("kind <> 'elem' and coalesce(page_num, 0) = 0").select("doc_id", F.col("owner_id").alias("elem_id"), F.col("kid_ord").cast("string").alias("detail"))
-    return lost.join(ctx.elem.select("doc_id", "elem_id", "pre"), ["doc_id", "elem_id"])
+    return lost.join(dealt(ctx.elem.select("doc_id", "elem_id", "pre")), ["doc_id", "elem_id"])
 
 
 @check("NEEDLESS_NESTING", fix="NeedlessNesting")
@@ -266,10 +266,10 @@ def missing_page_parts(ctx: Context) -> DataFrame:
     roots = ctx.elem.where("parent_id is null").select("doc_id", F.col("elem_id").alias("root"), "role_raw")
     head = roots.groupBy("doc_id").agg(F.count("*").alias("n_roots"), F.min(F.when(F.col("role_raw") == "Document", F.col("root"))).alias("document"))
     kids = ctx.elem.select("doc_id", "parent_id", F.col("role_raw").alias("kid_role"), "pg")
-    seen = head.join(kids, (head.doc_id == kids.doc_id) & (F.col("document") == F.col("parent_id"))).groupBy(head.doc_id).agg(
+    seen = head.join(dealt(kids), (head.doc_id == kids.doc_id) & (F.col("document") == F.col("parent_id"))).groupBy(head.doc_id).agg(
         F.count_distinct(F.when((F.col("kid_role") == "Part") & (F.col("pg") > 0), F.col("pg"))).alias("parts"), F.count_if((F.col("kid_role") != "Part") & (F.col("pg") > 0)).alias("loose")
     )
-    every = docs.join(head, "doc_id").join(seen, "doc_id", "left")
+    every = docs.join(dealt(head), "doc_id").join(dealt(seen), "doc_id", "left")
     return every.where("document is null and n_roots > 0 or document is not null and (coalesce(parts, 0) < n_pages or coalesce(loose, 0) > 0)").select("doc_id")
 
 
@@ -279,26 +279,26 @@ def mistagged_artifact(ctx: Context) -> DataFrame:
     patterns = ctx.options.get("artifact_patterns", K.ARTIFACTS)
     match = reduce(Column.__or__, [F.col("text").rlike(f"(?i){p}") for p in patterns.values()], F.lit(False))
     e = ctx.elem.where(F.col("role").isin(*K.ARTIFACT_ROLES)).select("doc_id", "elem_id", "pre", "page", "role_raw", "alt", "n_mcr", "n_kid")
-    t = e.join(ctx.text.select("doc_id", "elem_id", "text", "kinds"), ["doc_id", "elem_id"], "left")
+    t = e.join(dealt(ctx.text.select("doc_id", "elem_id", "text", "kinds")), ["doc_id", "elem_id"], "left")
     blank = (F.col("n_kid") > 0) & (F.col("n_kid") == F.col("n_mcr")) & (F.size(F.coalesce("kinds", F.array())) == 0)
     whole = t.where(F.coalesce(match, F.lit(False)) | blank).select("doc_id", "elem_id", "pre", "page")
     whole = hierarchy.outermost(whole, ctx.elem)
-    under = ctx.closure.join(whole.select("doc_id", F.col("elem_id").alias("anc_id")), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
+    under = ctx.closure.join(dealt(whole.select("doc_id", F.col("elem_id").alias("anc_id"))), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
     small = ~F.coalesce(exprs.meaningful(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), F.lit(False))
-    mcr = e.join(ctx.owned.select("doc_id", "elem_id", "mcid", "text", "kinds", "x0", "y0", "x1", "y1"), ["doc_id", "elem_id"]).where(F.col("text").isNull() & (F.size("kinds") > 0) & small & ~((F.col("role_raw") == "Figure") & F.col("alt").isNotNull()))
+    mcr = e.join(dealt(ctx.owned.select("doc_id", "elem_id", "mcid", "text", "kinds", "x0", "y0", "x1", "y1")), ["doc_id", "elem_id"]).where(F.col("text").isNull() & (F.size("kinds") > 0) & small & ~((F.col("role_raw") == "Figure") & F.col("alt").isNotNull()))
     mcr = mcr.join(dealt(under), ["doc_id", "elem_id"], "left_anti")
     return whole.withColumn("detail", F.lit("element")).unionByName(mcr.select("doc_id", "elem_id", "pre", "page", F.col("mcid").cast("string").alias("detail")))
 
 
 @check("FIGURE_WITH_TEXT", fix="FigureWithText")
 def figure_with_text(ctx: Context) -> DataFrame:
-    return ctx.elem.where("role_raw = 'Figure' and page > 0").join(ctx.text, ["doc_id", "elem_id"]).where("length(text) > 1").select("doc_id", "elem_id", "pre", "page", exprs.truncate(F.col("text")).alias("detail"))
+    return ctx.elem.where("role_raw = 'Figure' and page > 0").join(dealt(ctx.text), ["doc_id", "elem_id"]).where("length(text) > 1").select("doc_id", "elem_id", "pre", "page", exprs.truncate(F.col("text")).alias("detail"))
 
 
 @check("FIGURE_MISSING_ALT")
 def missing_alt_text(ctx: Context) -> DataFrame:
     big = exprs.meaningful(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    return ctx.elem.where("role_raw = 'Figure' and alt is null and page <> 0").join(ctx.text, ["doc_id", "elem_id"]).where(F.array_contains("kinds", "IMAGE") & big).select("doc_id", "elem_id", "pre", "page")
+    return ctx.elem.where("role_raw = 'Figure' and alt is null and page <> 0").join(dealt(ctx.text), ["doc_id", "elem_id"]).where(F.array_contains("kinds", "IMAGE") & big).select("doc_id", "elem_id", "pre", "page")
 
 
 @check("EMPTY_LINK_TAG", fix="EmptyLinkTag")
@@ -307,9 +307,9 @@ def empty_link_tag(ctx: Context) -> DataFrame:
     w = Window.partitionBy("doc_id", "owner_id").orderBy("kid_ord")
     k = ctx["kid"].select("doc_id", "owner_id", "child_id", F.lag(F.struct("kind", "page_num", "mcid")).over(w).alias("before")).where("child_id is not null and before.kind in ('mcr_num', 'mcr_dict')")
     link = ctx.elem.where("role_raw = 'Link' and n_mcr = 0 and size(child_roles) = 0 and n_objr > 0").select("doc_id", "elem_id", "pre", "page")
-    k = k.join(link, (k.doc_id == link.doc_id) & (k.child_id == link.elem_id)).select(link["*"], F.col("before.page_num").alias("page_num"), F.col("before.mcid").alias("mcid"))
+    k = k.join(dealt(link), (k.doc_id == link.doc_id) & (k.child_id == link.elem_id)).select(link["*"], F.col("before.page_num").alias("page_num"), F.col("before.mcid").alias("mcid"))
     box = bounds(ctx["annot"]).select("doc_id", "annot_id", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    near = k.join(ctx["content"], ["doc_id", "page_num", "mcid"]).join(ctx.links.select("doc_id", "elem_id", "annot_id"), ["doc_id", "elem_id"]).join(box, ["doc_id", "annot_id"])
+    near = k.join(dealt(ctx["content"]), ["doc_id", "page_num", "mcid"]).join(dealt(ctx.links.select("doc_id", "elem_id", "annot_id")), ["doc_id", "elem_id"]).join(dealt(box), ["doc_id", "annot_id"])
     from docloom.operators.geometry import similar
 
     near = near.withColumnsRenamed({c: f"m_{c}" for c in ("x0", "y0", "x1", "y1")})
@@ -319,7 +319,7 @@ def empty_link_tag(ctx: Context) -> DataFrame:
 @check("INVALID_LINK_URI")
 def invalid_link_uri(ctx: Context) -> DataFrame:
     first = ctx.links.groupBy("doc_id", "elem_id").agg(F.min_by("uri", "kid_ord").alias("uri"))
-    return ctx.elem.where("role_raw = 'Link'").join(first, ["doc_id", "elem_id"]).where(F.col("uri").isNotNull() & ~exprs.valid_web_uri(F.col("uri"))).select("doc_id", "elem_id", "pre", "page", F.col("uri").alias("detail"))
+    return ctx.elem.where("role_raw = 'Link'").join(dealt(first), ["doc_id", "elem_id"]).where(F.col("uri").isNotNull() & ~exprs.valid_web_uri(F.col("uri"))).select("doc_id", "elem_id", "pre", "page", F.col("uri").alias("detail"))
 
 
 def link_dest(ctx: Context) -> DataFrame:
@@ -331,7 +331,7 @@ def link_dest(ctx: Context) -> DataFrame:
 def link_runs(ctx: Context) -> DataFrame:
     """doc_id, owner_id, run, child_id, pre, page, first_id: neighbouring Links of one parent with one destination, two or more."""
     e = ctx.elem.select("doc_id", F.col("elem_id").alias("child_id"), "pre", "page", "role_raw", "alt", "actual_text")
-    k = ctx["kid"].join(e, ["doc_id", "child_id"], "left").join(link_dest(ctx).withColumnRenamed("elem_id", "child_id"), ["doc_id", "child_id"], "left")
+    k = ctx["kid"].join(dealt(e), ["doc_id", "child_id"], "left").join(dealt(link_dest(ctx).withColumnRenamed("elem_id", "child_id")), ["doc_id", "child_id"], "left")
     key = F.when((F.col("role_raw") == "Link") & F.col("alt").isNull() & F.col("actual_text").isNull(), F.col("dest"))
     r = runs.islands(k.withColumn("key", key), ["doc_id", "owner_id"], ["kid_ord"], F.coalesce("key", F.concat(F.lit("\0"), F.col("kid_ord").cast("string"))))
     w = Window.partitionBy("doc_id", "owner_id", "run")
@@ -351,14 +351,14 @@ def aligned_kids(ctx: Context, tall: DataFrame) -> DataFrame:
     from docloom.operators.geometry import first_in_interval
 
     own = tall.select("doc_id", F.col("elem_id").alias("owner_id"), "pre")
-    kid = ctx["kid"].select("doc_id", "owner_id", "kid_ord", "child_id", "page_num", "mcid", "kind").join(own, ["doc_id", "owner_id"])
-    mark = kid.where("kind in ('mcr_num', 'mcr_dict')").join(ctx["content"].select("doc_id", "page_num", "mcid", "y0", "y1"), ["doc_id", "page_num", "mcid"]).where("y0 is not null")
-    sub = ctx.elem.select("doc_id", F.col("elem_id").alias("child_id"), "page").join(ctx.text.select("doc_id", F.col("elem_id").alias("child_id"), "y0", "y1"), ["doc_id", "child_id"])
-    part = kid.where("kind = 'elem'").drop("page_num").join(sub, ["doc_id", "child_id"]).withColumnRenamed("page", "page_num")
+    kid = ctx["kid"].select("doc_id", "owner_id", "kid_ord", "child_id", "page_num", "mcid", "kind").join(dealt(own), ["doc_id", "owner_id"])
+    mark = kid.where("kind in ('mcr_num', 'mcr_dict')").join(dealt(ctx["content"].select("doc_id", "page_num", "mcid", "y0", "y1")), ["doc_id", "page_num", "mcid"]).where("y0 is not null")
+    sub = ctx.elem.select("doc_id", F.col("elem_id").alias("child_id"), "page").join(dealt(ctx.text.select("doc_id", F.col("elem_id").alias("child_id"), "y0", "y1")), ["doc_id", "child_id"])
+    part = kid.where("kind = 'elem'").drop("page_num").join(dealt(sub), ["doc_id", "child_id"]).withColumnRenamed("page", "page_num")
     cols = ["doc_id", "page_num", "owner_id", "kid_ord", "pre", "y0", "y1"]
     boxes = mark.select(*cols).unionByName(part.select(*cols)).withColumn("elem_id", F.struct("owner_id", "kid_ord"))
     met = first_in_interval(boxes, ctx["bullet"]).select("doc_id", "elem_id", F.col("bullet.y").alias("y"))
-    seen = boxes.join(met, ["doc_id", "elem_id"], "left").drop("elem_id")
+    seen = boxes.join(dealt(met), ["doc_id", "elem_id"], "left").drop("elem_id")
     w = Window.partitionBy("doc_id", "owner_id").orderBy("kid_ord")
     was = F.lag(F.struct("y", "page_num")).over(w)
     seen = seen.withColumn("was", was).withColumn("new", (~F.coalesce((F.col("was.page_num") == F.col("page_num")) & (F.abs(F.col("was.y") - F.col("y")) < K.BULLET_Y), F.lit(False))).cast("int"))
@@ -374,9 +374,9 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     from docloom.operators.geometry import first_in_interval
 
     box = ctx.text.select("doc_id", "elem_id", "x0", "y0", "x1", "y1")
-    e = ctx.elem.select("doc_id", "elem_id", "parent_id", "kid_ord", "role", "role_raw", "pre", "page", "n_kid", F.col("parent_role").isin(*K.LIST_PARENTS).alias("sought")).join(box, ["doc_id", "elem_id"], "left")
+    e = ctx.elem.select("doc_id", "elem_id", "parent_id", "kid_ord", "role", "role_raw", "pre", "page", "n_kid", F.col("parent_role").isin(*K.LIST_PARENTS).alias("sought")).join(dealt(box), ["doc_id", "elem_id"], "left")
     b = first_in_interval(e.where("x0 is not null").select("doc_id", F.col("page").alias("page_num"), "elem_id", "y0", "y1"), ctx["bullet"])
-    e = ctx.settled(e.join(b.select("doc_id", "elem_id", "bullet"), ["doc_id", "elem_id"], "left"), "members")
+    e = ctx.settled(e.join(dealt(b.select("doc_id", "elem_id", "bullet")), ["doc_id", "elem_id"], "left"), "members")
     high = F.col("y1") - F.col("y0")
     skipped = F.col("role").isin(*K.NO_LIST_MEMBERS)
     mark = F.coalesce(~skipped & F.col("bullet").isNotNull() & (high <= K.BULLET_MAX_HEIGHT), F.lit(False))
@@ -387,8 +387,8 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     side = F.struct("role", "elem_id", "pre", "page")
     r = r.withColumn("before", F.lag(side).over(w)).withColumn("after", F.lead(side).over(w))
     bulleted = r.where("mark").groupBy("doc_id", "parent_id", "run").agg(F.min("pre").alias("pre"), F.min_by("page", "kid_ord").alias("page"), F.count("*").alias("n"), F.min_by("elem_id", "kid_ord").alias("elem_id"), F.min_by("before", "kid_ord").alias("before"), F.max_by("after", "kid_ord").alias("after"), F.min_by("bullet", "kid_ord").alias("first"), F.collect_list("elem_id").alias("own"), F.max("bullet.x").alias("hi"), F.min("bullet.x").alias("lo"))
-    bulleted = bulleted.join(item.select("doc_id", F.col("list_id").alias("b_id"), F.col("last_x").alias("before_x")), (bulleted.doc_id == item.doc_id) & (F.col("before.elem_id") == F.col("b_id")), "left").select(bulleted["*"], "before_x")
-    bulleted = bulleted.join(item.select("doc_id", F.col("list_id").alias("a_id"), F.col("first_x").alias("after_x")), (bulleted.doc_id == item.doc_id) & (F.col("after.elem_id") == F.col("a_id")), "left").select(bulleted["*"], "after_x")
+    bulleted = bulleted.join(dealt(item.select("doc_id", F.col("list_id").alias("b_id"), F.col("last_x").alias("before_x"))), (bulleted.doc_id == item.doc_id) & (F.col("before.elem_id") == F.col("b_id")), "left").select(bulleted["*"], "before_x")
+    bulleted = bulleted.join(dealt(item.select("doc_id", F.col("list_id").alias("a_id"), F.col("first_x").alias("after_x"))), (bulleted.doc_id == item.doc_id) & (F.col("after.elem_id") == F.col("a_id")), "left").select(bulleted["*"], "after_x")
     even = (F.col("hi") - F.col("first.x") <= K.BULLET_X) & (F.col("first.x") - F.col("lo") <= K.BULLET_X)
     sub = F.coalesce(even & (F.col("before.role") == "L") & (F.col("first.x") - F.col("before_x") >= K.INDENT), F.lit(False))
     bulleted = ctx.settled(bulleted.withColumn("sub", sub), "bulleted")
@@ -396,7 +396,7 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     split = bulleted.where((F.col("after.role") == "L") & F.col("sub") & (F.abs(F.col("before_x") - F.col("after_x")) <= K.BULLET_X))
     inside = ctx.settled(aligned_kids(ctx, e.where(~skipped & F.col("sought") & (high > K.BULLET_MAX_HEIGHT))), "inside")
     claimed = dealt(bulleted.select("doc_id", F.explode("own").alias("elem_id")).unionByName(inside.select("doc_id", "elem_id")).distinct())
-    free = e.join(claimed.withColumn("taken", F.lit(True)), ["doc_id", "elem_id"], "left").where("sought").withColumn("p", F.coalesce((F.col("role") == "P") & F.col("taken").isNull(), F.lit(False)))
+    free = e.join(dealt(claimed.withColumn("taken", F.lit(True))), ["doc_id", "elem_id"], "left").where("sought").withColumn("p", F.coalesce((F.col("role") == "P") & F.col("taken").isNull(), F.lit(False)))
     free = runs.islands(free, ["doc_id", "parent_id"], ["kid_ord"], F.col("p"))
     n = F.count("*").over(Window.partitionBy("doc_id", "parent_id", "run"))
     wide = F.when(F.col("x1") > F.col("x0"), F.col("x0"))
@@ -418,10 +418,10 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     some = free.withColumn("n", n).withColumn("wide", wide).withColumn("hope", F.max(F.col("p") & (F.col("n") >= 3)).over(Window.partitionBy("doc_id", "parent_id"))).where("hope")
     some = some.select("doc_id", "parent_id", "kid_ord", "elem_id", "pre", "page", "p", "run", "x0", "wide")
     indented = runs.fold(some, ["doc_id", "parent_id"], ["kid_ord"], edges, "doc_id long, elem_id int, pre int, page int, detail string, own array<int>")
-    kids = e.join(link_dest(ctx), ["doc_id", "elem_id"], "left").where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("elem_id")).agg(F.count("*").alias("n"), F.bool_and(F.col("role_raw") == "Link").alias("links"), F.count_distinct("dest").alias("dests"), F.count("dest").alias("known"))
-    only = kids.where("n >= 2 and links and not (dests = 1 and known = n)").join(e.select("doc_id", "elem_id", "pre", "page"), ["doc_id", "elem_id"])
+    kids = e.join(dealt(link_dest(ctx)), ["doc_id", "elem_id"], "left").where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("elem_id")).agg(F.count("*").alias("n"), F.bool_and(F.col("role_raw") == "Link").alias("links"), F.count_distinct("dest").alias("dests"), F.count("dest").alias("known"))
+    only = kids.where("n >= 2 and links and not (dests = 1 and known = n)").join(dealt(e.select("doc_id", "elem_id", "pre", "page")), ["doc_id", "elem_id"])
     mixed = ctx["kid"].where("kind <> 'elem'").select("doc_id", F.col("owner_id").alias("elem_id")).distinct()
-    only = only.join(mixed, ["doc_id", "elem_id"], "left_anti").join(claimed, ["doc_id", "elem_id"], "left_anti")
+    only = only.join(dealt(mixed), ["doc_id", "elem_id"], "left_anti").join(dealt(claimed), ["doc_id", "elem_id"], "left_anti")
     return {"bulleted": bulleted, "split": split, "inside": inside, "indented": indented, "only": only}
 
 
@@ -449,7 +449,7 @@ def badly_marked_content(ctx: Context) -> DataFrame:
 
     change = lines(ctx["op"]).where("changes").groupBy("doc_id", "page_num", "mcid").agg(F.count("*").cast("string").alias("detail"))
     sole = ctx.elem.where(F.col("role").isin(*K.HEADINGS) & (F.col("n_mcr") == 1) & (F.size("child_roles") == 0) & (F.col("n_objr") == 0)).select("doc_id", "elem_id", "pre", "page")
-    return sole.join(ctx.owned.select("doc_id", "elem_id", "page_num", "mcid"), ["doc_id", "elem_id"]).join(change, ["doc_id", "page_num", "mcid"]).select("doc_id", "elem_id", "pre", "page", "detail")
+    return sole.join(dealt(ctx.owned.select("doc_id", "elem_id", "page_num", "mcid")), ["doc_id", "elem_id"]).join(dealt(change), ["doc_id", "page_num", "mcid"]).select("doc_id", "elem_id", "pre", "page", "detail")
 
 
 @check("MISTAGGED_HEADING", fix="MistaggedHeading")
@@ -458,18 +458,18 @@ def mistagged_heading(ctx: Context) -> DataFrame:
     size = exprs.round_quarter(F.col("size"))
     span = ctx["span"].withColumn("size", size).withColumn("weight", F.length("text"))
     art = ctx.elem.where("role = 'Art'").select("doc_id", F.col("elem_id").alias("anc_id"))
-    scopes = ctx.closure.join(art, ["doc_id", "anc_id"]).groupBy("doc_id", "elem_id").agg(F.min_by("anc_id", "dist").alias("scope"))
+    scopes = ctx.closure.join(dealt(art), ["doc_id", "anc_id"]).groupBy("doc_id", "elem_id").agg(F.min_by("anc_id", "dist").alias("scope"))
     whole = span.groupBy("doc_id", F.lit(-1).alias("scope"), "size").agg(F.sum("weight").alias("weight"))
-    under = ctx.below.select("doc_id", "elem_id", "page_num", "mcid").distinct().join(span, ["doc_id", "page_num", "mcid"]).groupBy("doc_id", "elem_id", "size").agg(F.sum("weight").alias("weight"))
-    inner = under.join(art.withColumnRenamed("anc_id", "elem_id"), ["doc_id", "elem_id"]).select("doc_id", F.col("elem_id").alias("scope"), "size", "weight")
+    under = ctx.below.select("doc_id", "elem_id", "page_num", "mcid").distinct().join(dealt(span), ["doc_id", "page_num", "mcid"]).groupBy("doc_id", "elem_id", "size").agg(F.sum("weight").alias("weight"))
+    inner = under.join(dealt(art.withColumnRenamed("anc_id", "elem_id")), ["doc_id", "elem_id"]).select("doc_id", F.col("elem_id").alias("scope"), "size", "weight")
     hist = whole.unionByName(inner)
     most = F.max_by("size", F.struct("weight", -F.col("size")))
     body = hist.groupBy("doc_id", "scope").agg(most.alias("body"))
     level = F.dense_rank().over(Window.partitionBy("doc_id", "scope").orderBy(F.desc("size")))
-    levels = hist.join(body, ["doc_id", "scope"]).where(F.col("size") > F.col("body") + K.HEADING_ABOVE_BODY).withColumn("level", level).where(F.col("level") <= K.HEADING_LEVELS).select("doc_id", "scope", "size", "level")
+    levels = hist.join(dealt(body), ["doc_id", "scope"]).where(F.col("size") > F.col("body") + K.HEADING_ABOVE_BODY).withColumn("level", level).where(F.col("level") <= K.HEADING_LEVELS).select("doc_id", "scope", "size", "level")
     own = under.groupBy("doc_id", "elem_id").agg(most.alias("size"))
-    e = ctx.elem.where(F.col("role").isin(*K.HEADINGS)).select("doc_id", "elem_id", "pre", "page", "role").join(own, ["doc_id", "elem_id"]).join(scopes, ["doc_id", "elem_id"], "left").withColumn("scope", F.coalesce("scope", F.lit(-1)))
-    e = e.join(levels, ["doc_id", "scope", "size"])
+    e = ctx.elem.where(F.col("role").isin(*K.HEADINGS)).select("doc_id", "elem_id", "pre", "page", "role").join(dealt(own), ["doc_id", "elem_id"]).join(dealt(scopes), ["doc_id", "elem_id"], "left").withColumn("scope", F.coalesce("scope", F.lit(-1)))
+    e = e.join(dealt(levels), ["doc_id", "scope", "size"])
 
     e = e.select("doc_id", "scope", "elem_id", "pre", "page", "role", F.col("level").cast("long").alias("level"), "size")
     found = runs.scan(e, ["doc_id", "scope"], ["pre"], ["level", "size"], runs.heading, "got", "long").withColumn("target", F.concat(F.lit("H"), F.col("got").cast("string")))
@@ -489,7 +489,7 @@ def scribbled_instruction(ctx: Context) -> DataFrame:
     """First instruction of each note; below an element to be an artifact nothing more is said."""
     e = ctx.elem.withColumn("detail", F.get(F.filter(exprs.segments(F.col("title")), lambda s: F.startswith(s, F.lit("!"))), F.lit(0))).where("detail is not null")
     gone = e.where("detail like '!ARTIFACT%'").select("doc_id", F.col("elem_id").alias("anc_id"))
-    hidden = ctx.closure.where("dist > 0").join(gone, ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
+    hidden = ctx.closure.where("dist > 0").join(dealt(gone), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
     return e.select("doc_id", "elem_id", "pre", "page", "detail").join(dealt(hidden), ["doc_id", "elem_id"], "left_anti")
 
 
@@ -535,8 +535,8 @@ def replace_role_map(ctx: Context) -> DataFrame:
 @check("INCONSISTENT_PARENT_TREE", fix="InconsistentParentTree", default=False)
 def inconsistent_parent_tree(ctx: Context) -> DataFrame:
     tree = ctx["parent_tree"].select("doc_id", "page_num", "mcid", F.col("owner_id").alias("told"))
-    bad = ctx.owned.select("doc_id", "elem_id", "page_num", "mcid").join(tree, ["doc_id", "page_num", "mcid"], "left").where("told is null or told <> elem_id")
-    return bad.groupBy("doc_id", "elem_id").agg(F.count("*").cast("string").alias("detail")).join(ctx.elem.select("doc_id", "elem_id", F.col("last").alias("pre"), "page"), ["doc_id", "elem_id"])
+    bad = ctx.owned.select("doc_id", "elem_id", "page_num", "mcid").join(dealt(tree), ["doc_id", "page_num", "mcid"], "left").where("told is null or told <> elem_id")
+    return bad.groupBy("doc_id", "elem_id").agg(F.count("*").cast("string").alias("detail")).join(dealt(ctx.elem.select("doc_id", "elem_id", F.col("last").alias("pre"), "page")), ["doc_id", "elem_id"])
 
 
 @check("NAMED_DESTINATIONS_PRESENT", "INFO", "InlineDestinations", default=False)
@@ -547,8 +547,8 @@ def inline_destinations(ctx: Context) -> DataFrame:
 @check("MISARTIFACTED_TEXT", fix="MisartifactedText", default=False)
 def misartifacted_text(ctx: Context) -> DataFrame:
     """Digits in artifact blocks, with the nearest block that an element owns; the one before wins ties."""
-    owner = ctx.owned.join(ctx.elem.select("doc_id", "elem_id", "pre"), ["doc_id", "elem_id"]).groupBy("doc_id", "page_num", "mcid").agg(F.max_by("elem_id", "pre").alias("owner"))
-    right = ctx["block"].join(owner, ["doc_id", "page_num", "mcid"]).select("doc_id", "page_num", F.col("block_ord").alias("at"), F.col("owner").alias("id"))
+    owner = ctx.owned.join(dealt(ctx.elem.select("doc_id", "elem_id", "pre")), ["doc_id", "elem_id"]).groupBy("doc_id", "page_num", "mcid").agg(F.max_by("elem_id", "pre").alias("owner"))
+    right = ctx["block"].join(dealt(owner), ["doc_id", "page_num", "mcid"]).select("doc_id", "page_num", F.col("block_ord").alias("at"), F.col("owner").alias("id"))
     left = ctx["block"].where(F.col("mcid").isNull() & F.trim("text").rlike(r"^\d+$")).select("doc_id", "page_num", F.col("block_ord").alias("at"), F.col("block_ord").alias("id"))
     return runs.nearest(left, right, ["doc_id", "page_num"], "at").select("doc_id", F.col("near_id").alias("elem_id"), F.col("page_num").alias("page"), F.col("at").alias("pre"), F.col("id").cast("string").alias("detail"))
 
@@ -559,7 +559,7 @@ def reorder_web_captures(ctx: Context) -> DataFrame:
     wanted = ctx.options.get("urls", [])
     hits = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(F.contains(F.col("url"), F.lit(p)), F.lit(i)) for i, p in enumerate(wanted)]))
     pick = ctx["url_page"].select("doc_id", "url", "url_ord", F.explode(hits).alias("want")).groupBy("doc_id", "want").agg(F.min_by("url_ord", F.struct(F.length("url"), "url_ord")).alias("url_ord"))
-    pages = ctx["url_page"].join(pick, ["doc_id", "url_ord"])
+    pages = ctx["url_page"].join(dealt(pick), ["doc_id", "url_ord"])
     to = F.row_number().over(Window.partitionBy("doc_id").orderBy("want", "page_ord"))
     return pages.withColumn("to", to).groupBy("doc_id").agg(F.count_if(F.col("to") != F.col("page_num")).alias("n")).where("n > 0").select("doc_id", F.col("n").cast("string").alias("detail"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import exprs
 from docloom.operators import hierarchy, patterns
 from docloom.operators.checks import Context
+from docloom.sources.tables import dealt
 
 #: Roles whose text is shown in full.
 IN_FULL = ("Link", "H1", "H2", "H3", "H4", "H5", "H6")
@@ -28,9 +29,9 @@ def dump(ctx: Context, box: bool = False) -> DataFrame:
     later = F.lead("elem_id").over(w).isNotNull()
     drawn = e.withColumn("more", later)
     if box:
-        up = hierarchy.closure(ctx.numbers).join(drawn.select("doc_id", F.col("elem_id").alias("anc_id"), F.col("more").alias("a_more"), F.col("depth").alias("a_depth")), ["doc_id", "anc_id"])
+        up = hierarchy.closure(ctx.numbers).join(dealt(drawn.select("doc_id", F.col("elem_id").alias("anc_id"), F.col("more").alias("a_more"), F.col("depth").alias("a_depth"))), ["doc_id", "anc_id"])
         stems = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("dist") > 0) & (F.col("a_depth") > 1), F.struct("a_depth", "a_more")))), lambda s: F.when(s["a_more"], GO_ON).otherwise(GAP)), "")
-        drawn = drawn.join(up.groupBy("doc_id", "elem_id").agg(stems.alias("stems")), ["doc_id", "elem_id"])
+        drawn = drawn.join(dealt(up.groupBy("doc_id", "elem_id").agg(stems.alias("stems"))), ["doc_id", "elem_id"])
         lead = F.when(F.col("depth") == 1, "").otherwise(F.concat("stems", F.when(F.col("more"), BRANCH).otherwise(LAST)))
         inner = F.when(F.col("depth") == 1, GAP).otherwise(F.concat("stems", F.when(F.col("more"), GO_ON).otherwise(GAP)))
     else:
@@ -40,11 +41,11 @@ def dump(ctx: Context, box: bool = False) -> DataFrame:
     elems = own.select("doc_id", F.col("path").alias("at"), F.lit(0).alias("page"), label.alias("line"))
     at = F.concat("path", F.array("o"))
     m = ctx.owned.where("page_num is not null").select("doc_id", "elem_id", F.col("kid_ord").alias("o"), "page_num", "mcid", "text", "kinds")
-    m = m.join(own.select("doc_id", "elem_id", "path", "inner", "role"), ["doc_id", "elem_id"])
+    m = m.join(dealt(own.select("doc_id", "elem_id", "path", "inner", "role")), ["doc_id", "elem_id"])
     kinds = F.array_join(F.transform(F.array_sort(F.coalesce("kinds", F.array())), F.lower), ",")
     text = F.coalesce(F.concat(F.lit(" `"), F.when(F.col("role").isin(*IN_FULL), F.col("text")).otherwise(exprs.truncate(F.col("text"))), F.lit("`")), F.lit(""))
     content = m.select("doc_id", at.alias("at"), F.col("page_num").alias("page"), F.concat("inner", F.lit("["), kinds, F.lit(" &"), F.col("mcid").cast("string"), F.lit("]"), text).alias("line"))
-    k = ctx.links.select("doc_id", "elem_id", F.col("kid_ord").alias("o"), "annot_id", "dest").join(own.select("doc_id", "elem_id", "path", "inner"), ["doc_id", "elem_id"])
+    k = ctx.links.select("doc_id", "elem_id", F.col("kid_ord").alias("o"), "annot_id", "dest").join(dealt(own.select("doc_id", "elem_id", "path", "inner")), ["doc_id", "elem_id"])
     links = k.select("doc_id", at.alias("at"), F.lit(0).alias("page"), F.concat("inner", F.lit("<link #"), F.col("annot_id").cast("string"), F.lit("> "), F.coalesce("dest", F.lit("?"))).alias("line"))
     every = elems.unionByName(content).unionByName(links)
     # A page begins with the first content that stands on another one than what came before it.
@@ -71,9 +72,9 @@ def reconcile(elem: DataFrame, roles: DataFrame, wanted: DataFrame) -> DataFrame
     ever cleared, no plain titles.
     """
     docs = wanted.select("doc_id").distinct()
-    e = elem.select("doc_id", "elem_id", "title").join(roles.select("doc_id", "elem_id", "role"), ["doc_id", "elem_id"]).join(docs, "doc_id")
+    e = elem.select("doc_id", "elem_id", "title").join(dealt(roles.select("doc_id", "elem_id", "role")), ["doc_id", "elem_id"]).join(dealt(docs), "doc_id")
     key = ["doc_id", "elem_id", "role"]
-    both = e.withColumn("is_elem", F.lit(True)).join(wanted.select(*key, "note").withColumn("is_line", F.lit(True)), key, "full_outer")
+    both = e.withColumn("is_elem", F.lit(True)).join(dealt(wanted.select(*key, "note").withColumn("is_line", F.lit(True))), key, "full_outer")
     noted = exprs.note_body(F.col("title")).isNotNull()
     same = F.when(F.col("note").isNotNull(), F.when(noted & (F.col("note") == F.col("title")), "unchanged").otherwise("updated")).when(noted, "cleared").otherwise("unchanged")
     status = F.when(F.col("is_elem").isNull(), "unmatched line").when(F.col("is_line").isNull(), "unmatched element").otherwise(same)
@@ -85,7 +86,7 @@ def annotate(elem: DataFrame, roles: DataFrame, lines: DataFrame) -> tuple[DataF
     """elem with the notes of an annotated diagram, and the number of each status a document."""
     got = reconcile(elem, roles, read(lines))
     new = got.where("status in ('updated', 'cleared')").select("doc_id", "elem_id", F.struct("title").alias("new"))
-    out = elem.join(new, ["doc_id", "elem_id"], "left").withColumn("title", F.when(F.col("new").isNotNull(), F.col("new.title")).otherwise(F.col("title"))).select(*elem.columns)
+    out = elem.join(dealt(new), ["doc_id", "elem_id"], "left").withColumn("title", F.when(F.col("new").isNotNull(), F.col("new.title")).otherwise(F.col("title"))).select(*elem.columns)
     return out, got.groupBy("doc_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -102,8 +103,8 @@ def outline_from(text: str) -> tuple[list[tuple[int, int | None, int, str, int]]
 
 def replace_outline(outline: DataFrame, doc: DataFrame, new: DataFrame) -> DataFrame:
     """outline with new rows for their documents; an entry whose page the document lacks goes, with all below it."""
-    fits = new.join(doc.select("doc_id", "n_pages"), "doc_id").withColumn("bad", (F.col("page") < 1) | (F.col("page") > F.col("n_pages")))
+    fits = new.join(dealt(doc.select("doc_id", "n_pages")), "doc_id").withColumn("bad", (F.col("page") < 1) | (F.col("page") > F.col("n_pages")))
     tree = fits.select("doc_id", F.col("node_id").alias("elem_id"), "parent_id", F.col("ord").alias("kid_ord"), "bad")
-    gone = hierarchy.closure(hierarchy.numbered(tree.drop("bad"), hide_verified=False)).join(tree.where("bad").select("doc_id", F.col("elem_id").alias("anc_id")), ["doc_id", "anc_id"]).select("doc_id", F.col("elem_id").alias("node_id")).distinct()
-    kept = fits.join(gone, ["doc_id", "node_id"], "left_anti").select(*outline.columns)
-    return outline.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(kept)
+    gone = hierarchy.closure(hierarchy.numbered(tree.drop("bad"), hide_verified=False)).join(dealt(tree.where("bad").select("doc_id", F.col("elem_id").alias("anc_id"))), ["doc_id", "anc_id"]).select("doc_id", F.col("elem_id").alias("node_id")).distinct()
+    kept = fits.join(dealt(gone), ["doc_id", "node_id"], "left_anti").select(*outline.columns)
+    return outline.join(dealt(new.select("doc_id").distinct()), "doc_id", "left_anti").unionByName(kept)

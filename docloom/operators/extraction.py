@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docloom import constants as K
 from docloom.functions import exprs
 from docloom.operators import runs
+from docloom.sources.tables import dealt
 
 #: kind TEXT, IMAGE or PATH; mcid below 0 for unmarked content; ctm are six numbers; points are x, y pairs of a path's segments; curves counts its curves.
 EVENTS = "doc_id long, page_num int, event_ord int, kind string, mcid int, text string, font string, asc_x double, asc_y double, desc_x double, desc_y double, points array<double>, curves int, painted boolean, ctm array<double>"
@@ -98,7 +99,7 @@ def bullets(events: DataFrame) -> DataFrame:
 def document_flags(doc: DataFrame, events: DataFrame) -> DataFrame:
     """doc with has_text and has_image as its events tell."""
     told = events.groupBy("doc_id").agg(F.bool_or((F.col("kind") == "TEXT") & shows_text()).alias("t"), F.bool_or(F.col("kind") == "IMAGE").alias("i"))
-    return doc.join(told, "doc_id", "left").withColumns({"has_text": F.coalesce("t", F.lit(False)), "has_image": F.coalesce("i", F.lit(False))}).select(*doc.columns)
+    return doc.join(dealt(told), "doc_id", "left").withColumns({"has_text": F.coalesce("t", F.lit(False)), "has_image": F.coalesce("i", F.lit(False))}).select(*doc.columns)
 
 
 def mcid_of(operands: str = "operands") -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import constants as K
 from docloom.functions.exprs import intersects
+from docloom.sources.tables import dealt
 
 #: Points of height that share a bin in interval joins.
 BIN = 64
@@ -49,7 +50,7 @@ def best_overlap(annots: DataFrame, elems: DataFrame, least: float = K.LINK_MIN_
     """
     a = annots.select("doc_id", "page_num", "annot_id", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
     e = elems.select("doc_id", "page_num", "elem_id", "depth", "pre", *[F.col(c).alias(f"e_{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = a.join(e, ["doc_id", "page_num"]).where(intersects("a_", "e_")).withColumn("score", F.round(shared("a_", "e_") / area("a_"), 6)).where(F.col("score") >= least)
+    both = a.join(dealt(e), ["doc_id", "page_num"]).where(intersects("a_", "e_")).withColumn("score", F.round(shared("a_", "e_") / area("a_"), 6)).where(F.col("score") >= least)
     if apart:
         both = both.where("annot_id <> elem_id")
     w = Window.partitionBy("doc_id", "annot_id").orderBy(F.desc("score"), F.desc("depth"), area("e_"), "pre")
@@ -61,5 +62,5 @@ def first_in_interval(boxes: DataFrame, points: DataFrame, margin: float = K.BUL
     # A box meets the points of the bins it touches only, not all of its page.
     reach = [F.floor((F.col("y0") - margin) / BIN), F.floor((F.col("y1") + margin) / BIN)]
     p = points.select("doc_id", "page_num", F.struct("ord", "x", "y").alias("bullet"), F.floor(F.col("y") / BIN).alias("bin"))
-    near = boxes.withColumn("bin", F.explode(F.sequence(*reach))).join(p, ["doc_id", "page_num", "bin"]).where((F.col("bullet.y") >= F.col("y0") - margin) & (F.col("bullet.y") <= F.col("y1") + margin))
+    near = boxes.withColumn("bin", F.explode(F.sequence(*reach))).join(dealt(p), ["doc_id", "page_num", "bin"]).where((F.col("bullet.y") >= F.col("y0") - margin) & (F.col("bullet.y") <= F.col("y1") + margin))
     return near.groupBy("doc_id", "page_num", "elem_id").agg(F.min("bullet").alias("bullet"))

@@ -107,7 +107,7 @@ def walked(batches: list[pa.RecordBatch], names: list[str]) -> Iterator[pa.Recor
 def lost(elem: DataFrame) -> DataFrame:
     """doc_id, elem_id, parent_id of elements that no root leads to."""
     seen = numbered(elem.select("doc_id", "elem_id", "parent_id", "kid_ord"), hide_verified=False).select("doc_id", "elem_id")
-    return elem.select("doc_id", "elem_id", "parent_id").join(seen, ["doc_id", "elem_id"], "left_anti")
+    return elem.select("doc_id", "elem_id", "parent_id").join(dealt(seen), ["doc_id", "elem_id"], "left_anti")
 
 
 def closure(numbers: DataFrame) -> DataFrame:
@@ -117,31 +117,31 @@ def closure(numbers: DataFrame) -> DataFrame:
 
 def outermost(hits: DataFrame, numbers: DataFrame) -> DataFrame:
     """Of hits (doc_id, elem_id) those without a hit among their ancestors."""
-    up = closure(numbers).where("dist > 0").join(hits.select("doc_id", F.col("elem_id").alias("anc_id")), ["doc_id", "anc_id"])
+    up = closure(numbers).where("dist > 0").join(dealt(hits.select("doc_id", F.col("elem_id").alias("anc_id"))), ["doc_id", "anc_id"])
     return dealt(hits.join(dealt(up.select("doc_id", "elem_id").distinct()), ["doc_id", "elem_id"], "left_anti"))
 
 
 def pages(numbers: DataFrame) -> DataFrame:
     """doc_id, elem_id, page: an element's own page, else that of the first element below it that has one, else 0."""
-    own = closure(numbers).join(numbers.where("pg > 0").select("doc_id", "elem_id", "pre", "pg"), ["doc_id", "elem_id"]).groupBy("doc_id", F.col("anc_id").alias("elem_id")).agg(F.min_by("pg", "pre").alias("first"))
-    return dealt(numbers.join(own, ["doc_id", "elem_id"], "left").select("doc_id", "elem_id", F.coalesce("pg", "first", F.lit(0)).alias("page")))
+    own = closure(numbers).join(dealt(numbers.where("pg > 0").select("doc_id", "elem_id", "pre", "pg")), ["doc_id", "elem_id"]).groupBy("doc_id", F.col("anc_id").alias("elem_id")).agg(F.min_by("pg", "pre").alias("first"))
+    return dealt(numbers.join(dealt(own), ["doc_id", "elem_id"], "left").select("doc_id", "elem_id", F.coalesce("pg", "first", F.lit(0)).alias("page")))
 
 
 def prune_empty(numbers: DataFrame, leaves: DataFrame, kept: tuple[str, ...] = ("Document",)) -> DataFrame:
     """Elements that hold a leaf of any kind somewhere below, or have a kept role. leaves: doc_id, elem_id."""
-    full = closure(numbers).join(leaves.select("doc_id", "elem_id").distinct(), ["doc_id", "elem_id"]).select("doc_id", F.col("anc_id").alias("elem_id")).distinct()
-    return numbers.join(full.withColumn("full", F.lit(True)), ["doc_id", "elem_id"], "left").where(F.col("full").isNotNull() | F.col("role").isin(*kept)).drop("full")
+    full = closure(numbers).join(dealt(leaves.select("doc_id", "elem_id").distinct()), ["doc_id", "elem_id"]).select("doc_id", F.col("anc_id").alias("elem_id")).distinct()
+    return numbers.join(dealt(full.withColumn("full", F.lit(True))), ["doc_id", "elem_id"], "left").where(F.col("full").isNotNull() | F.col("role").isin(*kept)).drop("full")
 
 
 def first_leaf_page(numbers: DataFrame, kid: DataFrame) -> DataFrame:
     """doc_id, elem_id, page: that of the first content below an element, in order of the tree, that has one."""
     leaf = kid.where("kind <> 'elem' and page_num > 0").select("doc_id", F.col("owner_id").alias("elem_id"), "kid_ord", "page_num")
-    at = leaf.join(numbers.select("doc_id", "elem_id", "path"), ["doc_id", "elem_id"]).withColumn("at", F.concat("path", F.array("kid_ord")))
-    return at.join(closure(numbers), ["doc_id", "elem_id"]).groupBy("doc_id", F.col("anc_id").alias("elem_id")).agg(F.min_by("page_num", "at").alias("page"))
+    at = leaf.join(dealt(numbers.select("doc_id", "elem_id", "path")), ["doc_id", "elem_id"]).withColumn("at", F.concat("path", F.array("kid_ord")))
+    return at.join(dealt(closure(numbers)), ["doc_id", "elem_id"]).groupBy("doc_id", F.col("anc_id").alias("elem_id")).agg(F.min_by("page_num", "at").alias("page"))
 
 
 def display_path(numbers: DataFrame) -> DataFrame:
     """doc_id, elem_id, shown: /Role[index].Role[index]... with pre-order numbers."""
-    up = closure(numbers).join(numbers.select("doc_id", F.col("elem_id").alias("anc_id"), "pre", "role"), ["doc_id", "anc_id"])
+    up = closure(numbers).join(dealt(numbers.select("doc_id", F.col("elem_id").alias("anc_id"), "pre", "role")), ["doc_id", "anc_id"])
     steps = F.transform(F.array_sort(F.collect_list(F.struct("pre", "role"))), lambda s: F.concat(s["role"], F.lit("["), s["pre"].cast("string"), F.lit("]")))
     return up.groupBy("doc_id", "elem_id").agg(F.concat(F.lit("/"), F.array_join(steps, ".")).alias("shown"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import exprs
 from docloom.operators.hierarchy import closure, numbered, prune_empty, settled
+from docloom.sources.tables import dealt
 
 EDIT = "doc_id long, kind string, elem_id int, parent_id int, kid_ord double, value string"
 COLUMNS = ["doc_id", "elem_id", "parent_id", "kid_ord", "role_raw", "pg", "title", "alt", "actual_text"]
@@ -43,22 +44,22 @@ def apply_edits(elem: DataFrame, log: DataFrame) -> DataFrame:
     )
     numbers = settled(numbered(elem.select("doc_id", "elem_id", "parent_id", "kid_ord"), hide_verified=False))
     tree = closure(numbers)
-    gone = tree.join(pick("delete").select("doc_id", F.col("elem_id").alias("anc_id")), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
-    out = elem.join(gone, ["doc_id", "elem_id"], "left_anti")
+    gone = tree.join(dealt(pick("delete").select("doc_id", F.col("elem_id").alias("anc_id"))), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
+    out = elem.join(dealt(gone), ["doc_id", "elem_id"], "left_anti")
 
     # The path below the nearest ancestor that stays orders what was spliced.
     spliced = pick("splice").select("doc_id", F.col("elem_id").alias("anc_id"), F.lit(True).alias("out")).distinct()
-    up = tree.where("dist > 0").join(spliced, ["doc_id", "anc_id"], "left").where("out is null").groupBy("doc_id", "elem_id").agg(F.min_by("anc_id", "dist").alias("stays"))
-    out = out.join(spliced.withColumnRenamed("anc_id", "elem_id"), ["doc_id", "elem_id"], "left").where("out is null").drop("out")
-    out = out.join(up, ["doc_id", "elem_id"], "left").join(numbers.select("doc_id", "elem_id", "pre"), ["doc_id", "elem_id"]).withColumn("lifted", ~F.col("parent_id").eqNullSafe(F.col("stays")))
+    up = tree.where("dist > 0").join(dealt(spliced), ["doc_id", "anc_id"], "left").where("out is null").groupBy("doc_id", "elem_id").agg(F.min_by("anc_id", "dist").alias("stays"))
+    out = out.join(dealt(spliced.withColumnRenamed("anc_id", "elem_id")), ["doc_id", "elem_id"], "left").where("out is null").drop("out")
+    out = out.join(dealt(up), ["doc_id", "elem_id"], "left").join(dealt(numbers.select("doc_id", "elem_id", "pre")), ["doc_id", "elem_id"]).withColumn("lifted", ~F.col("parent_id").eqNullSafe(F.col("stays")))
     w = Window.partitionBy("doc_id", "stays")
     out = out.withColumn("place", F.when(F.max("lifted").over(w), F.col("pre").cast("double")).otherwise(F.col("kid_ord").cast("double"))).withColumn("parent_id", F.col("stays"))
 
     new = pick("insert").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("parent_id", "kid_ord", "value")))
     top = elem.groupBy("doc_id").agg(F.max("elem_id").alias("top"))
-    made = new.drop("elem_id").join(top, "doc_id").select("doc_id", (F.col("top") + F.col("n")).cast("int").alias("elem_id"), "parent_id", F.col("value").alias("role_raw"), F.lit(None).cast("int").alias("pg"), *[F.lit(None).cast("string").alias(c) for c in ("title", "alt", "actual_text")], F.col("kid_ord").alias("place"))
+    made = new.drop("elem_id").join(dealt(top), "doc_id").select("doc_id", (F.col("top") + F.col("n")).cast("int").alias("elem_id"), "parent_id", F.col("value").alias("role_raw"), F.lit(None).cast("int").alias("pg"), *[F.lit(None).cast("string").alias(c) for c in ("title", "alt", "actual_text")], F.col("kid_ord").alias("place"))
 
-    out = out.join(one.withColumnRenamed("e_id", "elem_id"), ["doc_id", "elem_id"], "left")
+    out = out.join(dealt(one.withColumnRenamed("e_id", "elem_id")), ["doc_id", "elem_id"], "left")
     far = 1e9 + F.col("pre")
     out = out.select(
         "doc_id", "elem_id", F.when(F.col("to").isNotNull(), F.col("to.parent_id")).otherwise(F.col("parent_id")).alias("parent_id"), F.coalesce("new_role", "role_raw").alias("role_raw"), "pg",
@@ -77,7 +78,7 @@ def fix_documents(doc: DataFrame) -> DataFrame:
 def inline_destinations(annot: DataFrame, dest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """annot with named destinations resolved to pages; and orphans, names without a page, by number."""
     known = dest.groupBy("doc_id", F.col("name").alias("goto_name")).agg(F.min("page").alias("named_page"))
-    out = annot.join(known, ["doc_id", "goto_name"], "left")
+    out = annot.join(dealt(known), ["doc_id", "goto_name"], "left")
     orphans = out.where("goto_name is not null and named_page is null").groupBy("doc_id", "goto_name").agg(F.count("*").alias("n"))
     fixed = out.withColumn("goto_page", F.coalesce("goto_page", "named_page")).withColumn("goto_name", F.when(F.col("named_page").isNull(), F.col("goto_name"))).drop("named_page")
     return fixed.select(*annot.columns), orphans
@@ -104,19 +105,19 @@ def replace_role_map(role_map: DataFrame, desired: dict[str, str]) -> DataFrame:
 
 def missing_document(elem: DataFrame, hits: DataFrame) -> DataFrame:
     """A Document around all roots."""
-    roots = elem.where("parent_id is null").join(hits.select("doc_id").distinct(), "doc_id")
+    roots = elem.where("parent_id is null").join(dealt(hits.select("doc_id").distinct()), "doc_id")
     with_new = apply_edits(elem, edits(roots.select("doc_id").distinct(), "insert", None, None, F.lit(0), F.lit("Document")))
     new = with_new.where("parent_id is null and role_raw = 'Document'").select("doc_id", F.col("elem_id").alias("new_id"))
-    others = roots.select("doc_id", "elem_id").join(new, "doc_id")
+    others = roots.select("doc_id", "elem_id").join(dealt(new), "doc_id")
     return apply_edits(with_new, edits(others, "move", "elem_id", "new_id"))
 
 
 def reading_order(elem: DataFrame, positions: DataFrame, hits: DataFrame) -> DataFrame:
     """Children of the hit parents by first content. positions: doc_id, elem_id, page_num, mcid."""
-    kids = elem.join(hits.select("doc_id", F.col("elem_id").alias("parent_id")).distinct(), ["doc_id", "parent_id"]).select("doc_id", "elem_id", "parent_id", "kid_ord")
+    kids = elem.join(dealt(hits.select("doc_id", F.col("elem_id").alias("parent_id")).distinct()), ["doc_id", "parent_id"]).select("doc_id", "elem_id", "parent_id", "kid_ord")
     at = positions.groupBy("doc_id", "elem_id").agg(F.min(F.struct("page_num", "mcid")).alias("at"))
     w = Window.partitionBy("doc_id", "parent_id").orderBy(F.col("at").asc_nulls_last(), "kid_ord")
-    ranked = kids.join(at, ["doc_id", "elem_id"], "left").withColumn("r", F.row_number().over(w))
+    ranked = kids.join(dealt(at), ["doc_id", "elem_id"], "left").withColumn("r", F.row_number().over(w))
     return apply_edits(elem, edits(ranked, "move", "elem_id", "parent_id", F.col("r")))
 
 
@@ -130,7 +131,7 @@ def set_roles(elem: DataFrame, hits: DataFrame, role: Column) -> DataFrame:
 
 def note_headings(elem: DataFrame, hits: DataFrame) -> DataFrame:
     """Tool notes with the instruction to set the role; instructions are executed by a later check."""
-    new = elem.join(hits.select("doc_id", "elem_id", "detail"), ["doc_id", "elem_id"]).withColumn("note", exprs.add_note(F.col("title"), F.concat(F.lit("!SET_ROLE "), "detail")))
+    new = elem.join(dealt(hits.select("doc_id", "elem_id", "detail")), ["doc_id", "elem_id"]).withColumn("note", exprs.add_note(F.col("title"), F.concat(F.lit("!SET_ROLE "), "detail")))
     return apply_edits(elem, edits(new, "set_title", value=F.col("note")))
 
 
@@ -156,9 +157,9 @@ def empty_elements(elem: DataFrame, leaves: DataFrame) -> DataFrame:
 def merge_split_links(elem: DataFrame, kid: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kids of a run's later Links go to its first, annotations first. runs: doc_id, first_id, elem_id (the run's members)."""
     to = runs.select("doc_id", F.col("elem_id").alias("owner_id"), "first_id")
-    moved = kid.join(to, ["doc_id", "owner_id"], "left").withColumn("new_owner", F.coalesce("first_id", "owner_id"))
+    moved = kid.join(dealt(to), ["doc_id", "owner_id"], "left").withColumn("new_owner", F.coalesce("first_id", "owner_id"))
     w = Window.partitionBy("doc_id", "new_owner").orderBy((F.col("kind") != "objr") & F.col("first_id").isNotNull(), "owner_id", "kid_ord")
     late = runs.where("elem_id <> first_id")
     gone = late.select("doc_id", F.col("elem_id").alias("child_id"), F.lit(True).alias("gone"))
-    moved = moved.join(gone, ["doc_id", "child_id"], "left").where("gone is null").withColumn("kid_ord", F.row_number().over(w)).withColumn("owner_id", F.col("new_owner"))
+    moved = moved.join(dealt(gone), ["doc_id", "child_id"], "left").where("gone is null").withColumn("kid_ord", F.row_number().over(w)).withColumn("owner_id", F.col("new_owner"))
     return apply_edits(elem, edits(late, "splice")), moved.select(*kid.columns)

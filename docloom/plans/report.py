@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom import constants as K
 from docloom.functions import exprs
 from docloom.operators.checks import Context
+from docloom.sources.tables import dealt
 
 GROUP_FROM = 3
 #: Types whose one issue a document tells how many elements it is about.
@@ -78,7 +79,7 @@ def documents(issues: DataFrame, doc: DataFrame, date: str, output: Column | Non
     each = issues.withColumns({"label": label, "items": items, "state": F.when(done, "[RESOLVED]").when(F.col("status") == "failed", "[FAILED]").otherwise("[REMAINING]")})
     each = each.withColumn("rank", F.when(F.col("state") == "[RESOLVED]", 0).when(F.col("state") == "[FAILED]", 1).otherwise(2))
     first = each.groupBy("doc_id", "type").agg(F.min(F.struct("check_ord", "seq")).alias("first"))
-    each = each.join(first, ["doc_id", "type"])
+    each = each.join(dealt(first), ["doc_id", "type"])
     place = F.struct(F.col("first.check_ord").alias("a"), F.col("first.seq").alias("b"), F.col("rank").alias("c"))
 
     def lines(df: DataFrame, part: int, line: Column, place: Column | None = None, seq: Column | None = None) -> DataFrame:
@@ -92,7 +93,7 @@ def documents(issues: DataFrame, doc: DataFrame, date: str, output: Column | Non
         return lines(d.where("line is not null"), part, F.col("line"), None, F.col("i"))
 
     head = fixed(0, "Accessibility report", "====================", F.concat(F.lit("Input:    "), F.coalesce("path", F.lit(""))), F.concat(F.lit("Output:   "), F.lit(None).cast("string") if output is None else output), f"Date:     {date}", "", "Summary", "-------")
-    n = doc.select("doc_id").join(summary(issues), "doc_id", "left").fillna(0)
+    n = doc.select("doc_id").join(dealt(summary(issues)), "doc_id", "left").fillna(0)
     told = n.select("doc_id", F.posexplode(F.array(*[F.concat(F.lit(t), F.col(c).cast("string")) for t, c in (("Issues detected:  ", "detected"), ("Issues resolved:  ", "resolved"), ("Issues remaining: ", "remaining"))], F.lit(""))).alias("i", "line"))
     none = lines(n.where("detected = 0"), 6, F.lit("No accessibility issues were detected."))
     some = n.where("resolved > 0").select("doc_id", F.posexplode(F.array(F.lit("Resolved Breakdown"), F.lit("------------------"))).alias("i", "line"))
@@ -110,7 +111,7 @@ def documents(issues: DataFrame, doc: DataFrame, date: str, output: Column | Non
 
 def table_lines(ctx: Context) -> DataFrame:
     """doc_id, pre, line: a fixed-width table of index, role, page, id and text; a Span without children isn't shown."""
-    e = ctx.elem.join(ctx.text.select("doc_id", "elem_id", "text"), ["doc_id", "elem_id"], "left").where("not (role = 'Span' and size(child_roles) = 0)")
+    e = ctx.elem.join(dealt(ctx.text.select("doc_id", "elem_id", "text")), ["doc_id", "elem_id"], "left").where("not (role = 'Span' and size(child_roles) = 0)")
     line = F.format_string("%5d  %-30s %5d %7d  %s", F.col("pre"), F.concat(F.expr("repeat(' ', depth - 1)"), "role"), F.col("page"), F.col("elem_id"), F.coalesce(exprs.truncate(F.col("text")), F.lit("")))
     return e.select("doc_id", "pre", line.alias("line"))
 

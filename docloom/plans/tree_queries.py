@@ -14,7 +14,7 @@ from docloom.operators.checks import CHECKS, Context, run_checks
 from docloom.plans import check_queries, remediate, report
 from docloom.plans.check_queries import CANON, SPANS, tables
 from docloom.sources import layout
-from docloom.sources.tables import bounds
+from docloom.sources.tables import bounds, dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,7 +107,7 @@ def unmarked_link_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The element that an untagged annotation overlaps best."""
     ctx = context(spark, sf_dir)
     auto = bounds(ctx["annot"].where("subtype = 'Link' and struct_parent is null"))
-    elems = ctx.numbers.where("role not in ('Link', 'Reference')").select("doc_id", "elem_id", "depth", "pre").join(ctx.text.select("doc_id", "elem_id", "page_num", "x0", "y0", "x1", "y1"), ["doc_id", "elem_id"])
+    elems = ctx.numbers.where("role not in ('Link', 'Reference')").select("doc_id", "elem_id", "depth", "pre").join(dealt(ctx.text.select("doc_id", "elem_id", "page_num", "x0", "y0", "x1", "y1")), ["doc_id", "elem_id"])
     return geometry.best_overlap(auto, elems).select("doc_id", "annot_id", "elem_id", "score")
 
 
@@ -150,9 +150,9 @@ def boxes_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a document at the same place of two pages: whether they are alike, equal, of meaningful size."""
     t = tables(spark, sf_dir)
     at = t["block"].where("mcid is not null").select("doc_id", "page_num", "mcid", F.col("block_ord").alias("pos"))
-    b = t["content"].join(at, ["doc_id", "page_num", "mcid"]).select("doc_id", "mcid", "pos", "x0", "y0", "x1", "y1")
+    b = t["content"].join(dealt(at), ["doc_id", "page_num", "mcid"]).select("doc_id", "mcid", "pos", "x0", "y0", "x1", "y1")
     side = lambda p: b.select("doc_id", "mcid", F.col("pos").alias(f"{p}pos"), *[F.col(c).alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = side("a_").join(side("b_"), ["doc_id", "mcid"]).where("a_pos < b_pos")
+    both = side("a_").join(dealt(side("b_")), ["doc_id", "mcid"]).where("a_pos < b_pos")
     large = exprs.meaningful(*[F.col(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
     return both.select("doc_id", F.col("a_pos").alias("pos"), F.col("b_pos").alias("other"), F.coalesce(geometry.similar("a_", "b_"), F.lit(False)).alias("alike"), geometry.equal("a_", "b_").alias("same"), large.alias("large"))
 
@@ -188,7 +188,7 @@ def drawn_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marked blocks of events: text, kinds, boxes. Texts of single letters are cleaned of blanks, so that raw joins their spans."""
     events = drawing(spark, sf_dir)
     raw = extraction.spans(events).groupBy("doc_id", "mcid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_ord", "text"))), lambda x: x["text"]), " ").alias("raw"))
-    return extraction.contents(events).join(raw, ["doc_id", "mcid"], "left").select("doc_id", F.col("mcid").cast("int").alias("mcid"), "raw", F.array_join("kinds", ",").alias("kinds"), "x0", "y0", "x1", "y1")
+    return extraction.contents(events).join(dealt(raw), ["doc_id", "mcid"], "left").select("doc_id", F.col("mcid").cast("int").alias("mcid"), "raw", F.array_join("kinds", ",").alias("kinds"), "x0", "y0", "x1", "y1")
 
 
 @query(EVENTS + """, t AS (SELECT *, CASE WHEN font = lag(font) OVER w AND size = lag(size) OVER w THEN 0 ELSE 1 END AS new FROM d WHERE kind = 'TEXT' WINDOW w AS (PARTITION BY doc_id, mcid ORDER BY event_ord)

@@ -50,8 +50,8 @@ def dealt(table: DataFrame) -> DataFrame:
 
     Spark goes by the size of the columns' files, which for nested or repetitive rows is a small
     part of their size in memory, and would gather tables that grow with the input on the driver.
-    The mark holds for what is made of table without a join. What joins give is marked, too, where a
-    query may drop joins that it needs no column of, and so be left with what looks small.
+    The mark holds for what is made of table without a join, so each join of documents' tables marks
+    one of its sides.
     """
     return table.hint("merge")
 

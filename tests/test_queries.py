@@ -64,3 +64,17 @@ def test_unmarked_link_in_a_verified_paragraph(spark, tmp_path):
     html = "<html><body>" + "<p>some words</p>" * 5 + "<p>%%% see www.a.example.org now</p></body></html>"
     got, want = differences(spark, tmp_path, "fix_unmarked_link", [html])
     assert got == want == [("'UNMARKED_LINK'", "1", "1", "0")]
+
+
+@pytest.mark.parametrize("name", ["check_mistagged_heading", "check_mistagged_list", "check_missing_page_parts"])
+def test_nothing_made_by_joins_is_sent_to_the_driver(spark, tmp_path, name):
+    spark.createDataFrame([(1, "https://h.example/", CUT)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "text", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = entry.queries()[name](spark, str(tmp_path))
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [doc_id" not in plan
