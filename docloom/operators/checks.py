@@ -51,12 +51,13 @@ def check(type: str, severity: str = "WARNING", fix: str | None = None, needs: t
 
 @dataclass
 class Context:
-    """Tables, and what several checks derive from them; keep: what is read several times is written once."""
+    """Tables, and what several checks derive from them; keep: what is read several times is written once, deep: elem too, which repairs read again and again."""
 
     spark: SparkSession
     tables: dict[str, DataFrame]
     options: dict = field(default_factory=dict)
     keep: bool = True
+    deep: bool = False
     _paths: list[str] = field(default_factory=list)
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -95,7 +96,8 @@ class Context:
         up = n.select("doc_id", F.col("elem_id").alias("parent_id"), F.col("role").alias("parent_role"), F.col("pre").alias("parent_pre"))
         out = n.join(dealt(kids), ["doc_id", "elem_id"], "left").join(dealt(child), ["doc_id", "elem_id"], "left").join(dealt(up), ["doc_id", "parent_id"], "left")
         out = out.fillna(0, ["n_mcr", "n_objr", "n_kid"]).withColumn("child_roles", F.coalesce(F.transform("children", lambda c: c["role"]), F.array().cast("array<string>")))
-        return dealt(out.join(dealt(hierarchy.pages(n)), ["doc_id", "elem_id"]))
+        out = out.join(dealt(hierarchy.pages(n)), ["doc_id", "elem_id"])
+        return self.settled(out, "elem") if self.deep else dealt(out)
 
     @cached_property
     def closure(self) -> DataFrame:

@@ -36,6 +36,7 @@ def renumber(elem: DataFrame) -> DataFrame:
 
 def apply_edits(elem: DataFrame, log: DataFrame) -> DataFrame:
     """elem with the edits of one check. A spliced element's children go up to the nearest element that stays."""
+    log = settled(log)  # read once for each kind
     pick = lambda kind: log.where(F.col("kind") == kind)
     one = log.where("kind in ('set_role', 'set_title', 'move')").groupBy("doc_id", F.col("elem_id").alias("e_id")).agg(
         F.max(F.when(F.col("kind") == "set_role", F.col("value"))).alias("new_role"),

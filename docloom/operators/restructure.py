@@ -23,7 +23,7 @@ CONTENT = ("mcr_num", "mcr_dict", "objr")
 
 
 def edited(elem: DataFrame, log: DataFrame) -> DataFrame:
-    return settled(apply_edits(elem, settled(log)))
+    return settled(apply_edits(elem, log))
 
 
 def _tree(elem: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ def resynced(before: DataFrame, elem: DataFrame, kid: DataFrame) -> Tables:
 
 
 def changed(ctx: Context, elem: DataFrame, kid: DataFrame | None = None) -> Tables:
-    return resynced(ctx["elem"], elem, ctx["kid"] if kid is None else kid)
+    """resynced() reads elem and kid several times: they are computed once, else their plans would multiply and fill the driver."""
+    return resynced(ctx["elem"], ctx.settled(elem, "edited"), ctx["kid"] if kid is None else ctx.settled(kid, "edited"))
 
 
 def _documents(ctx: Context, hits: DataFrame, **values: object) -> Tables:
@@ -179,7 +180,8 @@ def empty_link(ctx: Context, hits: DataFrame) -> Tables:
 @fix("MergeSplitLinks")
 def split_links(ctx: Context, hits: DataFrame) -> Tables:
     runs = link_runs(ctx).join(dealt(hits.select("doc_id", F.col("elem_id").alias("first_id"))), ["doc_id", "first_id"]).select("doc_id", "first_id", F.col("child_id").alias("elem_id"))
-    elem, kid = repair.merge_split_links(ctx["elem"], ctx["kid"], runs)
+    elem, kid = repair.merge_split_links(ctx["elem"], ctx["kid"], ctx.settled(runs, "runs"))
+    elem = ctx.settled(elem, "merged")
     stamp = hits.select("doc_id", "elem_id").join(dealt(elem), ["doc_id", "elem_id"])
     note = repair.edits(stamp, "set_title", value=repair.exprs.add_note(F.col("title"), F.lit("merged split links")))
     return changed(ctx, repair.apply_edits(elem, note), kid)
@@ -373,11 +375,13 @@ def remediate(spark: SparkSession, tables: Tables, names: list[str] | None = Non
     stopped: DataFrame | None = None
     w = Window.partitionBy("doc_id").orderBy("ord", "type", "elem_id", "page", "detail")
     for i, name in enumerate(names):
-        ctx = Context(spark, out.tables, options or {})
+        ctx = Context(spark, out.tables, options or {}, deep=True)
         found = issue_rows(CHECKS[name].run(ctx), CHECKS[name], i)
         if stopped is not None:
             found = found.join(dealt(stopped), "doc_id", "left_anti").select(*found.columns)
-        found = saved(resolve(found.withColumn("seq", F.row_number().over(w)), ctx.closure), "issues")
+        # resolve() reads findings several times.
+        found = ctx.settled(found.withColumn("seq", F.row_number().over(w)), "found")
+        found = saved(resolve(found, ctx.closure), "issues")
         todo = found.where("status = 'resolved'")
         # As many rows as there are kinds of fixes.
         kinds = sorted((r.fix_priority, r.fix_kind) for r in todo.select("fix_priority", "fix_kind").distinct().collect())
@@ -386,7 +390,7 @@ def remediate(spark: SparkSession, tables: Tables, names: list[str] | None = Non
             stopped = fatal if stopped is None else stopped.unionByName(fatal).distinct()
         for _, kind in kinds:
             hits = todo.where(F.col("fix_kind") == kind)
-            step = Context(spark, out.tables, options or {})
+            step = Context(spark, out.tables, options or {}, deep=True)
             try:
                 new = FIXES[kind](step, hits)
                 failed = new.pop("failed", None)

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from docloom.plans import remediate
 
 #: Entities cut short, unknown ones, and two pages of runs whose boxes differ in width by them.
 CUT = "<html><head><title>Thnd*** and&amp;&amp;&amp</title></head><body><nav><a href=\"http://www.a.example.org/x?a=1&amp\">one &lt two</a></nav><h1>Es&copy ad &eacute; &#65;</h1><p>the www.b.example.com&amp thing</p><div class=\"ad\">buy&amp</div><p>and&amp;&amp;&amp</p><footer>Cut &cop</footer></body></html>"
@@ -78,3 +79,19 @@ def test_nothing_made_by_joins_is_sent_to_the_driver(spark, tmp_path, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "BroadcastHashJoin [doc_id" not in plan
+
+
+def test_plans_of_a_repair_stay_small(spark, tmp_path, monkeypatch):
+    """What a repair reads several times is computed once: plans that multiply fill the driver on tables of any size."""
+    joins, split = [], remediate.FIXES["MergeSplitLinks"]
+
+    def spied(ctx, hits):
+        new = split(ctx, hits)
+        joins.extend(df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in new.values())
+        return new
+
+    monkeypatch.setitem(remediate.FIXES, "MergeSplitLinks", spied)
+    html = "<html><body><div><a href=\"http://a.example/\">" + "a long text of a link that goes on " * 4 + "</a></div></body></html>"
+    got, want = differences(spark, tmp_path, "fix_badly_split_link", [html])
+    assert got == want and want
+    assert joins and max(joins) <= 12, joins
