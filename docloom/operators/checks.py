@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docloom import constants as K
 from docloom.functions import exprs
 from docloom.operators import hierarchy, rules, runs
-from docloom.sources.tables import bounds, dealt, delete, scratch
+from docloom.sources.tables import bounds, dealt, delete, scratch, write
 
 ISSUE = ["doc_id", "check", "check_ord", "type", "severity", "elem_id", "page", "detail", "ord", "fix_kind", "fix_priority"]
 
@@ -68,7 +68,7 @@ class Context:
         if not self.keep:
             return df
         path = f"{scratch(self.spark)}/docloom/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        write(df, path)
         self._paths.append(path)
         return dealt(self.spark.read.schema(df.schema).parquet(path))
 
@@ -280,11 +280,12 @@ def mistagged_artifact(ctx: Context) -> DataFrame:
     """Texts of artifacts, blank leaves, and small images and paths; below the first two nothing more is said."""
     patterns = ctx.options.get("artifact_patterns", K.ARTIFACTS)
     match = reduce(Column.__or__, [F.col("text").rlike(f"(?i){p}") for p in patterns.values()], F.lit(False))
-    e = ctx.elem.where(F.col("role").isin(*K.ARTIFACT_ROLES)).select("doc_id", "elem_id", "pre", "page", "role_raw", "alt", "n_mcr", "n_kid")
+    # Both are read several times: their plans would multiply.
+    e = ctx.settled(ctx.elem.where(F.col("role").isin(*K.ARTIFACT_ROLES)).select("doc_id", "elem_id", "pre", "page", "role_raw", "alt", "n_mcr", "n_kid"), "candidates")
     t = e.join(dealt(ctx.text.select("doc_id", "elem_id", "text", "kinds")), ["doc_id", "elem_id"], "left")
     blank = (F.col("n_kid") > 0) & (F.col("n_kid") == F.col("n_mcr")) & (F.size(F.coalesce("kinds", F.array())) == 0)
     whole = t.where(F.coalesce(match, F.lit(False)) | blank).select("doc_id", "elem_id", "pre", "page")
-    whole = hierarchy.outermost(whole, ctx.elem)
+    whole = ctx.settled(hierarchy.outermost(ctx.settled(whole, "hits"), ctx.numbers), "whole")
     under = ctx.closure.join(dealt(whole.select("doc_id", F.col("elem_id").alias("anc_id"))), ["doc_id", "anc_id"]).select("doc_id", "elem_id").distinct()
     small = ~F.coalesce(exprs.meaningful(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), F.lit(False))
     mcr = e.join(dealt(ctx.owned.select("doc_id", "elem_id", "mcid", "text", "kinds", "x0", "y0", "x1", "y1")), ["doc_id", "elem_id"]).where(F.col("text").isNull() & (F.size("kinds") > 0) & small & ~((F.col("role_raw") == "Figure") & F.col("alt").isNotNull()))

@@ -21,7 +21,7 @@ from docloom.operators import geometry, hierarchy, repair, restructure, splittin
 from docloom.operators.checks import CHECKS, Context, issue_rows, link_runs, list_evidence
 from docloom.operators.patterns import VERBS
 from docloom.plans.pipeline import resolve, validate_prereqs
-from docloom.sources.tables import bounds, dealt, delete, scratch
+from docloom.sources.tables import bounds, dealt, delete, scratch, write
 
 Tables = dict[str, DataFrame]
 #: What a repair returns: changed tables, and under "failed" (doc_id, seq) of findings that it refused.
@@ -367,7 +367,7 @@ def remediate(spark: SparkSession, tables: Tables, names: list[str] | None = Non
 
     def saved(df: DataFrame, name: str) -> DataFrame:
         path = f"{scratch(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        write(df, path)
         out.paths.append(path)
         return dealt(spark.read.schema(df.schema).parquet(path))
 

@@ -24,6 +24,9 @@ SCHEMAS = {
     "parent_tree": "doc_id long, page_num int, mcid int, owner_id int",
 }
 
+#: Bytes of a row group.
+GROUP = 16 << 20
+
 
 def empty(spark: SparkSession) -> dict[str, DataFrame]:
     return {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
@@ -67,6 +70,16 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def write(table: DataFrame, path: str, rows: int | None = None) -> None:
+    """table as Parquet in small row groups, of at most ``rows`` rows.
+
+    A writer's task holds a whole row group, a reader's task 4,096 rows of one at once: where rows are
+    long, groups of Spark's own size fill the memory of a process that runs several tasks.
+    """
+    out = table.write.option("parquet.block.size", GROUP)
+    (out.option("parquet.block.row.count.limit", rows) if rows else out).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,10 +1,13 @@
 """Queries against their SQL on a few odd pages."""
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from docloom.plans import remediate
+from docloom.operators import checks
+from docloom.plans import check_queries, remediate
+from docloom.sources import layout
 
 #: Entities cut short, unknown ones, and two pages of runs whose boxes differ in width by them.
 CUT = "<html><head><title>Thnd*** and&amp;&amp;&amp</title></head><body><nav><a href=\"http://www.a.example.org/x?a=1&amp\">one &lt two</a></nav><h1>Es&copy ad &eacute; &#65;</h1><p>the www.b.example.com&amp thing</p><div class=\"ad\">buy&amp</div><p>and&amp;&amp;&amp</p><footer>Cut &cop</footer></body></html>"
@@ -95,3 +98,21 @@ def test_plans_of_a_repair_stay_small(spark, tmp_path, monkeypatch):
     got, want = differences(spark, tmp_path, "fix_badly_split_link", [html])
     assert got == want and want
     assert joins and max(joins) <= 12, joins
+
+
+def test_shredded_pages_are_read_few_at_a_time(spark, tmp_path):
+    """A reader's task holds up to 4,096 rows of a row group, with all their texts: groups of nested rows are small."""
+    pages = spark.range(700, numPartitions=1).selectExpr("id as page_id", "'https://h.example/' as url", "'<html><body><p>a</p></body></html>' as html")
+    layout.tables(spark, pages, f"{tmp_path}/nested")
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("nested/*.parquet")]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == 700 and max(groups) <= 256, groups
+
+
+def test_candidates_for_artifacts_are_found_once(spark, tmp_path):
+    """Elements and what is found of them are read several times by mistagged_artifact."""
+    spark.createDataFrame([(1, "https://h.example/", CUT)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    ctx = checks.Context(spark, check_queries.tables(spark, str(tmp_path)))
+    plan = checks.CHECKS["MistaggedArtifact"].run(ctx)._jdf.queryExecution().optimizedPlan().toString()
+    ctx.release()
+    assert plan.count("Join ") <= 4, plan.count("Join ")
