@@ -349,17 +349,20 @@ def badly_split_link(ctx: Context) -> DataFrame:
     return g.select("doc_id", "elem_id", "pre", "page", F.col("n").cast("string").alias("detail"))
 
 
-def aligned_kids(ctx: Context, tall: DataFrame) -> DataFrame:
-    """doc_id, elem_id, pre, group, page_num, y, n, kids: stretches of an element's kids beside one bullet; kids without bounds don't part them."""
+def aligned_kids(ctx: Context, tall: DataFrame, shown: DataFrame) -> DataFrame:
+    """doc_id, elem_id, pre, group, page_num, y, n, kids: stretches of an element's kids beside one bullet; kids without bounds don't part them.
+
+    shown: doc_id, elem_id, page, y0, y1 of elements with content.
+    """
     from docloom.operators.geometry import first_in_interval
 
     own = tall.select("doc_id", F.col("elem_id").alias("owner_id"), "pre")
     kid = ctx["kid"].select("doc_id", "owner_id", "kid_ord", "child_id", "page_num", "mcid", "kind").join(dealt(own), ["doc_id", "owner_id"])
     mark = kid.where("kind in ('mcr_num', 'mcr_dict')").join(dealt(ctx["content"].select("doc_id", "page_num", "mcid", "y0", "y1")), ["doc_id", "page_num", "mcid"]).where("y0 is not null")
-    sub = ctx.elem.select("doc_id", F.col("elem_id").alias("child_id"), "page").join(dealt(ctx.text.select("doc_id", F.col("elem_id").alias("child_id"), "y0", "y1")), ["doc_id", "child_id"])
+    sub = shown.select("doc_id", F.col("elem_id").alias("child_id"), "page", "y0", "y1")
     part = kid.where("kind = 'elem'").drop("page_num").join(dealt(sub), ["doc_id", "child_id"]).withColumnRenamed("page", "page_num")
     cols = ["doc_id", "page_num", "owner_id", "kid_ord", "pre", "y0", "y1"]
-    boxes = mark.select(*cols).unionByName(part.select(*cols)).withColumn("elem_id", F.struct("owner_id", "kid_ord"))
+    boxes = ctx.settled(mark.select(*cols).unionByName(part.select(*cols)).withColumn("elem_id", F.struct("owner_id", "kid_ord")), "boxes")
     met = first_in_interval(boxes, ctx["bullet"]).select("doc_id", "elem_id", F.col("bullet.y").alias("y"))
     seen = boxes.join(dealt(met), ["doc_id", "elem_id"], "left").drop("elem_id")
     w = Window.partitionBy("doc_id", "owner_id").orderBy("kid_ord")
@@ -376,8 +379,9 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     """
     from docloom.operators.geometry import first_in_interval
 
-    box = ctx.text.select("doc_id", "elem_id", "x0", "y0", "x1", "y1")
+    box = ctx.text.select("doc_id", "elem_id", "x0", "y0", "x1", "y1", F.lit(True).alias("shown"))
     e = ctx.elem.select("doc_id", "elem_id", "parent_id", "kid_ord", "role", "role_raw", "pre", "page", "n_kid", F.col("parent_role").isin(*K.LIST_PARENTS).alias("sought")).join(dealt(box), ["doc_id", "elem_id"], "left")
+    e = ctx.settled(e, "boxed")
     b = first_in_interval(e.where("x0 is not null").select("doc_id", F.col("page").alias("page_num"), "elem_id", "y0", "y1"), ctx["bullet"])
     e = ctx.settled(e.join(dealt(b.select("doc_id", "elem_id", "bullet")), ["doc_id", "elem_id"], "left"), "members")
     high = F.col("y1") - F.col("y0")
@@ -397,7 +401,7 @@ def list_evidence(ctx: Context) -> dict[str, DataFrame]:
     bulleted = ctx.settled(bulleted.withColumn("sub", sub), "bulleted")
     # A run that nests in the list before it leaves the two lists round it as one, if they stand alike.
     split = bulleted.where((F.col("after.role") == "L") & F.col("sub") & (F.abs(F.col("before_x") - F.col("after_x")) <= K.BULLET_X))
-    inside = ctx.settled(aligned_kids(ctx, e.where(~skipped & F.col("sought") & (high > K.BULLET_MAX_HEIGHT))), "inside")
+    inside = ctx.settled(aligned_kids(ctx, e.where(~skipped & F.col("sought") & (high > K.BULLET_MAX_HEIGHT)), e.where("shown")), "inside")
     claimed = dealt(bulleted.select("doc_id", F.explode("own").alias("elem_id")).unionByName(inside.select("doc_id", "elem_id")).distinct())
     free = e.join(dealt(claimed.withColumn("taken", F.lit(True))), ["doc_id", "elem_id"], "left").where("sought").withColumn("p", F.coalesce((F.col("role") == "P") & F.col("taken").isNull(), F.lit(False)))
     free = runs.islands(free, ["doc_id", "parent_id"], ["kid_ord"], F.col("p"))

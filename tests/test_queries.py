@@ -116,3 +116,17 @@ def test_candidates_for_artifacts_are_found_once(spark, tmp_path):
     plan = checks.CHECKS["MistaggedArtifact"].run(ctx)._jdf.queryExecution().optimizedPlan().toString()
     ctx.release()
     assert plan.count("Join ") <= 4, plan.count("Join ")
+
+
+def test_elements_and_boxes_of_lists_are_made_once(spark, tmp_path, monkeypatch):
+    """Members, bullets and kids beside them read the same elements with their boxes."""
+    joins, settled = {}, checks.Context.settled
+
+    def spied(ctx, df, name):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return settled(ctx, df, name)
+
+    monkeypatch.setattr(checks.Context, "settled", spied)
+    got, want = differences(spark, tmp_path, "check_mistagged_list", [CUT, "<html><body><div><p>one</p><p>two</p></div></body></html>"])
+    assert got == want and want
+    assert joins["members"] <= 3 and joins["inside"] <= 3, joins
